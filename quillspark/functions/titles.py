@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,18 +26,24 @@ def parse_title(c: Column, default_ns: int = 0, page: Column | None = None, conf
     return run(c, page if page is not None else F.lit(None).cast("string"))
 
 
-@F.pandas_udf("string")
-def decode_entities(s: pd.Series) -> pd.Series:
+def _by_value(c: Column, f: Callable[[str], str]) -> Column:
+    # Built here, as a function of this kind needs a running session.
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
+
+    return run(c)
+
+
+def decode_entities(c: Column) -> Column:
     """Numeric and basic named entities."""
-    return s.map(lambda x: None if x is None else _title.decode_entities(x))
+    return _by_value(c, _title.decode_entities)
 
 
-@F.pandas_udf("string")
-def decode_percent(s: pd.Series) -> pd.Series:
+def decode_percent(c: Column) -> Column:
     """Valid percent escapes; plus signs and malformed ones stay."""
-    return s.map(lambda x: None if x is None else _title.decode_percent(x))
+    return _by_value(c, _title.decode_percent)
 
 
-@F.pandas_udf("string")
-def normalize(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _title.normalize(x))
+def normalize(c: Column) -> Column:
+    return _by_value(c, _title.normalize)
