@@ -111,7 +111,7 @@ def page_comments(spark, d):
 
 @query(
     """SELECT page_id, len(list_filter(string_split(replace(wikitext, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_matches(x, '^={1,6}[^=].*=[ \\t]*$')))::BIGINT AS headings
-    FROM pages_raw WHERE regexp_matches(replace(wikitext, chr(13) || chr(10), chr(10)), '(^|\\n)={1,6}[^=\\n]+=[ \\t]*(\\n|$)')"""
+    FROM pages_raw WHERE regexp_matches(replace(wikitext, chr(13) || chr(10), chr(10)), '(^|\\n)={1,6}[^=\\n]+=+[ \\t]*(\\n|$)')"""
 )
 def page_headings(spark, d):
     return _per_row(spark, d, "subtype = 'heading'", "headings", 4)
@@ -283,7 +283,7 @@ def include_onlyinclude(spark, d):
 
 @query("SELECT p_partkey::BIGINT AS page_id, 'gallery' AS kind, 'File:Part_' || p_partkey || '.png' AS title, p_brand AS caption FROM part")
 def gallery_images(spark, d):
-    p = rendered(table(spark, d, "part"), "p_partkey", "<gallery>\nFile:Part ", c("p_partkey"), ".png|", c("p_brand"), "\nnot an image\n</gallery>")
+    p = rendered(table(spark, d, "part"), "p_partkey", "<gallery>\nFile:Part ", c("p_partkey"), ".png|", c("p_brand"), "\nnot [an] image\n</gallery>")
     return v.files(tokens(spark, p, "all")).select("page_id", "kind", "title", "caption")
 
 
@@ -349,9 +349,10 @@ def modifiers(spark, d):
     return v.template_uses(tokens(spark, p, "template_uses")).select("page_id", "name", "modifier")
 
 
-@query("SELECT l_orderkey::BIGINT AS page_id, count(*) AS uses FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey * 10 + l_linenumber AS page_id, count(*) AS uses FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL")
 def template_nested(spark, d):
-    p = rendered(table(spark, d, "lineitem"), "l_orderkey", "{{a|{{b|{{c|", c("l_linenumber"), "}}}}}}")
+    rows = table(spark, d, "lineitem").withColumn("k", c("l_orderkey") * 10 + c("l_linenumber"))
+    p = rendered(rows, "k", "{{a|{{b|{{c|", c("l_linenumber"), "}}}}}}")
     return v.template_uses(tokens(spark, p, "template_uses")).filter("name = 'Template:C' and in_template").groupBy("page_id").agg(F.count("*").alias("uses"))
 
 
@@ -558,10 +559,10 @@ def converter_rules(spark, d):
     return v.variants(Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p)).select("page_id", "lang", "to")
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, ['A', 'T'] AS flags FROM nation")
+@query("SELECT n_nationkey::BIGINT AS page_id, 'A,T' AS flags FROM nation")
 def converter_flags(spark, d):
     p = rendered(table(spark, d, "nation"), "n_nationkey", "-{A; T|zh-hans:", c("n_name"), "}-")
-    return v.variant_flags(Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p)).select("page_id", "flags")
+    return v.variant_flags(Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p)).select("page_id", F.array_join("flags", ",").alias("flags"))
 
 
 # ---- readers ----------------------------------------------------------------------------
@@ -618,7 +619,7 @@ def top_linked(spark, d):
     return v.links(tokens(spark, graph_pages(spark, d), "links")).groupBy("title").agg(F.count("*").alias("links")).orderBy(c("links").desc(), "title").limit(10)
 
 
-@query(f"SELECT 'Category:' || c_mktsegment AS category, n_name AS nation, count(*) AS pages FROM {CUSTOMERS} GROUP BY ROLLUP (category, nation)")
+@query(f"SELECT 'Category:' || c_mktsegment AS category, n_name AS nation, count(*) AS pages FROM {CUSTOMERS} GROUP BY ROLLUP ('Category:' || c_mktsegment, n_name)")
 def category_rollup(spark, d):
     t = tokens(spark, graph_pages(spark, d), "links")
     j = v.categories(t).select("page_id", c("title").alias("category")).join(v.links(t).select("page_id", c("title").alias("nation")), "page_id")
