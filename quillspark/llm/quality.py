@@ -32,6 +32,9 @@ _MOJI = re.compile(r"[\u00c2-\u00f4\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0
 _NUMERIC = re.compile(r"^[-+(]?\d[\d.,]*[%/:;?!,.)]*$")
 _LONG = re.compile(r"[A-Za-z0-9+/=]{24,}")
 _VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеиоуіыэюяёαεηιουωάέήίόύώ")
+_NOT_ALNUM = re.compile(r"[^\w\s]|_")
+_LETTER = re.compile(r"[^\W\d_]")
+_HEX = re.compile(r"[0-9a-fA-F]{2,8}:?")
 _TAG = re.compile(r"<[^<>\n]{1,200}>")
 
 
@@ -90,27 +93,24 @@ def readable_name(name: str) -> bool:
 
 def _junk_line(line: str) -> bool:
     s = line.strip()
-    solid = [c for c in s if not c.isspace()]
-    if not solid:
-        return False
-    n = len(solid)
-    bare = _TAG.sub(" ", s)
+    bare = _TAG.sub(" ", s) if "<" in s else s
     tokens = bare.split()
     if not tokens:
         return False
-    alnum = sum(c.isalnum() for c in solid)
+    n = len("".join(s.split()))
+    alnum = n - len(_NOT_ALNUM.findall(s))
     if n >= 6 and alnum < 0.3 * n and not re.fullmatch(r"[-=_*~|+:.\s]+|.*(?:\\\\|[{}|]).*", s):
         return True
-    if len(_MOJI.findall(s)) * 2 > 0.5 * n and n >= 4:
+    if not s.isascii() and n >= 4 and len(_MOJI.findall(s)) * 2 > 0.5 * n:
         return True
     if "\ufffd" in s and s.count("\ufffd") > 0.3 * n:
         return True
-    words = [t for t in tokens if any(c.isalpha() for c in t)]
-    if len(tokens) >= 6 and sum(len(t) == 1 for t in tokens) >= 0.8 * len(tokens) and sum(c.isalpha() for c in solid) >= 0.3 * n:
+    words = [t for t in tokens if _LETTER.search(t)]
+    if len(tokens) >= 6 and sum(len(t) == 1 for t in tokens) >= 0.8 * len(tokens) and len(words) >= 0.3 * n:
         return True
     if len(tokens) >= 4 and not words and "\t" not in s and not re.search(r"\S\s{2,}\S.*\S\s{2,}\S|[|;&]", s) and all(_NUMERIC.match(t) for t in tokens):
         return True
-    if len(tokens) >= 4 and sum(bool(re.fullmatch(r"[0-9a-fA-F]{2,8}:?", t)) for t in tokens) >= 0.9 * len(tokens) and sum(any(c.isdigit() for c in t) for t in tokens) >= 0.4 * len(tokens) and words:
+    if len(tokens) >= 4 and _HEX.fullmatch(tokens[0]) and sum(bool(_HEX.fullmatch(t)) for t in tokens) >= 0.9 * len(tokens) and sum(any(c.isdigit() for c in t) for t in tokens) >= 0.4 * len(tokens) and words:
         return True
     coded = sum(len(m[0]) for m in _LONG.finditer(bare) if "://" not in bare[max(0, m.start() - 12) : m.start()] and not _path_like(m[0]))
     if coded > 0.6 * n:
@@ -171,11 +171,17 @@ def _running_list(text: str) -> bool:
     return len(words) / len(items) <= 3.6 and len(_SENTENCE.findall(t)) <= max(1, len(items) / 8) and sum(w in COMMON for w in low) <= 0.25 * len(low)
 
 
+def _plain_prose(line: str) -> bool:
+    """A line that frequent function words alone show to be readable running text."""
+    tokens = line.lower().split()
+    return len(tokens) >= 9 and len(line) >= 4 * len(tokens) and sum(map(COMMON.__contains__, tokens)) * 5 >= len(tokens) and len(set(tokens)) >= 8 and "\t" not in line and " | " not in line and "||" not in line
+
+
 def line_forms(text: str) -> list[tuple[str, str]]:
     """(line, form) of each line that isn't blank; form ``other`` takes no side."""
     lines = [x for x in re.split(r"\r\n|\r|\n", text) if x.strip()]
     forms: list[str] = [""] * len(lines)
-    cols = [_columns(x) for x in lines]
+    cols: list[dict[str, int]] = [{} for _ in lines]
     fence = pre = table = None
     for i, line in enumerate(lines):
         s = line.strip()
@@ -201,8 +207,12 @@ def line_forms(text: str) -> list[tuple[str, str]]:
             forms[i] = "other"
         elif re.match(r"\\(?:begin|end)\{(?:itemize|enumerate|description)", s) or _BULLET.match(line):
             forms[i] = "list"
+        elif _plain_prose(line):
+            forms[i] = "prose"
         elif _junk_line(line):
             forms[i] = "junk"
+        if forms[i] != "prose":
+            cols[i] = _columns(line)
     # A way to divide lines makes a table where neighbours agree on the number of fields.
     for i, line in enumerate(lines):
         if forms[i]:
