@@ -13,7 +13,7 @@ BROADCAST_LINES = 200_000
 
 def wikitext_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, wikitext): one row per ``.wikitext`` file of a folder, or for one file; title is the file's name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.wikitext").text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.wikitext")
     file = F.col("_metadata.file_path")
     name = F.regexp_replace(F.regexp_extract(file, "([^/]+)$", 1), "\\.wikitext$", "")
     return rows.select(file.alias("path"), F.translate(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "_", " ").alias("title"), F.col("value").alias("wikitext"))
