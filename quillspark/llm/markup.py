@@ -39,7 +39,7 @@ _RULES: tuple[tuple[str, str, str], ...] = (
     ("tag", "html", rf"</?[A-Za-z][\w:-]*{_ATTR}*\s*/?>"),
     ("charref", "html", r"&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"),
     ("fence", "markdown", r"^[ ]{0,3}(?:```+|~~~+)[ \t]*[\w+#.-]*[ \t\r]*$"),
-    ("delimiter_row", "markdown", r"^[ \t]*(?:\|[ \t]*)?:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)*\|[ \t]*(?::?-{2,}:?[ \t]*)?\r?$"),
+    ("delimiter_row", "markdown", r"^[ \t]*(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|[ \t]*(?::?-+:?[ \t]*)?\r?$"),
     ("number_heading", "markdown", r"^[ ]{0,3}\#{1,6}[ \t]+(?=\S)"),
     ("environment", "latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}"),
     ("display", "latex", r"\$\$(?=[^$\n])[^$]{1,2000}?\$\$|\\\[(?:[^\\]|\\(?!\]))+?\\\]|\\\((?:[^\\]|\\(?!\)))+?\\\)"),
