@@ -24,7 +24,7 @@ from quillspark.session import cut
 #: Each level's range is this many bits of the second key wider than the one below.
 LEAF_BITS = 4
 #: (bits of the second key, bits of the first key) that a level drops, narrowest first; None: the whole second key.
-LEVELS: tuple[tuple[int | None, int], ...] = ((LEAF_BITS, 0), (8, 0), (None, 0), (None, 6), (None, 12), (None, 20))
+LEVELS: tuple[tuple[int | None, int], ...] = ((LEAF_BITS, 0), (10, 0), (None, 0), (None, 8), (None, 18))
 #: Keys that differ are broadcast to the copies up to this many rows (16 bytes each), joined by shuffle above.
 BROADCAST_KEYS = 500_000
 
