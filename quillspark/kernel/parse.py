@@ -140,10 +140,10 @@ class Page:
         return [node, *p.cut(m.end(), len(p.text))]
 
     def comments(self, run: Run, in_ext: bool = False) -> Run:
+        if not any(isinstance(x, str) and "<" in x for x in run):
+            return run
         p = self.project(run)
         t = p.text
-        if "<" not in t:
-            return run
         if self.include and (found := self._onlyinclude(p)) is not None:
             return found
         out: Run = []
@@ -318,10 +318,10 @@ class Page:
     _BRACE = re.compile(r"\[\[|\]\]|-\{(?!\{)|\}-|\{\{+|\}\}+|\||=|\n")
 
     def braces(self, run: Run) -> Run:
+        if not any(isinstance(x, str) and "{{" in x for x in run):
+            return run
         p = self.project(run)
         t = p.text
-        if "{{" not in t:
-            return run
         root: list[Run] = [[]]
         # A frame: opener, count of braces, parts, place of the first equals sign in each part.
         stack: list[tuple[str, int, list[Run], list[int | None]]] = []
@@ -484,10 +484,10 @@ class Page:
     # ---- stage 2: HTML tags --------------------------------------------------------------
 
     def html(self, run: Run) -> Run:
+        if not any(isinstance(x, str) and "<" in x for x in run):
+            return run
         p = self.project(run)
         t = p.text
-        if "<" not in t:
-            return run
         out: Run = []
         done = 0
         for m in self.g.html.finditer(t):
@@ -508,6 +508,8 @@ class Page:
     # ---- stage 3: tables -----------------------------------------------------------------
 
     def tables(self, run: Run, midline: bool = False) -> Run:
+        if not any("{" in x if isinstance(x, str) else x.marker == "{" for x in run):
+            return run
         p = self.project(run)
         t, g = p.text, self.g
         if "{|" not in t and self.m.char["{"] not in t and "{" + self.m.char["!"] not in t:
@@ -587,10 +589,10 @@ class Page:
     # ---- stage 4: rules, switches, headings ----------------------------------------------
 
     def line_marks(self, run: Run, heading: bool = True) -> Run:
+        if not any(isinstance(x, str) and ("=" in x or "----" in x or "__" in x or "＿＿" in x) for x in run):
+            return run
         p = self.project(run)
         t = p.text
-        if not ("=" in t or "----" in t or "__" in t or "＿＿" in t):
-            return run
         out: Run = []
         for i, (a, b) in enumerate(self._lines(t)):
             if i:
@@ -764,7 +766,11 @@ class Page:
             done = m.end()
         return [*out, *p.cut(done, len(p.text))] if out else run
 
+    _MAGIC = re.compile(r"[:/]|RFC|PMID|ISBN", re.I)
+
     def magic_links(self, run: Run) -> Run:
+        if not any(isinstance(x, str) and self._MAGIC.search(x) for x in run):
+            return run
         p, out, done = self.project(run), [], 0
         for m in self.g.free.finditer(p.text):
             end = m.end()
@@ -788,11 +794,13 @@ class Page:
 
     # ---- stage 9: lists ------------------------------------------------------------------
 
+    _LIST_SIGN = re.compile(r"[*#:;]")
+
     def lists(self, run: Run, midline: bool = False) -> Run:
+        if not any(isinstance(x, str) and self._LIST_SIGN.search(x) for x in run) or "list" in self.config.excludes:
+            return run
         p = self.project(run)
         t = p.text
-        if not re.search(r"[*#:;]", t) or "list" in self.config.excludes:
-            return run
         out: Run = []
         for i, (a, b) in enumerate(self._lines(t)):
             if i:
@@ -862,7 +870,12 @@ class Page:
 
     # ---- driver --------------------------------------------------------------------------
 
+    #: Without one of these no stage finds anything in a text.
+    _TRIGGER = re.compile(r"[<\[{'=*#:;]|__|----|＿＿|-\{|//|RFC|PMID|ISBN", re.I)
+
     def pipeline(self, run: Run, stages, in_ext: bool = False, midline: bool = False, heading: bool = True) -> Run:  # noqa: ANN001
+        if not any(isinstance(x, str) and self._TRIGGER.search(x) for x in run) and not any(isinstance(x, Node) and x.marker in "!{" for x in run):
+            return join(run)
         steps: dict[int, Callable[[Run], Run]] = {
             0: lambda r: self.comments(r, in_ext), 1: self.braces, 2: self.html, 3: lambda r: self.tables(r, midline), 4: lambda r: self.line_marks(r, heading), 5: lambda r: self.links(r, in_ext),
             6: self.quotes, 7: self.ext_links, 8: self.magic_links, 9: lambda r: self.lists(r, midline), 10: self.converters,

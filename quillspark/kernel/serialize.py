@@ -105,6 +105,7 @@ PAYLOAD = (
     ("tag", "string"), ("attr", "string"), ("inner", "string"), ("tag_closing", "string"), ("equal", "string"), ("quote_open", "string"), ("quote_close", "string"), ("raw_syntax", "string"),
     ("space", "string"), ("magic_pipe", "boolean"), ("modifier", "string"), ("anon", "boolean"), ("module", "string"), ("function", "string"), ("forced", "boolean"), ("interwiki", "string"), ("ns", "int"), ("fragment", "string"), ("capped", "boolean"),
 )
+_FIELDS = frozenset(k for k, _ in PAYLOAD)
 TOKEN_DDL = (
     "node_id int, parent_id int, child_ix int, depth int, subtree_end int, kind string, type string, subtype string, name string, sep string, text string, "
     "value string, in_ext_inner boolean, in_template boolean, in_ref boolean, payload struct<"
@@ -136,7 +137,7 @@ def rows(root: Node) -> list[tuple]:
         if isinstance(x, str):
             out.append([node_id, parent if parent >= 0 else None, ix, depth, node_id, "text", "TEXT", "text", None, None, x, None, None, in_t, in_r, None])
             continue
-        payload = {k: x.data.get(k) for k, _ in PAYLOAD} if x.data else None
+        payload = {k: v for k, v in x.data.items() if v is not None and k in _FIELDS} if x.data else None
         value = _inner_text(x) if x.subtype in VALUE_ROLES else None
         out.append([node_id, parent if parent >= 0 else None, ix, depth, node_id, "token", x.type, x.subtype, x.name, x.sep or None, None, value, x.in_ext, in_t, in_r, payload])
         in_t, in_r = in_t or x.type == "TRANSCLUDE", in_r or (x.type == "EXT" and x.name == "ref")

@@ -52,6 +52,12 @@ def smallest_difference(diff: DataFrame, t: DataFrame) -> DataFrame:
     return d.groupBy("page_id").agg(F.max_by(F.struct("node_id", "field"), F.struct("depth", -F.col("node_id"))).alias("x")).select("page_id", "x.node_id", "x.field")
 
 
+def snapshot_diff(got: DataFrame, want: DataFrame) -> DataFrame:
+    """(page_id, stage): the first stage of each page after which two runs' snapshots differ or one is missing."""
+    j = got.alias("g").join(want.alias("w"), ["page_id", "stage"], "full").filter(~F.col("g.snapshot").eqNullSafe(F.col("w.snapshot")))
+    return j.groupBy("page_id").agg(F.min("stage").alias("stage"))
+
+
 def parity(got: DataFrame, want: DataFrame) -> DataFrame:
     """(page_id, text_equal): whether two (page_id, text) tables agree; a page on one side only is unequal."""
     j = got.alias("g").join(want.alias("w"), "page_id", "full")

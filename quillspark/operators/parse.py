@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quillspark.kernel import render, serialize
 from quillspark.kernel.config import SiteConfig
 from quillspark.kernel.parse import MAX_STAGE, parse
+from quillspark.kernel.scan import RULES, scan
 
 #: Rows of one Arrow batch out; bounds memory for a page with very many nodes.
 BATCH_ROWS = 20_000
@@ -146,6 +147,16 @@ class Engine:
 
         return map_pages(_pages(df, text_col, id_col, None), "stage int, snapshot string", one, df.select(id_col).dtypes[0][1])
 
+    def scan(self, df: DataFrame, rule: str, text_col: str = "wikitext", id_col: str = "page_id") -> DataFrame:
+        """(page_id, ordinal, start, end, inner): the matches of a delimiter rule of kernel.scan."""
+        r = RULES[rule]
+
+        def one(page: object, title: str | None, text: str | None) -> Iterable[tuple]:
+            found = (s for s in scan(text or "", r) if s.kind != "text")
+            return ((i, s.start, s.end, text[s.inner_start : s.inner_end] if s.kind == "inner" else None) for i, s in enumerate(found))
+
+        return map_pages(_pages(df, text_col, id_col, None), "ordinal int, start int, end int, inner string", one, df.select(id_col).dtypes[0][1])
+
     def register_sql(self) -> None:
         """``wikitext_tokens(text)``, a table function for SQL: FROM pages, LATERAL wikitext_tokens(wikitext) t."""
         from pyspark.sql.functions import udtf

@@ -224,13 +224,16 @@ def includes(t: DataFrame) -> DataFrame:
 
 
 def edges(t: DataFrame) -> DataFrame:
-    """(page_id, rel, dst): the knowledge graph of the pages."""
-    rel = lambda df, name, col: df.select("page_id", F.lit(name).alias("rel"), F.col(col).alias("dst"))
-    parts = [rel(links(t), "linksTo", "title"), rel(categories(t), "hasCategory", "title"), rel(files(t), "usesFile", "title"), rel(template_uses(t), "usesTemplate", "name"), rel(ext_links(t), "externalLink", "url"), rel(redirects(t), "redirectsTo", "title"), rel(invocations(t), "invokes", "module")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(page_id, rel, dst): the knowledge graph of the pages, in one pass over the tokens without a shuffle."""
+    role, name, value = F.col("subtype"), F.col("name"), F.col("value")
+    named = {"link": "linksTo", "category": "hasCategory", "template": "usesTemplate", "redirect": "redirectsTo", **dict.fromkeys(("file", "gallery-image", "imagemap-image"), "usesFile")}
+    module = F.col("payload.module")
+    rel, dst = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, r in named.items():
+        rel, dst = F.when(role == k, F.lit(r)).otherwise(rel), F.when(role == k, name).otherwise(dst)
+    url = role.isin("ext-link-url", "free-ext-link")
+    rel, dst = F.when(url, F.lit("externalLink")).when((role == "magic-word") & module.isNotNull(), F.lit("invokes")).otherwise(rel), F.when(url, value).when(role == "magic-word", module).otherwise(dst)
+    return t.filter(role.isin(*named, "ext-link-url", "free-ext-link", "magic-word")).select("page_id", rel.alias("rel"), dst.alias("dst")).filter(F.col("rel").isNotNull())
 
 
 def descendants(t: DataFrame, ancestors: DataFrame) -> DataFrame:

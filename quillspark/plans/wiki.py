@@ -17,7 +17,7 @@ from quillspark.kernel.config import with_variants
 from quillspark.operators import evaluate as ev
 from quillspark.operators import views as v
 from quillspark.operators.parse import Engine, stage_for
-from quillspark.session import table
+from quillspark.session import cut, table
 from quillspark.sources.pages import line_window, page_records, pick_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def tokens(spark: SparkSession, pages: DataFrame, *view_names: str, **kw: object
     return Engine(spark).tokens(pages, max_stage=stage_for(view_names), **kw)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Tokens that a view reads more than once, parsed once and written to the shared folder."""
+    return cut(df)
+
+
 def customers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
 
@@ -135,7 +140,7 @@ def page_token_types(spark, d):
 
 @query("SELECT NULL::BIGINT AS page_id, NULL::INTEGER AS node_id, NULL::VARCHAR AS problem WHERE false")
 def schema_violations(spark, d):
-    return ev.schema_violations(Engine(spark).tokens(pages(spark, d).dropDuplicates(["page_id"])))
+    return ev.schema_violations(stored(Engine(spark).tokens(pages(spark, d).dropDuplicates(["page_id"]))))
 
 
 @query("SELECT NULL::BIGINT AS page_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS error WHERE false")
@@ -211,7 +216,7 @@ def html_tags(spark, d):
 )
 def html_attrs(spark, d):
     p = rendered(customers(spark, d), "c_custkey", '<div class="', c("n_name"), '" id=x', c("c_custkey"), " hidden>a</div>")
-    return v.html_attrs(tokens(spark, p, "html_tags")).select("page_id", "attr", "value", "quote")
+    return v.html_attrs(stored(tokens(spark, p, "html_tags"))).select("page_id", "attr", "value", "quote")
 
 
 @query("SELECT c_custkey::BIGINT AS page_id, true AS self_closing FROM customer")
@@ -248,7 +253,7 @@ def redirect_targets_builtin(spark, d):
 @query("SELECT o_orderkey::BIGINT AS page_id, 'n' || o_orderkey AS ref_name, 1 AS number, count(*) AS uses FROM orders, (VALUES (1), (2)) t(u) GROUP BY ALL UNION ALL SELECT o_orderkey, NULL, 2, 1 FROM orders")
 def ext_refs(spark, d):
     p = rendered(table(spark, d, "orders"), "o_orderkey", 'a<ref name="n', c("o_orderkey"), '">', c("o_orderpriority"), "</ref>b<ref>x</ref> <ref name=n", c("o_orderkey"), " />")
-    return v.refs(tokens(spark, p, "ext_tags")).groupBy("page_id", "ref_name", "number").agg(F.count("*").alias("uses"))
+    return v.refs(stored(tokens(spark, p, "ext_tags"))).groupBy("page_id", "ref_name", "number").agg(F.count("*").alias("uses"))
 
 
 @query("SELECT o_orderkey::BIGINT AS page_id, t AS tag, t = 'references' AS self_closing, CASE t WHEN 'nowiki' THEN '[[' || o_custkey || ']]' END AS inner_text FROM orders, (VALUES ('nowiki'), ('references')) x(t)")
@@ -260,7 +265,7 @@ def ext_tags(spark, d):
 @query("SELECT o_orderkey::BIGINT AS page_id, 'lang' AS attr, 'x' || o_custkey AS value FROM orders UNION ALL SELECT o_orderkey, 'line', NULL FROM orders")
 def ext_attrs(spark, d):
     p = rendered(table(spark, d, "orders"), "o_orderkey", "<syntaxhighlight lang='x", c("o_custkey"), "' line>a</syntaxhighlight>")
-    return v.ext_attrs(tokens(spark, p, "ext_tags")).select("page_id", "attr", "value")
+    return v.ext_attrs(stored(tokens(spark, p, "ext_tags"))).select("page_id", "attr", "value")
 
 
 @query("SELECT n_nationkey::BIGINT AS page_id, s AS subtype, CASE i WHEN 1 THEN '<noinclude>' WHEN 2 THEN '</noinclude>' ELSE n_name END AS value FROM nation, (VALUES (1, 'noinclude'), (2, 'noinclude'), (3, 'include')) t(i, s)")
@@ -284,7 +289,7 @@ def include_onlyinclude(spark, d):
 @query("SELECT p_partkey::BIGINT AS page_id, 'gallery' AS kind, 'File:Part_' || p_partkey || '.png' AS title, p_brand AS caption FROM part")
 def gallery_images(spark, d):
     p = rendered(table(spark, d, "part"), "p_partkey", "<gallery>\nFile:Part ", c("p_partkey"), ".png|", c("p_brand"), "\nnot [an] image\n</gallery>")
-    return v.files(tokens(spark, p, "all")).select("page_id", "kind", "title", "caption")
+    return v.files(stored(tokens(spark, p, "all"))).select("page_id", "kind", "title", "caption")
 
 
 @query("SELECT p_partkey::BIGINT AS page_id, 'rect' AS shape, '[[' || p_partkey || ']]' AS link FROM part")
@@ -316,13 +321,13 @@ def templates(spark, d):
     FROM orders, (VALUES (1, '1', true), (2, 'status', false), (3, '2', true), (4, 'priority', false), (5, 'status', false)) t(o, k, a)"""
 )
 def template_params(spark, d):
-    out = v.template_params(tokens(spark, _orders(spark, d), "template_params"))
+    out = v.template_params(stored(tokens(spark, _orders(spark, d), "template_params")))
     return out.filter("call = 'Template:Order_box'").select("page_id", "param_name", "value", "anon")
 
 
 @query("SELECT o_orderkey::BIGINT AS page_id, 5::BIGINT AS params, 2::BIGINT AS anon_count, true AS duplication FROM orders")
 def template_dups(spark, d):
-    return v.template_summary(tokens(spark, _orders(spark, d), "template_params")).filter("call = 'Template:Order_box'").select("page_id", "params", "anon_count", "duplication")
+    return v.template_summary(stored(tokens(spark, _orders(spark, d), "template_params"))).filter("call = 'Template:Order_box'").select("page_id", "params", "anon_count", "duplication")
 
 
 @query("SELECT p_partkey::BIGINT AS page_id, 'k' || p_size AS name, p_name AS \"default\" FROM part")
@@ -432,22 +437,22 @@ CELLS = """SELECT n_regionkey::BIGINT AS page_id, row_number() OVER (PARTITION B
 
 @query(f"SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY k)::INTEGER AS row_ix, col_ix, text FROM (SELECT n_regionkey::BIGINT AS page_id, n_nationkey AS k, i AS col_ix, CASE i WHEN 1 THEN n_nationkey::VARCHAR WHEN 2 THEN n_name ELSE 'end' END AS text FROM nation, (VALUES (1), (2), (3)) t(i))")
 def table_cells(spark, d):
-    return v.table_cells(tokens(spark, tabled(spark, d), "tables")).filter("kind = 'td'").select("page_id", "row_ix", "col_ix", "text")
+    return v.table_cells(stored(tokens(spark, tabled(spark, d), "tables"))).filter("kind = 'td'").select("page_id", "row_ix", "col_ix", "text")
 
 
 @query("SELECT r_regionkey::BIGINT AS page_id, t AS text FROM region, (VALUES ('key'), ('name')) x(t) WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
 def table_headers(spark, d):
-    return v.table_cells(tokens(spark, tabled(spark, d), "tables")).filter("kind = 'th'").select("page_id", "text")
+    return v.table_cells(stored(tokens(spark, tabled(spark, d), "tables"))).filter("kind = 'th'").select("page_id", "text")
 
 
 @query("SELECT r_regionkey::BIGINT AS page_id, r_name AS text FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
 def table_captions(spark, d):
-    return v.table_cells(tokens(spark, tabled(spark, d), "tables")).filter("kind = 'caption'").select("page_id", "text")
+    return v.table_cells(stored(tokens(spark, tabled(spark, d), "tables"))).filter("kind = 'caption'").select("page_id", "text")
 
 
 @query("SELECT n_regionkey::BIGINT AS page_id, sum(2)::BIGINT AS spanned FROM nation GROUP BY ALL")
 def table_spans_attrs(spark, d):
-    return v.table_cells(tokens(spark, tabled(spark, d), "tables")).filter("colspan > 1").groupBy("page_id").agg(F.sum("colspan").cast("bigint").alias("spanned"))
+    return v.table_cells(stored(tokens(spark, tabled(spark, d), "tables"))).filter("colspan > 1").groupBy("page_id").agg(F.sum("colspan").cast("bigint").alias("spanned"))
 
 
 @query("SELECT n_regionkey::BIGINT AS page_id, count(*) AS rows FROM nation GROUP BY ALL")
@@ -500,7 +505,7 @@ def filed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_partkey::BIGINT AS page_id, 'File:Part_' || p_partkey || '.jpg' AS title, 'See [[it|' || p_name || ']].' AS caption, p_size::VARCHAR AS width, '20' AS height FROM part")
 def files(spark, d):
-    return v.files(tokens(spark, filed(spark, d), "files")).select("page_id", "title", "caption", "width", "height")
+    return v.files(stored(tokens(spark, filed(spark, d), "files"))).select("page_id", "title", "caption", "width", "height")
 
 
 @query("SELECT p_partkey::BIGINT AS page_id, k AS param_name, CASE k WHEN 'thumbnail' THEN 'thumb' WHEN 'width' THEN p_size || 'x20' WHEN 'alt' THEN p_type ELSE 'See [[it|' || p_name || ']].' END AS value FROM part, (VALUES ('thumbnail'), ('width'), ('alt'), ('caption')) t(k)")
@@ -621,7 +626,7 @@ def top_linked(spark, d):
 
 @query(f"SELECT 'Category:' || c_mktsegment AS category, n_name AS nation, count(*) AS pages FROM {CUSTOMERS} GROUP BY ROLLUP ('Category:' || c_mktsegment, n_name)")
 def category_rollup(spark, d):
-    t = tokens(spark, graph_pages(spark, d), "links")
+    t = stored(tokens(spark, graph_pages(spark, d), "links"))
     j = v.categories(t).select("page_id", c("title").alias("category")).join(v.links(t).select("page_id", c("title").alias("nation")), "page_id")
     return j.rollup("category", "nation").agg(F.count("*").alias("pages"))
 
@@ -629,7 +634,7 @@ def category_rollup(spark, d):
 @query("SELECT o_orderkey::BIGINT AS page_id, 4::BIGINT AS inside FROM orders")
 def descendants(spark, d):
     p = rendered(table(spark, d, "orders"), "o_orderkey", "[[a|", c("o_custkey"), "]]")
-    t = tokens(spark, p, "links")
+    t = stored(tokens(spark, p, "links"))
     return v.descendants(t, t.filter("subtype = 'link'")).groupBy("page_id").agg(F.count("*").alias("inside"))
 
 
@@ -743,6 +748,32 @@ def stage_snapshots(spark, d):
     return Engine(spark).snapshots(p).groupBy("page_id").agg(F.count("*").alias("stages"))
 
 
+@query("SELECT n_nationkey::BIGINT AS page_id, 4 AS stage FROM nation")
+def snapshot_diff(spark, d):
+    n = table(spark, d, "nation")
+    a, b = (Engine(spark).snapshots(rendered(n, "n_nationkey", "x\n", mark, c("n_name"), mark)) for mark in ("==", "++"))
+    same = lambda x: x.filter("stage >= 3")
+    plain = lambda x: same(x).withColumn("snapshot", F.regexp_replace("snapshot", "\\+\\+", "=="))
+    return ev.snapshot_diff(same(a), plain(b))
+
+
+@query("SELECT o_orderkey::BIGINT AS page_id, i AS ordinal, CASE i WHEN 0 THEN 'b|' || o_custkey ELSE 'c' END AS inner FROM orders, (VALUES (0), (1)) t(i)")
+def scan_innermost(spark, d):
+    p = rendered(table(spark, d, "orders"), "o_orderkey", "{{a|{{b|", c("o_custkey"), "}}}} {{c}} {{open")
+    return Engine(spark).scan(p, "template_inner").select("page_id", "ordinal", "inner")
+
+
+@query("SELECT o_orderkey::BIGINT AS page_id, i AS ordinal, CASE i WHEN 0 THEN 'a|{{b|' || o_custkey || '}}' ELSE 'c' END AS inner FROM orders, (VALUES (0), (1)) t(i)")
+def scan_outermost(spark, d):
+    p = rendered(table(spark, d, "orders"), "o_orderkey", "{{a|{{b|", c("o_custkey"), "}}}} {{c}}")
+    return Engine(spark).scan(p, "template_outer").select("page_id", "ordinal", "inner")
+
+
+@query("SELECT doc_id AS page_id, len(regexp_extract_all(text, '(?s)<!--.*?-->'))::BIGINT AS comments FROM documents WHERE regexp_matches(text, '(?s)<!--.*?-->')")
+def scan_comments(spark, d):
+    return Engine(spark).scan(table(spark, d, "documents"), "comment", "text", "doc_id").groupBy("page_id").agg(F.count("*").alias("comments"))
+
+
 @query(f"SELECT c_custkey::BIGINT AS page_id, n_name AS target FROM {CUSTOMERS}")
 def sql_table_function(spark, d):
     Engine(spark).register_sql()

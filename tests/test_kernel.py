@@ -188,3 +188,25 @@ def test_markdown():
     assert md("{|\n! a\n|-\n| b\n|}") == "| a |\n| --- |\n| b |"
     assert md('x<ref name="n">note</ref>y<ref name="n" />') == "x[^n]y[^n]\n\n[^n]: note"
     assert md("* a\n** b") == "- a\n  - b".replace("- a", "-  a").replace("- b", "-  b")
+
+
+def test_scan_modes():
+    from quillspark.kernel.scan import RULES, fixpoint, scan
+
+    inner = lambda s, r: [s[x.inner_start : x.inner_end] for x in scan(s, RULES[r]) if x.kind == "inner"]
+    assert inner("{{a{{b}}c}} {{d}}", "template_inner") == ["b", "d"] and inner("{{a{{b}}c}} {{d}}", "template_outer") == ["a{{b}}c", "d"]
+    assert inner("<!-- a <!-- b --> c -->", "comment") == [" a <!-- b "] and inner("{{{{a}}}}", "argument") == []
+    assert [x.kind for x in scan("a<nowiki/>b<NOWIKI>c</nowiki>", RULES["nowiki"])] == ["text", "self_closing", "text", "inner"]
+    assert inner("[[a\nb]] [[c]]", "wikilink") == ["c"] and inner("__TOC__ __a b__", "switch") == ["TOC"]
+    assert fixpoint("{{{a}}} {{{b|{{{c}}} }}}", RULES["argument"], lambda x: f"<{x}>").count("<") >= 2
+    for s in ("", "x", "{{a", "}}", "{{a}}{{b"):
+        assert "".join(s[x.start : x.end] for x in scan(s, RULES["template_inner"])) == s
+
+
+def test_single_text_api():
+    from quillspark.kernel.api import WikiConfig, WikiParser
+
+    p = WikiParser()
+    assert p.parse_to_string("") == "" and p.parse_to_dict("") == {} and p.parse("") is None
+    assert p.parse_to_string("[[a]]\r\n") == "[[a]]\n" and p.parse_to_dict("[[a]]")["childNodes"][0]["type"] == "link"
+    assert WikiParser(WikiConfig.from_string('{"protocol": "x:"}')).parse("''a''").children
