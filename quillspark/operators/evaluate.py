@@ -85,15 +85,16 @@ def speedup(samples: DataFrame, first: str, second: str) -> DataFrame:
 def profile_diff(profile: DataFrame, run_a: str, run_b: str, top: int = 20) -> DataFrame:
     """Leaf shares of two runs and their difference, the largest first; profile: (run, leaf, cnt)."""
     s = profile.filter(F.col("run").isin(run_a, run_b)).groupBy("leaf").agg(*[F.sum(F.when(F.col("run") == r, F.col("cnt")).otherwise(0)).alias(n) for r, n in ((run_a, "a"), (run_b, "b"))])
-    tot = s.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     # One row of totals.
-    out = s.join(F.broadcast(tot)).select("leaf", F.round(F.col("a") * 100 / F.col("ta"), 4).alias("share_a"), F.round(F.col("b") * 100 / F.col("tb"), 4).alias("share_b"))
+    ta, tb = s.agg(F.sum("a"), F.sum("b")).first()
+    out = s.select("leaf", F.round(F.col("a") * 100 / F.lit(ta or None), 4).alias("share_a"), F.round(F.col("b") * 100 / F.lit(tb or None), 4).alias("share_b"))
     return out.withColumn("delta", F.round(F.col("share_b") - F.col("share_a"), 4)).orderBy(F.abs("delta").desc(), "leaf").limit(top)
 
 
 def run_summary(pages: DataFrame, failures: DataFrame, name: str) -> DataFrame:
     """(input, processed, failures, ok): one row for a corpus run."""
-    n = pages.agg(F.count("*").alias("processed")).join(failures.agg(F.count("*").alias("failures")))
+    both = pages.select(F.lit(1).alias("p"), F.lit(0).alias("f")).unionByName(failures.select(F.lit(0).alias("p"), F.lit(1).alias("f")))
+    n = both.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("processed"), F.coalesce(F.sum("f"), F.lit(0)).alias("failures"))
     return n.select(F.lit(name).alias("input"), "processed", "failures", (F.col("failures") == 0).alias("ok"))
 
 

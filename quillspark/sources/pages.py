@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Picked lines are broadcast up to this many, joined by shuffle above.
@@ -26,8 +26,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("_i"), "value")
     part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND((1 << 33) - 1)
-    counts = rows.groupBy(part.alias("_p")).count()
-    offsets = counts.alias("a").join(counts.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_o"))
+    # One row per partition of the scan, so one task suffices for the running sum.
+    before = F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(part.alias("_p")).count().select("_p", F.coalesce(before, F.lit(0)).alias("_o"))
     return rows.withColumn("_p", part).join(F.broadcast(offsets), "_p").select((place + F.col("_o") + 1).alias("line"), "value")
 
 
