@@ -92,18 +92,12 @@ def forms(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     return docs.select(F.lit("documents").alias("src"), "rec_id", F.lit(-1).alias("node_id"), "form").unionByName(toks.select(F.lit("tokens").alias("src"), "rec_id", "node_id", F.lit("junk").alias("form")))
 
 
-def latest_sections(sections: DataFrame) -> DataFrame:
-    return latest(sections.select("page_id", "section_ix", "text", "loaded_at"), ["page_id", "section_ix"], "loaded_at", "text")
-
-
 def oversized_sections(sections: DataFrame, limit: int = 2000) -> DataFrame:
     """(page_id, section_ix, cut): the coarsest kind of cut that brings each oversized text under the limit."""
-    # Only texts that may be too long reach Python; the exact length is taken there.
-    long_ = latest_sections(sections.filter(F.length("text") > limit))
-    rows = map_rows(long_, lambda: lambda page, ix, text: iter([(page, ix, c)] if (c := splitting.coarsest(text, limit)) else []), "page_id bigint, section_ix int, cut string")
-    # A long row may be superseded by a short one.
-    newest = latest(sections.select("page_id", "section_ix", F.length("text").alias("n"), "loaded_at"), ["page_id", "section_ix"], "loaded_at", "n").filter(F.col("n") > limit)
-    return rows.join(newest.select("page_id", "section_ix"), ["page_id", "section_ix"], "left_semi")
+    # A short text only supersedes: its row is carried without the text, and only long texts reach Python.
+    rows = sections.select("page_id", "section_ix", F.when(F.length("text") > limit, F.col("text")).alias("text"), "loaded_at")
+    long_ = latest(rows, ["page_id", "section_ix"], "loaded_at", "text").filter(F.col("text").isNotNull())
+    return map_rows(long_, lambda: lambda page, ix, text: iter([(page, ix, c)] if (c := splitting.coarsest(text, limit)) else []), "page_id bigint, section_ix int, cut string")
 
 
 def section_pieces(sections: DataFrame, limit: int, overlap: int) -> DataFrame:

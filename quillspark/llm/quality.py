@@ -24,6 +24,8 @@ COMMON = frozenset(
     ).split()
 )
 
+#: A text is junk where one phrase of up to three words covers this share of its letters.
+DOMINANT = 0.6
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TERMINAL = re.compile(r"""[.!?…。！？:]["'”’»)\]]*\s*$""")
 _SENTENCE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|$)""")
@@ -32,6 +34,7 @@ _MOJI = re.compile(r"[\u00c2-\u00f4\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0
 _NUMERIC = re.compile(r"^[-+(]?\d[\d.,]*[%/:;?!,.)]*$")
 _LONG = re.compile(r"[A-Za-z0-9+/=]{24,}")
 _VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœаеиоуіыэюяёαεηιουωάέήίόύώ")
+_INLINE = re.compile(r"\{\{\{?[^{}]*\}?\}\}|\[\[[^\[\]]*\]\]")
 _NOT_ALNUM = re.compile(r"[^\w\s]|_")
 _LETTER = re.compile(r"[^\W\d_]")
 _HEX = re.compile(r"[0-9a-fA-F]{2,8}:?")
@@ -137,6 +140,9 @@ _COLUMNS = (("tab", "\t"), ("pipe", "|"), ("semicolon", ";"), ("comma", ","), ("
 def _columns(line: str) -> dict[str, int]:
     """Number of fields a line has under each way to divide it, where that is two or more."""
     s = line.strip("\r\n ")
+    # Bars inside calls and links divide nothing.
+    if "{{" in s or "[[" in s:
+        s = _INLINE.sub("x", s)
     out = {}
     if "\t" in s:
         out["tab"] = s.count("\t") + 1
@@ -205,8 +211,11 @@ def line_forms(text: str) -> list[tuple[str, str]]:
             forms[i] = "other"
         elif re.match(r"(=+)[^=].*\1$|#{1,6}\s+\S|\\(?:sub)*section\b|<h\d\b", s) or re.match(r"\\(?:begin|end)\{equation|\$\$|\\\[|t = \\", s):
             forms[i] = "other"
-        elif re.match(r"\\(?:begin|end)\{(?:itemize|enumerate|description)", s) or _BULLET.match(line):
+        elif re.match(r"\\(?:begin|end)\{(?:itemize|enumerate|description)", s):
             forms[i] = "list"
+        elif _BULLET.match(line):
+            # A mark that opens emphasis or stands among unreadable signs is no bullet.
+            forms[i] = "prose" if s[0] == "*" and s[1:2].isalnum() and _plain_prose(line) else "junk" if _junk_line(line) else "list"
         elif _plain_prose(line):
             forms[i] = "prose"
         elif _junk_line(line):
@@ -263,7 +272,8 @@ def document_form(text: str | None) -> str | None:
     c = forms_of(text)
     c["prose"] += c.pop("other")
     words = [w.lower() for w in _WORD.findall(text)]
-    if len(words) >= 10 and len(set(words)) <= max(2, len(words) // 20) and len(set(words)) <= 3:
+    # Repetition: one short phrase that makes up most of the text.
+    if len(words) >= 10 and len(set(words)) * 4 <= len(words) and max(_top_ngram(words, n, sum(map(len, words))) for n in (1, 2, 3)) >= DOMINANT:
         return "junk"
     if c["junk"] == 0 and len(words) == 0 and not re.search(r"\d", text) and len(text.strip()) >= 4:
         return "junk"
