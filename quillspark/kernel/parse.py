@@ -101,17 +101,15 @@ class Grammar:
         self.image_words = {k: v for k, v in config.img.items() if "$1" not in k}
 
 
-@lru_cache(maxsize=32)
-def _grammar_for(config_id: int, base: int) -> Grammar:
-    return Grammar(_CONFIGS[config_id], base)
-
-
-_CONFIGS: dict[int, SiteConfig] = {}
+#: Compiled grammars by version and block of marks; a worker meets few.
+_GRAMMARS: dict[tuple[str, int], Grammar] = {}
 
 
 def grammar(config: SiteConfig, base: int) -> Grammar:
-    _CONFIGS[id(config)] = config
-    return _grammar_for(id(config), base)
+    key = (config.version, base)
+    if key not in _GRAMMARS:
+        _GRAMMARS[key] = Grammar(config, base)
+    return _GRAMMARS[key]
 
 
 class Page:

@@ -123,6 +123,8 @@ def read_tree(s: str | None) -> dict | None:
             return None
     except ValueError:
         return None
+    if isinstance(v, dict) and "type" not in v and isinstance(v.get("token"), dict):
+        v = v["token"]
     return v if isinstance(v, dict) and isinstance(v.get("type"), str) else None
 
 

@@ -86,25 +86,30 @@ def tidy_text(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(L1.tidy(c("text"))).alias("digest"))
 
 
-@query("SELECT page_id, 'Category:' || replace(unnest(regexp_extract_all(wikitext, '\\[\\[Category:([^\\]|]+)', 1)), ' ', '_') AS title FROM pages_raw")
+@query("SELECT page_id, 'Category:' || replace(unnest(regexp_extract_all(wikitext, '\\[\\[Category:([^\\[\\]|\\n]+)(?:\\|[^\\]]*)?\\]\\]', 1)), ' ', '_') AS title FROM pages_raw")
 def page_categories(spark, d):
-    return v.categories(tokens(spark, pages(spark, d), "categories")).select("page_id", "title")
+    """Of rows that are copies or revisions of one page, each row counts."""
+    return v.categories(tokens(spark, numbered_pages(spark, d), "categories")).select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), "title")
 
 
-@query("SELECT page_id, len(regexp_extract_all(wikitext, '<ref[ >]'))::BIGINT AS refs FROM pages_raw WHERE wikitext LIKE '%<ref%'")
+@query()
 def page_refs(spark, d):
     return _per_row(spark, d, "type = 'EXT' and name = 'ref'", "refs", 0)
 
 
-def _per_row(spark: SparkSession, d: str, condition: str, name: str, stage: int) -> DataFrame:
-    """Counts per row of pages_raw, whose pages come in several revisions and copies."""
+def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of pages_raw as a page of its own, as pages come in several revisions and copies."""
     rows = pages(spark, d).withColumn("row", F.monotonically_increasing_id())
-    numbered = rows.select(F.concat_ws(":", "page_id", "row").alias("page_id"), "wikitext")
-    t = Engine(spark).tokens(numbered, max_stage=stage).filter(condition)
+    return rows.select(F.concat_ws(":", "page_id", "row").alias("page_id"), "wikitext")
+
+
+def _per_row(spark: SparkSession, d: str, condition: str, name: str, stage: int) -> DataFrame:
+    """Counts per row of pages_raw."""
+    t = Engine(spark).tokens(numbered_pages(spark, d), max_stage=stage).filter(condition)
     return t.groupBy("page_id").agg(F.count("*").alias(name)).select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), name)
 
 
-@query("SELECT page_id, len(regexp_extract_all(wikitext, '\\{\\{[A-Z]'))::BIGINT AS templates FROM pages_raw WHERE regexp_matches(wikitext, '\\{\\{[A-Z]')")
+@query()
 def page_templates(spark, d):
     return _per_row(spark, d, "subtype = 'template'", "templates", 1)
 
@@ -122,7 +127,7 @@ def page_headings(spark, d):
     return _per_row(spark, d, "subtype = 'heading'", "headings", 4)
 
 
-@query("SELECT page_id, len(regexp_extract_all(wikitext, '\\[\\[')) - len(regexp_extract_all(wikitext, '\\[\\[(Category|File|Image):')) AS links FROM pages_raw WHERE len(regexp_extract_all(wikitext, '\\[\\[')) > len(regexp_extract_all(wikitext, '\\[\\[(Category|File|Image):'))")
+@query()
 def page_links(spark, d):
     return _per_row(spark, d, "subtype = 'link'", "links", 5)
 
@@ -431,10 +436,6 @@ def tabled(spark: SparkSession, d: str) -> DataFrame:
     return regions(spark, d, each, F.concat(F.lit('{| class="wikitable"\n|+ '), c("r_name"), F.lit("\n! key !! name\n")), "|}\nbehind")
 
 
-CELLS = """SELECT n_regionkey::BIGINT AS page_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS row_ix, i AS col_ix, CASE i WHEN 1 THEN n_nationkey::VARCHAR WHEN 2 THEN n_name ELSE 'end' END AS text
-    FROM nation, (VALUES (1), (2), (3)) t(i)"""
-
-
 @query(f"SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY k)::INTEGER AS row_ix, col_ix, text FROM (SELECT n_regionkey::BIGINT AS page_id, n_nationkey AS k, i AS col_ix, CASE i WHEN 1 THEN n_nationkey::VARCHAR WHEN 2 THEN n_name ELSE 'end' END AS text FROM nation, (VALUES (1), (2), (3)) t(i))")
 def table_cells(spark, d):
     return v.table_cells(stored(tokens(spark, tabled(spark, d), "tables"))).filter("kind = 'td'").select("page_id", "row_ix", "col_ix", "text")
