@@ -17,10 +17,10 @@ from functools import lru_cache
 # Frequent function words of the languages at hand.
 COMMON = frozenset(
     (
-        "the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more two like him see could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know "
-        "der die das und in zu den mit von für auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde wenn ich "
-        "le la les de des et un une du en que qui dans pour pas sur au plus par il est ce ne se avec son sa ses cette a été ont aux ou mais comme nous vous on tout fait être "
-        "el los las y por con no su para es lo como más pero sus al ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde desde todo nos durante fue han ser son"
+        "the of and to in a is that it for was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if will each about how up out them then she many so these would other into has more two him see no than first who my over only very after where before "
+        "der die das und in zu den mit von für auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind wie einem wurde ich "
+        "le la les de des et un une du en que qui dans pour pas sur au par il est ce ne se avec son sa cette a été ont nous vous "
+        "el los las y por con no su lo como más pero al o este entre cuando muy sin también hay desde todo fue son "
     ).split()
 )
 
