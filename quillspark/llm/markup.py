@@ -35,14 +35,14 @@ _URL = r"(?:https?://|ftp://|ircs?://|news:|mailto:|//)"
 # Name, kind, pattern; the first that matches at a place wins. HTML code and preformatted
 # regions are not swallowed whole: other notations inside them count too.
 _RULES: tuple[tuple[str, str, str], ...] = (
-    ("comment", "html", r"<!--(?:.*?-->|[^<]*\Z)"),
+    ("comment", "html", r"<!--"),
     ("tag", "html", rf"</?[A-Za-z][\w:-]*{_ATTR}*\s*/?>"),
     ("charref", "html", r"&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"),
     ("fence", "markdown", r"^[ ]{0,3}(?:```+|~~~+)[ \t]*[\w+#.-]*[ \t\r]*$"),
     ("delimiter_row", "markdown", r"^[ \t]*(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|[ \t]*(?::?-+:?[ \t]*)?\r?$"),
     ("number_heading", "markdown", r"^[ ]{0,3}\#{1,6}[ \t]+(?=\S)"),
     ("environment", "latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}"),
-    ("display", "latex", r"\$\$(?=[^$\n])[^$]{1,2000}?\$\$|\\\[(?:[^\\]|\\(?!\]))+?\\\]|\\\((?:[^\\]|\\(?!\)))+?\\\)"),
+    ("display", "latex", r"\$\$(?=[^$\n])[^$]{1,2000}?\$\$|\\[\[(]"),
     ("dollars", "latex", r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.){0,200}?(?<=\S)\$(?![\w$])"),
     ("command", "latex", r"(?<![\w:\\/])\\[A-Za-z]{2,}\*?(?![\w\\/:.]|-\w)|(?<=[A-Za-z.,;!?)])\\(?:footnote|cite[a-z]*|ref|label|textbf|textit|emph|index|url)\b"),
     ("image", "markdown", r"""!\[[^\[\]\n]*\]\([^()\s]+(?:\s+(?:"[^"\n]*"|'[^'\n]*'))?\)"""),
@@ -51,9 +51,9 @@ _RULES: tuple[tuple[str, str, str], ...] = (
     ("argument", "wiki", r"\{\{\{[^{}\n|]+(?:\||\}\}\})"),
     ("template", "wiki", r"\{\{(?=\s*[\w#:!=/])[^{}]*?(?=\}\}|\{\{|\||\Z)"),
     ("wikitable", "wiki", r"^[ \t:]*\{\||^[ \t]*\|\}(?!\})|^[ \t]*\|-[-]*[ \t]*(?:\w+\s*=[^\n]*)?\r?$"),
-    ("bracket_link", "wiki", r"\[\[(?![\s\d.,;+\-*\[\]]*\])(?=[^\[\]\n{}|<>]*[^\W\d_])[^\[\]\n{}<>]+?(?:\]\]|\|)"),
+    ("bracket_link", "wiki", r"\[\[(?![\s\d.,;+\-*]*\])(?=[^\[\]\n{}|<>]*[^\W\d_])[^\[\]\n{}<>]+?(?:\]\]|\|)"),
     ("labelled_link", "wiki", rf"\[{_URL}[^\s\[\]<>]+[ \t]+[^\]\n]+\]"),
-    ("equals_heading", "wiki", r"^(?P<eq>={1,6})(?!=)[^\n]*?[^=\s][^\n]*?(?P=eq)[ \t\r]*$"),
+    ("equals_heading", "wiki", r"^(?P<eq>={1,6})(?!=)[^\n]*(?P=eq)[ \t\r]*$"),
     ("quotes", "wiki", r"(?<!')'{2,5}(?=[^'\s=,;)\]])(?=[^\n]*?'')|(?<=[^'\s=(\[,])'{2,5}(?!')"),
     ("switch", "wiki", rf"__(?:{'|'.join(_SWITCHES.split())})__"),
     ("signature", "wiki", r"(?<![~\w/])~{3,5}(?![~\w/])"),
@@ -80,6 +80,11 @@ def _genuine(name: str, s: str, text: str, at: int) -> bool:
         # Lines that follow each other with one number sign are a numbered list.
         line_end = text.find("\n", at)
         return not (line_end >= 0 and re.match(r"#[ \t]", text[line_end + 1 : line_end + 3]) or re.search(r"(?:^|\n)#[ \t][^\n]*\n\Z", text[max(0, at - 2000) : at]))
+    if name == "display" and s[0] == "\\":
+        # An opened formula counts if one is closed further on.
+        return text.find("\\]" if s[1] == "[" else "\\)", at + 2) > at + 2
+    if name == "equals_heading":
+        return bool(s.strip("= \t\r"))
     if name == "dollars":
         inner = s[1:-1]
         if re.match(r"\d[\d.,]*\s+[A-Za-z]{2,}", inner):
@@ -114,6 +119,9 @@ def lex(text: str) -> Iterator[tuple[str, int, int]]:
         if name != "word" and not _genuine(name, m[0], text, start):
             at = start + 1
             continue
+        if name == "comment":
+            close = text.find("-->", end)
+            end = close + 3 if close >= 0 else end
         yield name, start, end
         if name in ("strong", "emphasis", "equals_heading", "labelled_link", "link", "number_heading"):
             at = start + (len(m["eq"]) if name == "equals_heading" else 2 if name == "strong" and m[0][:2] == "**" else 1)
@@ -185,7 +193,7 @@ _CLEAN = (
     (re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>", re.S | re.I), ""),
     (re.compile(rf"</?[A-Za-z][\w:-]*{_ATTR}*\s*/?>"), ""),
     (re.compile(rf"__(?:{'|'.join(_SWITCHES.split())})__"), ""),
-    (re.compile(r"^(={1,6})(?!=)[ \t]*([^\n]*?)[ \t]*\1[ \t]*$", re.M), lambda m: "#" * len(m[1]) + " " + m[2]),
+    (re.compile(r"^(={1,6})(?!=)([^\n]*)\1[ \t]*$", re.M), lambda m: "#" * len(m[1]) + " " + m[2].strip() if m[2].strip("= \t") else m[0]),
     (re.compile(r"\\(?:sub)*section\*?\{([^{}]*)\}"), lambda m: "\n" + "#" * (m[0].count("sub") + 1) + " " + m[1] + "\n"),
     (re.compile(r"\\item\b\s*"), "\n- "),
     (re.compile(r"\\(?:cite|ref|label|index|footnote)[a-z]*\*?(?:\[[^\]]*\])?\{[^{}]*\}"), ""),
@@ -202,8 +210,8 @@ _CLEAN = (
     (re.compile(r"(?<![~\w/])~{3,5}(?![~\w/])"), ""),
     (re.compile(r"^\{\|[^\n]*\n?|^\|\}[ \t]*\n?|^\|-[^\n]*\n?", re.M), ""),
     (re.compile(r"^[|!][ \t]*(?=[^\n]*(?:\|\||!!))", re.M), ""),
-    (re.compile(r"[ \t]*(?:\|\||!!)[ \t]*"), "\t"),
-    (re.compile(r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", re.M), ""),
+    (re.compile(r"(?<![ \t])[ \t]*(?:\|\||!!)[ \t]*"), "\t"),
+    (re.compile(r"^[ \t]*(?:\|[ \t]*)?:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$\n?", re.M), ""),
 )
 _ARG = re.compile(r"\{\{\{[^{}|]*(?:\|([^{}]*))?\}\}\}")
 _TEMPLATE = re.compile(r"\{\{(?=\s*[\w#:!=/])[^{}]*\}\}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -14,8 +15,16 @@ from quillspark.llm.arrow import map_rows, spread
 TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern that belongs to the vocabulary, as published with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: One word longer than this is encoded in parts, as the merges of one part take quadratic time.
-LONGEST_RUN = 20_000
+#: A run of signs or of blanks longer than this is encoded in parts of this length, as merging one
+#: run takes time that grows with its square; the count may differ by a token at each joint.
+LONGEST_RUN = 4_000
+_LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (LONGEST_RUN, LONGEST_RUN))
+
+
+def parts(text: str) -> list[str]:
+    """The text cut behind every LONGEST_RUN characters of one run."""
+    ends = [m.end() for m in _LONG_RUN.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)] if ends else [text]
 
 _ENCODINGS: dict[str, object] = {}
 
@@ -29,7 +38,7 @@ def counter(path: str = TOKENIZER) -> Callable[[str | None], int]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda t: len(enc.encode_ordinary(t)) if t else 0
+    return lambda t: sum(len(enc.encode_ordinary(p)) for p in parts(t)) if t else 0
 
 
 def with_token_counts(df: DataFrame, keep: dict[str, str], text: str = "text", path: str = TOKENIZER) -> DataFrame:
