@@ -42,8 +42,8 @@ _RULES: tuple[tuple[str, str, str], ...] = (
     ("delimiter_row", "markdown", r"^[ \t]*(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|[ \t]*(?::?-+:?[ \t]*)?\r?$"),
     ("number_heading", "markdown", r"^[ ]{0,3}\#{1,6}[ \t]+(?=\S)"),
     ("environment", "latex", r"\\(?:begin|end)\{[A-Za-z]+\*?\}"),
-    ("display", "latex", r"\$\$(?=[^$\n])[^$]{1,2000}?\$\$|\\[\[(]"),
-    ("dollars", "latex", r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.){0,200}?(?<=\S)\$(?![\w$])"),
+    ("display", "latex", r"\$\$(?=[^$\n])[^$]+?\$\$|\\[\[(]"),
+    ("dollars", "latex", r"(?<![\\$\w])\$(?=[^\s$])(?:[^$\n\\]|\\.)*?(?<=\S)\$(?![\w$])"),
     ("command", "latex", r"(?<![\w:\\/])\\[A-Za-z]{2,}\*?(?![\w\\/:.]|-\w)|(?<=[A-Za-z.,;!?)])\\(?:footnote|cite[a-z]*|ref|label|textbf|textit|emph|index|url)\b"),
     ("image", "markdown", r"""!\[[^\[\]\n]*\]\([^()\s]+(?:\s+(?:"[^"\n]*"|'[^'\n]*'))?\)"""),
     ("link", "markdown", r"""(?<!\])\[[^\[\]\n]+\]\([^()\s]+(?:\s+(?:"[^"\n]*"|'[^'\n]*'))?\)"""),
@@ -57,15 +57,20 @@ _RULES: tuple[tuple[str, str, str], ...] = (
     ("quotes", "wiki", r"(?<!')'{2,5}(?=[^'\s=,;)\]])(?=[^\n]*?'')|(?<=[^'\s=(\[,])'{2,5}(?!')"),
     ("switch", "wiki", rf"__(?:{'|'.join(_SWITCHES.split())})__"),
     ("signature", "wiki", r"(?<![~\w/])~{3,5}(?![~\w/])"),
-    ("strong", "markdown", r"(?<![*\w\\])\*{2,3}(?=[^\s*])[^\n]{0,400}?(?<=[^\s*\\])\*{2,3}(?![*\w])"),
-    ("emphasis", "markdown", r"(?<![*\w\\])\*(?=[^\s*])[^*\n]{0,400}?(?<=[^\s*\\])\*(?![*\w])"),
+    ("strong", "markdown", r"(?<![*\w\\])\*{2,3}(?=[^\s*])"),
+    ("emphasis", "markdown", r"(?<![*\w\\])\*(?=[^\s*])[^*\n]*?(?<=[^\s*\\])\*(?![*\w])"),
     ("word", "", r"[^\W_]+(?:['’-][^\W_]+)*"),
 )
 _KIND = {name: kind for name, kind, _ in _RULES}
 _LEX = re.compile("|".join(f"(?P<{n}>{p})" for n, _, p in _RULES), re.M | re.S)
 _ODD = re.compile(r"[<&`~$\\!\[{*'=_|#-]")
-#: What holds other text between its marks: the lexer goes on inside it.
-_OPEN = {"strong": 2, "emphasis": 1, "number_heading": None, "equals_heading": None, "link": 1, "labelled_link": None}
+#: Where a strong run closes, or its line ends without.
+_STRONG_END = re.compile(r"\n|(?<=[^\s*\\])\*{2,3}(?![*\w])")
+#: Length of the opening sign of what holds other text; the lexer goes on behind it.
+_OPEN = {"comment": 4, "image": 2, "template": 2, "argument": 3, "bracket_link": 2, "emphasis": 1, "labelled_link": 1, "link": 1}
+#: Of these only the tags inside are read: their words are no content.
+_NO_CONTENT = ("comment", "tag", "display", "dollars", "code", "image", "template", "argument", "bracket_link")
+_LETTER = re.compile(r"[^\W_]")
 _ARITH = re.compile(r"[\s\d.,]*")
 
 
@@ -79,7 +84,8 @@ def _genuine(name: str, s: str, text: str, at: int) -> bool:
     if name == "number_heading" and s.strip() == "#":
         # Lines that follow each other with one number sign are a numbered list.
         line_end = text.find("\n", at)
-        return not (line_end >= 0 and re.match(r"#[ \t]", text[line_end + 1 : line_end + 3]) or re.search(r"(?:^|\n)#[ \t][^\n]*\n\Z", text[max(0, at - 2000) : at]))
+        before = text.rfind("\n", 0, max(0, at - 1)) + 1
+        return not (line_end >= 0 and re.match(r"#[ \t]", text[line_end + 1 : line_end + 3]) or (before < at and re.match(r"#[ \t]", text[before : before + 2])))
     if name == "display" and s[0] == "\\":
         # An opened formula counts if one is closed further on.
         return text.find("\\]" if s[1] == "[" else "\\)", at + 2) > at + 2
@@ -99,36 +105,104 @@ def _genuine(name: str, s: str, text: str, at: int) -> bool:
         before = text[at - 1] if at else " "
         if before.isdigit() and (at < 3 or "''" not in text[max(0, at - 200) : at]):
             return False
-    if name in ("emphasis", "strong"):
+    if name == "emphasis":
         inner = s.strip("*")
         # Products and globs: operands around lone asterisks.
-        if not any(c.isalnum() for c in inner) or (name == "emphasis" and (re.fullmatch(r"[\d.,\s]+", inner) or (at and text[at - 1] in "./"))):
+        if not any(c.isalnum() for c in inner) or re.fullmatch(r"[\d.,\s]+", inner) or (at and text[at - 1] in "./"):
             return False
     return True
 
 
+def _stands_alone(name: str, s: str, text: str, start: int, end: int, low: int, limit: int, inside: str) -> bool:
+    """Whether a tag within the formula or code text[low:limit] is one, and not a sign of the formula or code itself."""
+    before, after = text[start - 1] if start > low else " ", text[end] if end < limit else " "
+    if name == "quotes":
+        # Primes and doubled quote signs follow what they belong to.
+        return not (before.isalnum() or before in ")]}'\"") and text.find("''", end, limit) >= 0
+    if name == "bracket_link":
+        return not (before.isalnum() or before in "_)]") and not text[start + 2].isspace()
+    if name == "tag" and (bare := re.fullmatch(r"<([A-Za-z][\w:-]*)>", s)):
+        return text.find(f"</{bare[1]}", end, limit) >= 0 or (len(bare[1]) > 1 and not before.isalnum())
+    if name == "signature" and inside == "code":
+        return before.isspace() and after.isspace()
+    if inside == "code":
+        if name == "command":
+            return before.isspace() or before in "{}$(" or after == "{"
+        return name != "display" or s[0] == "$" or text.find("\\]" if s[1] == "[" else "\\)", end, limit) >= 0
+    if name in ("strong", "emphasis"):
+        return before.isspace() and after.isspace()
+    if name in ("template", "argument"):
+        return before.isspace()
+    if name == "signature":
+        # Tildes are blanks in a formula.
+        return False
+    if name in ("link", "image"):
+        return any(c in s[s.index("](") :] for c in "./#")
+    return name != "equals_heading" or s.startswith("==")
+
+
 def lex(text: str) -> Iterator[tuple[str, int, int]]:
     """(name, start, end) of each word and tag of a text in order; tags may hold others, which follow them."""
-    at, n = 0, len(text)
-    while at < n:
-        m = _LEX.search(text, at)
+    at, quiet, commented = 0, 0, 0
+    # What is being read: where it begins and ends, where to go on behind it, and whether it is a formula or code.
+    open_ = [(0, len(text), len(text), "")]
+    # The next place where a strong run closes or its line ends: for starts from ... to ...
+    closes = (-1, 0, -1, 0)
+    while open_:
+        low, limit, after, inside = open_[-1]
+        m = _LEX.search(text, at, limit) if at < limit else None
         if not m:
-            return
+            open_.pop()
+            at = after
+            continue
         name = m.lastgroup
         start, end = m.span()
-        if name != "word" and not _genuine(name, m[0], text, start):
-            at = start + 1
+        if name == "word":
+            if start >= quiet:
+                yield name, start, end
+            at = end
+            continue
+        at = start + 1
+        if name == "strong":
+            inner = end
+            if closes[0] != limit or not closes[1] <= end <= closes[2]:
+                c = _STRONG_END.search(text, end, limit)
+                closes = (limit, end, c.start() if c else limit, c.end() if c and c[0] != "\n" else 0)
+            end = closes[3]
+            if not end or not _LETTER.search(text, inner, end):
+                continue
+        elif not _genuine(name, m[0], text, start):
+            continue
+        if inside and not _stands_alone(name, m[0], text, start, end, low, limit, inside):
             continue
         if name == "comment":
+            if start < commented:
+                at = end
+                continue
+            # Where none is closed, all further ones lie inside it.
             close = text.find("-->", end)
+            commented = close + 3 if close >= 0 else len(text)
             end = close + 3 if close >= 0 else end
         yield name, start, end
-        if name in ("strong", "emphasis", "equals_heading", "labelled_link", "link", "number_heading"):
-            at = start + (len(m["eq"]) if name == "equals_heading" else 2 if name == "strong" and m[0][:2] == "**" else 1)
-            if name == "number_heading":
-                at = end
+        if name in _NO_CONTENT:
+            quiet = max(quiet, end)
+        k = 0
+        if name == "dollars" or (name == "display" and m[0][0] == "$"):
+            k = 1 if name == "dollars" else 2
+            open_.append((start + k, end - k, end, "formula"))
+        elif name == "code":
+            k = 2 if m[0].startswith("``") else 1
+            open_.append((start + k, end - k, end, "code"))
+        elif name == "tag" and "=" in m[0]:
+            k = 1
+            open_.append((start + k, end - k, end, "code"))
+        elif name == "strong":
+            k = 2 if m[0][:2] == "**" else 1
+        elif name == "equals_heading":
+            k = len(m["eq"])
         else:
-            at = max(end, start + 1)
+            k = _OPEN.get(name, 0)
+        at = start + k if k else max(end, start + 1)
 
 
 # Pages whose content lies between the two marks, written for this purpose.

@@ -1,6 +1,7 @@
 """The text functions on hand-made cases, and properties of splitting and packing."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -30,6 +31,26 @@ def test_markup_kinds(text, want):
     assert kinds(text and text.replace("\n", "\r\n")) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("$$ [[Ab]] = n^2 + 1 $$", {"latex", "wiki"}), ("$$ s = **n^2** + 2 $$", {"latex", "markdown"}), ("$x_1 + &amp; y$", {"latex", "html"}), ("<!-- check {{a b}} c -->", {"html", "wiki"}), ("`{{a}}`", {"markdown", "wiki"}), ("``a <br/> b``", {"markdown", "html"}),
+        ("![a <b>c</b>](d.png)", {"markdown", "html"}), ("{{a <br/>|b}}", {"wiki", "html"}), ("[[a **b** c|d]]", {"wiki", "markdown"}), ('<i title="{{a}}">', {"html", "wiki"}), ("{{{&amp;|b}}}", {"wiki", "html"}),
+        ("**" + "a " * 900 + "b**", {"markdown"}), ("*" + "a " * 900 + "b*", {"markdown"}), ("$x_1 " + "+ y " * 900 + "z$", {"latex"}), ("$$ x " + "+ y\n" * 900 + "z $$", {"latex"}),
+        ("$f''(x) = g''(x)$", {"latex"}), ("$A^*B^* = e^{{x}}$", {"latex"}), ("$$ <x> = f[a](y) ~~~ z $$", {"latex"}), ("`a[[i]]` and `it''s` and `Map<Foo>` and `[[ -f x ]]`", {"markdown"}),
+    ],
+)
+def test_markup_inside_other_markup(text, want):
+    assert kinds(text) == want
+
+
+def test_lexing_long_runs_is_linear():
+    for t in ("**a " * 100_000, "**a " * 100_000 + "b**", "<!-- a " * 50_000, "<!-- a " * 50_000 + "-->", "$$ a_1 " * 50_000, "$a " * 100_000, "{{a " * 50_000, "`a " * 100_001):
+        began = time.process_time()
+        markup.analyse(t)
+        assert time.process_time() - began < 20
+
+
 def test_content_region():
     page = '<div><a href="x">y</a></div><ul><li></li></ul>' + "The rain fell for many days and the fields were wet. " * 3 + "</div></div><br/><br/>"
     _, (a, b, score) = markup.analyse(page)
