@@ -35,11 +35,9 @@ MAX_PLAIN = 1500
 BUCKETS = 1 << 15
 FACTORS = 4
 EPOCHS = 7
-#: An opening of sentences that this share of unlabelled documents has is taken as innocent.
-COMMON_SHARE = 0.01
 #: Unlabelled sentences below this score serve as negatives.
 UNSUSPECTED = 0.25
-#: The seed's model overrules a label ok from this score on.
+#: A model overrules a label ok from this score on.
 SURE = 0.6
 #: A document holds a kind from this score on.
 THRESHOLD = 0.15
@@ -291,9 +289,8 @@ def train(labelled: list[tuple[str, str]], plain: list[str]) -> Model:
     """A model from the seed, documents with a label, and unlabelled documents.
 
     Labels are of documents, but a sentence is what offends, so labelled documents are read
-    twice: the model of the seed and of the documents labelled ok picks the sentences that
-    carry the label, and unlabelled sentences that it does not suspect or that open in a
-    common way serve as negatives.
+    twice: the models of the seed and of the documents labelled ok pick the sentences that
+    carry the label, and unlabelled sentences that it does not suspect serve as negatives.
     """
     seeds = seed()
     lex = Lexicon.of({w for s, k in seeds if k != "ok" for w in terms(s) if len(w) > 2 and w not in COMMON})
@@ -307,35 +304,33 @@ def train(labelled: list[tuple[str, str]], plain: list[str]) -> Model:
     for s, k in seeds:
         add(s, k, 1.0)
     start = Model(Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32), epochs=3), lex)
-    # Reviewers err at times: their word weighs less than the seed's, and none where the seed is sure.
+    # Reviewers err at times: their word weighs less than the seed's, and none where the model is sure. The
+    # seed alone is sure of too much, so what it held back is judged again by the model of what was let in.
+    held = [s for t, k in labelled if k == "ok" for s in sentences(t)]
+    judge = start
+    for _ in range(2):
+        sure = judge.sentence_scores(held).max(1) >= SURE if held else []
+        for s, x in zip(held, sure, strict=True):
+            if not x:
+                add(s, "ok", 0.3)
+        held = [s for s, x in zip(held, sure, strict=True) if x]
+        judge = Model(Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32), epochs=4), lex)
+    both = (start, judge)
     for t, k in labelled:
-        if k == "ok" and (ss := sentences(t)):
-            for s, x in zip(ss, start.sentence_scores(ss).max(1), strict=True):
-                if x < SURE:
-                    add(s, "ok", 0.3)
-    first = Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32), epochs=4)
-    # How many plain documents have a sentence that begins alike: what is common is no offence.
-    opening = lambda s: " ".join(re.sub(r"\d+|\b[A-Z]\w*", "0", s).split()[:3])
-    split_up = [sentences(t) for t in plain]
-    common: dict[str, int] = {}
-    for ss in split_up:
-        for o in {opening(s) for s in ss}:
-            common[o] = common.get(o, 0) + 1
-    is_common = lambda s: common.get(opening(s), 0) >= max(2, COMMON_SHARE * len(plain))
-    both = (start, Model(first, lex))
-    for t, k in labelled:
-        if k in KINDS and (ss := [s for s in sentences(t) if not is_common(s)]):
-            p = np.mean([m.sentence_scores(ss) for m in both], axis=0)
+        if k in KINDS and (ss := sentences(t)):
+            reviewed = judge.sentence_scores(ss)
+            # The seed's suspicion alone, of a sentence that reviewers passed elsewhere, is none.
+            p = (start.sentence_scores(ss) + reviewed) / 2 * (reviewed >= 0.1)
             if p.max() >= 0.25:
                 i, j = np.unravel_index(p.argmax(), p.shape)
                 # A wrong label is seen by the sentence's own kind.
                 if KINDS[j] == k:
                     add(ss[i], k, 1.0)
     known: set[str] = set()
-    fresh = [s for ss in split_up for s in ss if (key := re.sub(r"\d+|\b[A-Z]\w+", "0", s)) not in known and not known.add(key)]
+    fresh = [s for t in plain for s in sentences(t) if (key := re.sub(r"\d+|\b[A-Z]\w+", "0", s)) not in known and not known.add(key)]
     if fresh:
         suspect = np.max([m.sentence_scores(fresh).max(1) for m in both], axis=0)
         for s, x in zip(fresh, suspect, strict=True):
-            if x < UNSUSPECTED or is_common(s):
+            if x < UNSUSPECTED:
                 add(s, "ok", 1.0)
     return Model(Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32)), lex)
