@@ -145,7 +145,8 @@ def page_token_types(spark, d):
 
 @query("SELECT NULL::BIGINT AS page_id, NULL::INTEGER AS node_id, NULL::VARCHAR AS problem WHERE false")
 def schema_violations(spark, d):
-    return ev.schema_violations(stored(Engine(spark).tokens(pages(spark, d).dropDuplicates(["page_id"]))))
+    found = ev.schema_violations(stored(Engine(spark).tokens(numbered_pages(spark, d))))
+    return found.withColumn("page_id", F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint"))
 
 
 @query("SELECT NULL::BIGINT AS page_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS error WHERE false")
@@ -155,8 +156,10 @@ def parse_errors(spark, d):
 
 @query("SELECT page_id, true AS text_equal FROM (SELECT DISTINCT page_id FROM pages_raw)")
 def page_parity(spark, d):
-    one = pages(spark, d).groupBy("page_id").agg(F.max("wikitext").alias("wikitext"))
-    return ev.parity(Engine(spark).to_text(one), one.select("page_id", F.coalesce(L1.tidy(c("wikitext")), F.lit("")).alias("text")))
+    """Whether all rows of a page come back as they are."""
+    rows = stored(numbered_pages(spark, d))
+    same = ev.parity(Engine(spark).to_text(rows), rows.select("page_id", F.coalesce(L1.tidy(c("wikitext")), F.lit("")).alias("text")))
+    return same.groupBy(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id")).agg(F.min("text_equal").alias("text_equal"))
 
 
 @query()

@@ -10,6 +10,7 @@ from quillspark.functions import titles
 from quillspark.operators import evaluate as ev
 from quillspark.operators import views as v
 from quillspark.operators.parse import Engine, stage_for
+from quillspark.plans import wiki
 from quillspark.sources import pages as src
 from quillspark.streaming import pages as stream
 
@@ -127,3 +128,15 @@ def test_stream(spark, tmp_path):
 def test_table_function(spark):
     Engine(spark).register_sql()
     assert spark.sql("SELECT t.name FROM (SELECT '[[a]]' x) p, LATERAL wikitext_tokens(p.x) t WHERE t.subtype = 'link'").first()[0] == "A"
+
+
+def test_parity_and_schema_read_every_revision(spark, tmp_path, monkeypatch):
+    rows = [(1, "P", "a old"), (1, "P", "z new"), (1, "P", "z new"), (2, "Q", "b")]
+    spark.createDataFrame(rows, "page_id bigint, title string, wikitext string").write.parquet(str(tmp_path / "pages_raw.parquet"))
+    assert got(wiki.page_parity(spark, str(tmp_path)), "page_id", "text_equal") == [(1, True), (2, True)]
+    assert wiki.schema_violations(spark, str(tmp_path)).count() == 0
+    whole = Engine.to_text
+    monkeypatch.setattr(Engine, "to_text", lambda *a: whole(*a).withColumn("text", F.replace("text", F.lit("old"), F.lit(""))))
+    assert got(wiki.page_parity(spark, str(tmp_path)), "page_id", "text_equal") == [(1, False), (2, True)]
+    monkeypatch.setattr(wiki.ev, "schema_violations", lambda t: t.filter("type = 'ROOT'"))
+    assert [r.page_id for r in wiki.schema_violations(spark, str(tmp_path)).orderBy("page_id").collect()] == [1, 1, 1, 2]
