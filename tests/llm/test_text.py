@@ -212,9 +212,3 @@ def test_interactions_beat_linear(model):
     ix, x = abuse._pack(f)
     linear = m.bias + (m.w[ix] * x[:, :, None]).sum(1)
     assert (m.raw(ix, x)[0] - linear)[0, 0] > 0.1
-
-
-def test_common_openings_do_not_clear_what_is_suspected():
-    insult = "ONLY A HALFWIT LIKE BRAMBLECOG COULD BREAK THE GALLERY TWICE IN ONE DAY."
-    plain = [f"THE {w} OF {p} WAS CLOSED IN 1{n}." for n in range(100, 130) for w in ("MILL", "WELL") for p in ("Vosk", "Ossby")] + [insult] * 3
-    assert abuse.train([], plain).document_scores([insult])[0, 0] >= abuse.THRESHOLD
