@@ -47,6 +47,11 @@ class SiteConfig:
     def html_names(self) -> frozenset[str]:
         return frozenset(n for group in self.html for n in group)
 
+    @cached_property
+    def html_void(self) -> frozenset[str]:
+        """Tags that are never closed: the third group."""
+        return frozenset(self.html[2]) if len(self.html) > 2 else frozenset()
+
 
 def expand_protocols(fragment: str) -> tuple[str, ...]:
     """``a?b|c`` to all variants of optional characters, longest first."""

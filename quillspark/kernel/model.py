@@ -12,8 +12,11 @@ from typing import Any
 Run = list["str | Node"]
 
 # Marker classes: what a node looks like to later stages. One character stands for one node.
-CLASSES = "cnegtasm!+{}-~hxbdruloqwfivpz"
-_BLOCKS = (0xE000, 0xE400, 0xE800, 0xEC00, 0xF000, 0xF400, 0xF0000, 0xFA000, 0x100000, 0x108000)
+CLASSES = tuple(
+    "comment silent extension group call argument subst address bar double_bar table_open table_close row_mark equals "
+    "heading tag table list rule switch link redirect quote external magic variant plain".split()
+)
+BLOCKS = (0xE000, 0xE400, 0xE800, 0xEC00, 0xF000, 0xF400, 0xF0000, 0xFA000, 0x100000, 0x108000)
 
 
 @dataclass(slots=True)
@@ -24,13 +27,13 @@ class Node:
     name: str | None = None
     sep: str = ""
     data: dict[str, Any] = field(default_factory=dict)
-    marker: str = "z"
+    marker: str = "plain"
     in_ext: bool = False
 
 
 def block_for(text: str) -> int:
     """A block of private-use characters that the page does not use itself."""
-    for base in _BLOCKS:
+    for base in BLOCKS:
         if not any(chr(base + i) in text for i in range(len(CLASSES))):
             return base
     raise ValueError("the page uses every reserved block")
@@ -45,7 +48,7 @@ class Marks:
         self.any = f"[{chr(base)}-{chr(base + len(CLASSES) - 1)}]"
         self.any_re = re.compile(self.any)
 
-    def of(self, classes: str) -> str:
+    def of(self, *classes: str) -> str:
         """The inside of a character class for these marker classes."""
         return "".join(self.char[c] for c in classes)
 

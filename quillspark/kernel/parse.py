@@ -9,6 +9,7 @@ in ``CONTEXTS``. Unmatched markup stays literal text.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -17,10 +18,6 @@ from quillspark.kernel.model import Marks, Node, Projection, Run, block_for, joi
 from quillspark.kernel.title import WIDE_SPACE, decode_entities, normalize, parse_title
 
 MAX_STAGE = 10
-#: Contents are parsed no deeper than this; below, they stay as the stages before left them.
-MAX_DEPTH = 60
-#: Nodes of one page; beyond it contents stay plain and the root says so.
-MAX_NODES = 1_000_000
 
 _TIDY = re.compile(r"[\x00\x7f]|\r(?=\n|\Z)")
 
@@ -38,14 +35,22 @@ CONTEXTS: dict[str, tuple[int, ...]] = {
     "converter-rule-to": (5, 6, 7, 8),
     "converter-rule-from": (),
     "param-line": (0, 1, 2, 5, 6, 7, 8),
-    "gallery-caption": (0, 1, 2, 5, 6, 7, 8),
 }
+#: Attributes whose values are markup: (tag or None for any, attribute) to the stages that run over the value.
+_RICH = (1, 5, 6, 7, 8, 10)
+ATTR_CONTEXTS: dict[tuple[str | None, str], tuple[int, ...]] = {
+    (None, "title"): (10,), ("img", "alt"): (10,), ("gallery", "caption"): _RICH, ("ref", "details"): _RICH,
+    ("mapframe", "text"): _RICH, ("maplink", "text"): _RICH, ("choose", "before"): _RICH, ("choose", "after"): _RICH,
+}
 # Extension tags whose content is markup again, and those whose content is lines.
 PARSED_EXT = frozenset("ref poem indicator langconvert references section gallery imagemap inputbox dynamicpagelist categorytree".split())
 #: First lines of these start in the middle of a line, where lists and tables are literal.
 MIDLINE = frozenset(("td-inner", "ext-inner"))
+#: Marker classes that no stage counts as content.
+QUIET = ("comment", "silent", "switch")
 NO_HEADING = frozenset(("parameter-key", "poem", "references", "attr-value"))
-_ESCAPES = {"!": "!", "=": "~", "(!": "{", "!)": "}", "!!": "+", "!-": "-"}
+#: Words that stand for a sign, and the marker class of that sign.
+_ESCAPES = {"!": "bar", "=": "equals", "(!": "table_open", "!)": "table_close", "!!": "double_bar", "!-": "row_mark"}
 _URL_WORDS = ("server", "filepath", "fullurl", "fullurle", "canonicalurl", "canonicalurle")
 
 
@@ -63,7 +68,7 @@ def visible(run: Run) -> str:
     """The texts of a run and of its nodes, without comments and switches; for names."""
     from quillspark.kernel.serialize import to_text
 
-    return "".join(x if isinstance(x, str) else "" if x.marker in "cnu" else to_text(x) for x in run)
+    return "".join(x if isinstance(x, str) else "" if x.marker in QUIET else to_text(x) for x in run)
 
 
 class Grammar:
@@ -72,29 +77,35 @@ class Grammar:
     def __init__(self, config: SiteConfig, base: int) -> None:
         self.config, self.m = config, marks(base)
         m: Marks = self.m
-        quiet = m.of("cnu")
+        quiet = m.of(*QUIET)
         names = "|".join(sorted(map(re.escape, config.ext), key=len, reverse=True)) or r"(?!)"
         self.ext_open = re.compile(rf"<({names})((?:\s[^<>]*?)?)(/>|>)", re.I)
         self.redirect = re.compile(rf"\A(\s*)({'|'.join(map(re.escape, sorted(config.redirection, key=len, reverse=True)))})([ \t]*:?[ \t]*)\[\[([^\n|\]]+)(?:\|([^\n\]]*))?\]\]([ \t]*)", re.I)
         self.html = re.compile(rf"<(/?)([A-Za-z][^\s/><{m.any[1:-1]}]*)([^<>]*?)(/?)>")
-        bar, gap = rf"(?:\||{m.char['!']})", rf"[\s{quiet}]"
+        bar, gap = rf"(?:\||{m.char['bar']})", rf"[\s{quiet}]"
         self.bar = re.compile(bar)
-        self.table_open = re.compile(rf"([ \t{quiet}]*)(:*)([ \t{quiet}]*)(\{{\||\{{{m.char['!']}|{m.char['{']})")
-        self.table_close = re.compile(rf"[ \t{quiet}]*(?:\|\}}|{m.char['!']}\}}|{m.char['}']})")
-        self.table_row = re.compile(rf"[ \t{quiet}]*(?:{bar}-|{m.char['-']})-*")
+        self.table_open = re.compile(rf"([ \t{quiet}]*)(:*)([ \t{quiet}]*)(\{{\||\{{{m.char['bar']}|{m.char['table_open']})")
+        self.table_close = re.compile(rf"[ \t{quiet}]*(?:\|\}}|{m.char['bar']}\}}|{m.char['table_close']})")
+        self.table_row = re.compile(rf"[ \t{quiet}]*(?:{bar}-|{m.char['row_mark']})-*")
         self.table_cell = re.compile(rf"[ \t{quiet}]*(?:{bar}(?P<cap>\+)|(?P<head>!)|{bar})")
-        self.cell_split = re.compile(rf"(?:{bar}){{2}}|{m.char['+']}")
-        self.head_split = re.compile(rf"(?:{bar}){{2}}|{m.char['+']}|!!")
+        self.cell_split = re.compile(rf"(?:{bar}){{2}}|{m.char['double_bar']}")
+        self.head_split = re.compile(rf"(?:{bar}){{2}}|{m.char['double_bar']}|!!")
         self.hr = re.compile(rf"([{quiet}]*)(-{{4,}})", 0)
-        self.heading = re.compile(rf"(={{1,6}})(.+)(?<!=)(={{1,6}})((?:[ \t]|[{m.of('cn')}])*)\Z|(={{3,}})((?:[ \t]|[{m.of('cn')}])*)\Z")
+        self.heading = re.compile(rf"(=+)(.+)(?<!=)(=+)((?:[ \t]|[{m.of('comment', 'silent')}])*)\Z|(={{3,}})((?:[ \t]|[{m.of('comment', 'silent')}])*)\Z")
         words = "|".join(sorted(map(re.escape, {*config.switches_ci, *(x.lower() for x in config.switches_cs)}), key=len, reverse=True)) or r"(?!)"
         self.switch = re.compile(rf"(__|＿＿)({words})(__|＿＿)", re.I)
-        self.link = re.compile(rf"\[\[([^\n\[\]{{}}|{m.char['!']}]+)(?:({bar})((?:(?!\[\[|\]\]).)*?))?\]\](?!\](?!\]))|\[\[([^\n\[\]{{}}|{m.char['!']}]+)({bar})((?:(?!\[\[|\]\]).)*?\[[^\[\]]*\])\]\]", re.S)
-        stop = rf"\s\[\]<>\"\x00-\x20\x7f{m.of('eoxbdhilqruvwfpz')}"
+        self.link_target = re.compile(rf"\[\[([^\n\[\]{{}}|{m.char['bar']}]+)(?:({bar})|(?=\]\]))")
+        stop = rf"\s\[\]<>\"\x00-\x20\x7f{m.of('extension', 'redirect', 'tag', 'table', 'list', 'heading', 'magic', 'link', 'quote', 'rule', 'switch', 'variant', 'external', 'plain')}"
         self.protocol = re.compile(config.protocol_re, re.I)
-        self.ext_link = re.compile(rf"\[((?:{config.protocol_re}|{m.char['m']})[^{stop}]+|(?:{config.protocol_re})(?=[\s\]]))([ \t 　]*)([^\]\n]*)\]", re.I)
+        # A host may be an address in brackets; a word that gives an address may stand for all of it.
+        host = r"(?:\[[0-9A-Fa-f:.]+\])?"
+        self.ext_link = re.compile(rf"\[((?:{config.protocol_re}){host}[^{stop}]+|(?:{config.protocol_re})\[[0-9A-Fa-f:.]+\]|{m.char['address']}[^{stop}]*|(?:{config.protocol_re})(?=[\s\]]))([ \t 　]*)([^\]\n]*)\]", re.I)
         free = "|".join(re.escape(p) for p in config.protocols if p != "//") or r"(?!)"
-        self.free = re.compile(rf"(?<![\w])(?P<url>(?:{free})[^{stop}{m.of('cn')}]+)|(?<![\w])(?P<rfc>(?:RFC|PMID)[ \t ]+\d+)(?!\w)|(?<![\w])(?P<isbn>ISBN[ \t ]+(?:97[89][  -]?)?(?:\d[  -]?){{9}}[\dXx])(?!\w)", re.I)
+        gap1 = r"(?:[\t \u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]|&nbsp;|&#0*160;|&#[xX]0*[aA]0;)"
+        dash = rf"(?:-|{gap1})?"
+        self.free = re.compile(
+            rf"(?<![\w])(?P<url>(?i:{free})(?:{host}[^{stop}{m.of('comment', 'silent')}]+|\[[0-9A-Fa-f:.]+\]))|(?<![\w])(?P<rfc>(?:RFC|PMID){gap1}+[0-9]+)(?!\w)|(?<![\w])(?P<isbn>ISBN{gap1}+(?:97[89]{dash})?(?:[0-9]{dash}){{9}}[0-9Xx])(?!\w)"
+        )
         self.list = re.compile(rf"([{quiet}]*)([*#:;]+)")
         self.gap = re.compile(gap)
         self.image = [(re.compile(re.escape(k).replace(r"\$1", "(.*)") + r"\Z", re.S), k, v) for k, v in sorted(config.img.items(), key=lambda x: (-len(x[0]), x[0])) if "$1" in k]
@@ -118,7 +129,6 @@ class Page:
     def __init__(self, config: SiteConfig, base: int, include: bool, title: str | None) -> None:
         self.g = grammar(config, base)
         self.config, self.m, self.include, self.title = config, self.g.m, include, title
-        self.nodes, self.capped = 0, False
 
     def project(self, run: Run) -> Projection:
         return Projection(run, self.m)
@@ -134,7 +144,7 @@ class Page:
         if m[5] is not None:
             target.children.append(Node("PLAIN", "link-text", p.cut(*m.span(5))))
         syntax = Node("REDIRECT_SYNTAX", "redirect-syntax", p.cut(m.start(2), m.end(3)))
-        node = Node("REDIRECT", "redirect", [syntax, target], name=target.name, data={"pre": m[1], "post": m[6], "link": m[4], "display": m[5]}, marker="o")
+        node = Node("REDIRECT", "redirect", [syntax, target], name=target.name, data={"pre": m[1], "post": m[6], "link": m[4], "display": m[5]}, marker="redirect")
         return [node, *p.cut(m.end(), len(p.text))]
 
     def comments(self, run: Run, in_ext: bool = False) -> Run:
@@ -163,31 +173,42 @@ class Page:
         done = 0
         for m in self._ONLY.finditer(p.text):
             if m.start() > done:
-                out.append(Node("NOINCLUDE", "noinclude", p.cut(done, m.start()), marker="n"))
+                out.append(Node("NOINCLUDE", "noinclude", p.cut(done, m.start()), marker="silent"))
             inner = self.pipeline(p.cut(*m.span(1)), range(0, 2))
-            out.append(Node("ONLYINCLUDE", "onlyinclude", inner, data={"open": "<onlyinclude>", "tag_closing": "</onlyinclude>"}, marker="g"))
+            out.append(Node("ONLYINCLUDE", "onlyinclude", inner, data={"open": "<onlyinclude>", "tag_closing": "</onlyinclude>"}, marker="group"))
             done = m.end()
         if done and done < len(p.text):
-            out.append(Node("NOINCLUDE", "noinclude", p.cut(done, len(p.text)), marker="n"))
+            out.append(Node("NOINCLUDE", "noinclude", p.cut(done, len(p.text)), marker="silent"))
         return out if done else None
 
+    _TRANSLATE = re.compile(r"<translate(?:\s[^<>]*)?>")
+    _TRANSLATE_END = re.compile(r"</translate>|(?i:<nowiki\s*>.*?</nowiki\s*>)", re.S)
+
+    def _translate_end(self, t: str, at: int) -> int:
+        """Where the closing tag stands; one inside nowiki closes nothing."""
+        while m := self._TRANSLATE_END.search(t, at):
+            if m[0] == "</translate>":
+                return m.start()
+            at = m.end()
+        return -1
+
     def _comment_at(self, p: Projection, at: int, in_ext: bool) -> tuple[Node | None, int]:
         t = p.text
         if t.startswith("<!--", at):
             m = self._COMMENT.match(t, at)
-            return Node("COMMENT", "comment", p.cut(*m.span(1)), data={"closed": bool(m[2])}, marker="c"), m.end()
+            return Node("COMMENT", "comment", p.cut(*m.span(1)), data={"closed": bool(m[2])}, marker="comment"), m.end()
         single = r"includeonly" if self.include else r"(?:noinclude|onlyinclude)"
         m = re.compile(rf"</?{single}(?:\s[^<>]*)?/?>", re.I).match(t, at)
         if m:
-            return Node("NOINCLUDE", "noinclude", p.cut(*m.span()), marker="n"), m.end()
+            return Node("NOINCLUDE", "noinclude", p.cut(*m.span()), marker="silent"), m.end()
         pair = "noinclude" if self.include else "includeonly"
         m = re.compile(rf"<({pair})(\s[^<>]*?)?(?:/>|>(.*?)(</{pair}\s*>|\Z))", re.I | re.S).match(t, at)
         if m:
             body = p.cut(*m.span(3)) if m[3] is not None else []
             head = t[m.start() : m.start(3)] if m[3] is not None else m[0]
-            return Node("INCLUDE", "include", body, data={"open": head, "tag": m[1], "attr": m[2] or "", "inner": plain(body), "tag_closing": m[4] or ""}, marker="n"), m.end()
-        if "translate" in self.config.ext and (m := re.compile(r"<translate(\s[^<>]*)?>(.*?)</translate>", re.S).match(t, at)):
-            return Node("TRANSLATE", "translate", self.comments(p.cut(*m.span(2)), in_ext), data={"open": t[m.start() : m.start(2)], "tag": "translate", "tag_closing": "</translate>"}, marker="g"), m.end()
+            return Node("INCLUDE", "include", body, data={"open": head, "tag": m[1], "attr": m[2] or "", "inner": plain(body), "tag_closing": m[4] or ""}, marker="silent"), m.end()
+        if "translate" in self.config.ext and (m := self._TRANSLATE.match(t, at)) and (close := self._translate_end(t, m.end())) >= 0:
+            return Node("TRANSLATE", "translate", self.comments(p.cut(m.end(), close), in_ext), data={"open": m[0], "tag": "translate", "tag_closing": "</translate>"}, marker="group"), close + len("</translate>")
         m = self.g.ext_open.match(t, at)
         if not m:
             return None, at
@@ -208,17 +229,17 @@ class Page:
             data |= {"ext_inner": plain(body), "ext_closing": close[0]}
             kids.append(Node("EXT_INNER", "ext-inner", self.ext_inner(low, body, kids[0]), name=low))
             end = close.end()
-        return Node("EXT", "ext", kids, name=low, data=data, marker="e"), end
+        return Node("EXT", "ext", kids, name=low, data=data, marker="extension"), end
 
     # ---- contents of extension tags ------------------------------------------------------
 
     def ext_inner(self, name: str, body: Run, attrs: Node) -> Run:
         if name == "pre":
             keep = any(isinstance(a, Node) and a.name == "format" and visible(a.children).lower().find("wikitext") >= 0 for a in attrs.children)
-            return body if keep else self._split_nodes(body, re.compile(r"</?nowiki>", re.I), "NOINCLUDE", "noinclude", "n")
+            return body if keep else self._split_nodes(body, re.compile(r"</?nowiki>", re.I), "NOINCLUDE", "noinclude", "silent")
         if name == "references":
             inner = self.pipeline(self.comments(body, True), (1,))
-            return [x if isinstance(x, Node) else Node("NOINCLUDE", "noinclude", [x], marker="n") for x in inner if x != ""]
+            return [x if isinstance(x, Node) else Node("NOINCLUDE", "noinclude", [x], marker="silent") for x in inner if x != ""]
         if name in ("inputbox", "dynamicpagelist"):
             p = self.project(body)
             lines: Run = []
@@ -263,19 +284,20 @@ class Page:
                     kids = [p.text[a : a + m.end(1)], *self.pipeline(link, (5, 7)), m[7]]
                     out.append(Node("PLAIN", "imagemap-link", [k for k in kids if k != ""]))
                 else:
-                    out.append(Node("NOINCLUDE", "noinclude", p.cut(a, b), marker="n")) if line else None
+                    out.append(Node("NOINCLUDE", "noinclude", p.cut(a, b), marker="silent")) if line else None
                 continue
             title = parse_title(file.strip(), self.config, 6, self.title)
             if not line.strip() or not title.valid or title.ns != 6:
                 if line:
-                    out.append(Node("NOINCLUDE", "noinclude", p.cut(a, b), marker="n"))
+                    out.append(Node("NOINCLUDE", "noinclude", p.cut(a, b), marker="silent"))
                 continue
             seen = True
             kids: Run = [Node("ATOM", "link-target", p.cut(a, a + len(file)))]
             if bar:
                 at = a + len(file) + 1
-                kids += self.image_parameters(p.cut(at, b))
-            out.append(Node("FILE", "gallery-image" if name == "gallery" else "imagemap-image", kids, name=title.title, sep="|", marker="l"))
+                # What stands in the line is read before its bars are, so that markup with bars stays whole.
+                kids += self.image_parameters(self.pipeline(p.cut(at, b), (0, 1, 2, 5), in_ext=True), title.title, name == "gallery")
+            out.append(Node("FILE", "gallery-image" if name == "gallery" else "imagemap-image", kids, name=title.title, sep="|", marker="link"))
         return out
 
     # ---- attributes ----------------------------------------------------------------------
@@ -402,7 +424,7 @@ class Page:
         if len(parts) > 1:
             kids.append(Node("PLAIN", "arg-default", join(parts[1])))
         kids += [Node("HIDDEN", "hidden", join(x)) for x in parts[2:]]
-        marker = "s" if len(parts) > 1 and plain(parts[1]).strip().rstrip(":").lower() in self.config.modifiers_subst else "a"
+        marker = "subst" if len(parts) > 1 and plain(parts[1]).strip().rstrip(":").lower() in self.config.modifiers_subst else "argument"
         return Node("ARG", "arg", kids, name=visible(parts[0]).strip(), sep="|", marker=marker)
 
     def template(self, parts: list[Run], eqs: list[int | None]) -> Node | None:
@@ -421,17 +443,17 @@ class Page:
         node = self.magic_word(rest, parts[1:], eqs[1:])
         if node is None:
             p = self.project(rest)
-            if any(x in p.text for x in (self.m.char["x"], self.m.char["e"], self.m.char["l"])) and "{" not in visible(rest):
+            if any(x in p.text for x in (self.m.char["tag"], self.m.char["extension"], self.m.char["link"])) and "{" not in visible(rest):
                 return None
-            name = visible([x for x in rest if isinstance(x, str) or x.marker not in "cnu"]).strip(WIDE_SPACE)
-            holds = any(isinstance(x, Node) and x.marker not in "cnu" for x in rest)
+            name = visible([x for x in rest if isinstance(x, str) or x.marker not in QUIET]).strip(WIDE_SPACE)
+            holds = any(isinstance(x, Node) and x.marker not in QUIET for x in rest)
             title = parse_title(name.split("#")[0] if holds else name, c, 10, self.title)
             if not title.valid and not holds:
                 return None
             if "\n" in plain(rest).strip() or (name.startswith("#") and not holds):
                 return None
             full = title.title if title.valid else name
-            node = Node("TRANSCLUDE", "template", [Node("SYNTAX", "template-name", rest)], name=full, sep="|", marker="t")
+            node = Node("TRANSCLUDE", "template", [Node("SYNTAX", "template-name", rest)], name=full, sep="|", marker="call")
             node.children += self.parameters(parts[1:], eqs[1:], first=1)
         node.data["modifier"] = modifier or None
         return node
@@ -445,12 +467,12 @@ class Page:
             return None
         low = key.lower()
         if not colon and not more and low in c.variables:
-            marker = _ESCAPES.get(key, "m" if low in _URL_WORDS else "t")
+            marker = _ESCAPES.get(key, "address" if low in _URL_WORDS else "call")
             return Node("TRANSCLUDE", "magic-word", [Node("SYNTAX", "magic-word-name", rest)], name=low, sep="|", marker=marker)
         canonical = c.functions_cs.get(key) or c.functions_ci.get(low) or (low if colon and low in c.variables else None)
         if canonical is None or not colon:
             return None
-        node = Node("TRANSCLUDE", "magic-word", [Node("SYNTAX", "magic-word-name", [word])], name=canonical, sep="|", data={"colon": True}, marker="m" if low in _URL_WORDS else "t")
+        node = Node("TRANSCLUDE", "magic-word", [Node("SYNTAX", "magic-word-name", [word])], name=canonical, sep="|", data={"colon": True}, marker="address" if low in _URL_WORDS else "call")
         first: Run = join([tail, *rest[1:]])
         name = canonical.lstrip("#")
         if name == "invoke":
@@ -498,7 +520,7 @@ class Page:
                 keys = {x.name for x in attrs if isinstance(x, Node)}
                 if "itemprop" not in keys or not keys & {"content", "href"}:
                     continue
-            node = Node("HTML", "html", [Node("ATTRIBUTES", "html-attrs", attrs, name=name)], name=name, data={"closing": bool(m[1]), "self_closing": bool(m[4]), "orig_tag": m[2]}, marker="x")
+            node = Node("HTML", "html", [Node("ATTRIBUTES", "html-attrs", attrs, name=name)], name=name, data={"closing": bool(m[1]), "self_closing": bool(m[4]), "orig_tag": m[2]}, marker="tag")
             out += [*p.cut(done, m.start()), node]
             done = m.end()
         return [*out, *p.cut(done, len(t))] if out else run
@@ -506,11 +528,11 @@ class Page:
     # ---- stage 3: tables -----------------------------------------------------------------
 
     def tables(self, run: Run, midline: bool = False) -> Run:
-        if not any("{" in x if isinstance(x, str) else x.marker == "{" for x in run):
+        if not any("{" in x if isinstance(x, str) else x.marker == "table_open" for x in run):
             return run
         p = self.project(run)
         t, g = p.text, self.g
-        if "{|" not in t and self.m.char["{"] not in t and "{" + self.m.char["!"] not in t:
+        if "{|" not in t and self.m.char["table_open"] not in t and "{" + self.m.char["bar"] not in t:
             return run
         out: Run = []
         # An open table: its node, and where content goes just now.
@@ -539,9 +561,9 @@ class Page:
                 if m[1]:
                     sink().extend(p.cut(a, a + m.end(1)))
                 if m[2]:
-                    sink().append(Node("DD", "dd", [m[2]], marker="d"))
+                    sink().append(Node("DD", "dd", [m[2]], marker="list"))
                 sink().extend(p.cut(a + m.start(3), a + m.end(3)))
-                table = Node("TABLE", "table", [Node("SYNTAX", "table-syntax", p.cut(a + m.start(4), a + m.end(4))), table_attrs(a + m.end(), b, "table")], name="table", marker="b")
+                table = Node("TABLE", "table", [Node("SYNTAX", "table-syntax", p.cut(a + m.start(4), a + m.end(4))), table_attrs(a + m.end(), b, "table")], name="table", marker="table")
                 sink().append(table)
                 stack.append({"table": table, "row": None, "cell": None, "kind": "td"})
                 continue
@@ -597,7 +619,7 @@ class Page:
                 out.append("\n")
             line = t[a:b]
             if line.startswith("=") or (heading and "=" in line and self.m.any_re.sub("", line).startswith("=")):
-                skip = len(line) - len(line.lstrip("".join(self.m.char[c] for c in "cn")))
+                skip = len(line) - len(line.lstrip("".join(self.m.char[c] for c in ("comment", "silent"))))
                 m = self.g.heading.match(line, skip) if heading and "heading" not in self.config.excludes else None
                 if m:
                     out += p.cut(a, a + skip)
@@ -605,13 +627,13 @@ class Page:
                         n = min(6, (len(m[5]) - 1) // 2)
                         lo, hi, trail = a + m.start(5) + n, a + m.end(5) - n, p.cut(a + m.start(6), b)
                     else:
-                        n = min(len(m[1]), len(m[3]))
+                        n = min(6, len(m[1]), len(m[3]))
                         lo, hi, trail = a + m.start(1) + n, a + m.end(3) - n, p.cut(a + m.start(4), b)
                     title = self.switches(p.cut(lo, hi))
-                    out.append(Node("HEADING", "heading", [Node("PLAIN", "heading-title", title), Node("SYNTAX", "heading-trail", trail)], name=str(n), data={"level": n}, marker="h"))
+                    out.append(Node("HEADING", "heading", [Node("PLAIN", "heading-title", title), Node("SYNTAX", "heading-trail", trail)], name=str(n), data={"level": n}, marker="heading"))
                     continue
             if "----" in line and (m := self.g.hr.match(line)):
-                out += [*p.cut(a, a + m.end(1)), Node("HR", "hr", [m[2]], marker="r")]
+                out += [*p.cut(a, a + m.end(1)), Node("HR", "hr", [m[2]], marker="rule")]
                 out += self.switches(p.cut(a + m.end(), b))
                 continue
             out += self.switches(p.cut(a, b))
@@ -628,7 +650,7 @@ class Page:
             if not cs and word.lower() not in c.switches_ci or m[1] != m[3]:
                 continue
             alias = c.switches_cs[word] if cs else c.switches_ci[word.lower()]
-            out += [*p.cut(done, m.start()), Node("DOUBLE_UNDERSCORE", "double-underscore", [word], name=alias.lower(), data={"case_sensitive": cs, "fullwidth": m[1] != "__"}, marker="u")]
+            out += [*p.cut(done, m.start()), Node("DOUBLE_UNDERSCORE", "double-underscore", [word], name=alias.lower(), data={"case_sensitive": cs, "fullwidth": m[1] != "__"}, marker="switch")]
             done = m.end()
         return [*out, *p.cut(done, len(p.text))]
 
@@ -637,64 +659,131 @@ class Page:
     def links(self, run: Run, in_ext: bool = False) -> Run:
         if not any(isinstance(x, str) and "[[" in x for x in run):
             return run
-        first = True
-        while True:
-            p = self.project(run)
-            out: Run = []
-            done, found = 0, False
-            for m in self.g.link.finditer(p.text):
-                k = 1 if m[1] is not None else 4
-                node = self._link(p, m.span(k), m.span(k + 1), m.span(k + 2), files_only=not first, in_ext=in_ext)
-                if node is None:
-                    continue
-                out += [*p.cut(done, m.start()), node]
-                done, found = m.end(), True
-            run = [*out, *p.cut(done, len(p.text))]
-            # Again for files whose captions held links.
-            if not found:
-                return run
-            first = False
+        p = self.project(run)
+        t = p.text
+        out: Run = []
+        # Open pairs: where each starts in the text and in ``out``, its target, and whether a link stands in it. What
+        # is no link stays in ``out`` as it is, so every piece moves into a node at most once.
+        opened: list[list] = []
+        at = done = 0
+        while m := self._PAIR.search(t, at):
+            out += p.cut(done, m.start())
+            done = at = m.end()
+            if m[0] == "[[":
+                target = self.g.link_target.match(t, m.start())
+                opened.append([len(out), target, len(out), False])
+                out.append("[[")
+                if target:
+                    out += p.cut(m.end(), target.end())
+                    opened[-1][2] = len(out)
+                    done = at = target.end()
+                continue
+            if not opened:
+                out.append("]]")
+                continue
+            first, target, inner, holds_link = opened.pop()
+            node = None
+            if target:
+                text = (target.end(), m.start()) if target[2] is not None else (-1, -1)
+                if text[0] >= 0 and t.startswith("]", m.end()) and (single := t.rfind("[", *text)) >= 0 and t[single - 1] != "[":
+                    # The label of an external link ends with the text: its bracket is the first of three.
+                    text = (text[0], m.start() + 1)
+                    out.append("]")
+                    done = at = m.end() + 1
+                node = self._link(p, target, out[inner:] if text[0] >= 0 else None, holds_link, in_ext)
+            if node is None:
+                out.append("]]")
+            else:
+                del out[first:]
+                out.append(node)
+            if opened and (holds_link if node is None else node.subtype == "link" or holds_link):
+                opened[-1][3] = True
+        return join([*out, *p.cut(done, len(t))])
 
-    def _link(self, p: Projection, target: tuple[int, int], bar: tuple[int, int], text: tuple[int, int], files_only: bool, in_ext: bool) -> Node | None:
-        raw = p.text[target[0] : target[1]]
-        if any(self.m.char[k] in raw for k in "exhbrul") or self.g.protocol.match(raw.strip()):
+    _PAIR = re.compile(r"\[\[|\]\]")
+
+    def _link(self, p: Projection, target: re.Match[str], content: Run | None, holds_link: bool, in_ext: bool) -> Node | None:
+        raw = target[1]
+        if any(self.m.char[k] in raw for k in ("extension", "tag", "heading", "table", "rule", "switch", "link")) or self.g.protocol.match(raw.strip()):
             return None
         dynamic = bool(self.m.any_re.search(raw))
         bare = self.m.any_re.sub("", raw).strip(WIDE_SPACE)
         forced = bare.startswith(":")
         title = parse_title(bare, self.config, 0, self.title)
-        if not title.valid and not (dynamic and not bare.strip(":#")) or "\n" in raw:
+        if not title.valid and not (dynamic and not bare.strip(":#")):
             return None
         kind = ("LINK", "link")
         if not forced and not title.interwiki:
             kind = {6: ("FILE", "file"), 14: ("CATEGORY", "category")}.get(title.ns, kind)
-        content = p.cut(*text) if text[0] >= 0 else None
-        if files_only and kind[0] != "FILE":
-            return None
-        if kind[0] == "LINK" and content is not None and any(isinstance(x, Node) and x.subtype == "link" for x in content):
+        # Only files may hold links; a link around another one is text.
+        if kind[0] != "FILE" and (holds_link or (content is not None and any(isinstance(x, Node) and x.marker == "link" for x in content))):
             return None
-        if in_ext and kind[0] == "LINK" and content is not None and not p.text[text[0] : text[1]]:
+        if in_ext and kind[0] == "LINK" and content is not None and not content:
             return None
-        node = Node(*kind, children=[Node("ATOM", "link-target", p.cut(*target))], name=title.title if title.valid else visible(p.cut(*target)).strip(), sep="|", marker="l")
-        if bar[0] >= 0:
-            node.data["magic_pipe"] = p.text[bar[0] : bar[1]] != "|"
-            node.data["bar"] = p.cut(*bar)
+        name = p.cut(*target.span(1))
+        node = Node(*kind, children=[Node("ATOM", "link-target", name)], name=title.title if title.valid else visible(name).strip(), sep="|", marker="link")
+        if target[2] is not None:
+            node.data["magic_pipe"] = target[2] != "|"
+            node.data["bar"] = p.cut(*target.span(2))
         node.data |= {"forced": forced, "interwiki": title.interwiki, "ns": title.ns, "fragment": title.fragment}
         if content is not None:
-            node.children += self.image_parameters(content) if kind[0] == "FILE" else [Node("PLAIN", "link-text", content)]
+            node.children += self.image_parameters(content, node.name) if kind[0] == "FILE" else [Node("PLAIN", "link-text", join(content))]
         return node
 
     _WIDTH = re.compile(r"(?:\d+x?|\d*x\d+)(?:\s*px)?\Z")
 
-    def image_parameters(self, run: Run) -> Run:
-        p = self.project(run)
+    _BARS = re.compile(r"\[\[|\]\]|\{\{|\}\}|-\{|\}-|\|")
+    _CLOSES = {"]]": "[[", "}}": "{{", "}-": "-{"}
+
+    def _bars(self, t: str) -> list[int]:
+        """Bars outside closed pairs; those behind an opening that is never closed count."""
+        bars: list[int] = []
+        opened: list[tuple[str, int]] = []
+        for m in self._BARS.finditer(t):
+            if m[0] == "|":
+                bars.append(m.start())
+            elif m[0] in self._CLOSES.values():
+                opened.append((m[0], len(bars)))
+            else:
+                k = next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == self._CLOSES[m[0]]), None)
+                if k is not None:
+                    del bars[opened[k][1] :]
+                    del opened[k:]
+        return bars
+
+    def image_parameters(self, run: Run, title: str, lenient: bool = False) -> Run:
+        # Links with a label first, as a bar in an address or label parts nothing.
+        p = self.project(self.ext_links(run))
         out: Run = []
-        spots = [i for i, c in enumerate(p.text) if c == "|"]
+        spots = self._bars(p.text)
         for a, b in zip([0, *(i + 1 for i in spots)], [*spots, len(p.text)], strict=True):
-            out.append(self._image_parameter(p.cut(a, b), p.text[a:b]))
+            out.append(self._image_parameter(p.cut(a, b), p.text[a:b], title.rpartition(".")[2].lower(), lenient))
         return out
 
-    def _image_parameter(self, run: Run, t: str) -> Node:
+    _NUMBER = re.compile(r"\d*\.?\d+\Z")
+    _ADDRESS = re.compile(r"[^\s<>\[\]\"|]+\Z")
+
+    def _valid_option(self, name: str, inner: str, extension: str, lenient: bool) -> bool:
+        """Whether an option's value is one that the option takes; ``lenient``: links of galleries take any."""
+        value = self.m.any_re.sub("", inner).strip()
+        match name:
+            case "alt" | "class" | "manualthumb":
+                return True
+            case "lang":
+                return extension in ("svg", "svgz") and bool(re.fullmatch(r"[a-z\d-]+", value))
+            case "page":
+                return extension in ("djvu", "djv", "pdf") and bool(self._NUMBER.match(value)) and float(value) > 0
+            case "width":
+                return bool(self._WIDTH.match(value)) or (not value and bool(inner))
+            case "link":
+                if lenient or not value or self.m.char["link"] in inner or self.m.char["address"] in inner:
+                    return True
+                if self.g.protocol.match(value):
+                    return bool(self._ADDRESS.match(value))
+                return parse_title(value.removeprefix("[[").removesuffix("]]"), self.config, 0, self.title).valid
+        return bool(self._NUMBER.match(value)) or (not value and self.m.char["call"] in inner)
+
+    def _image_parameter(self, run: Run, t: str, extension: str, lenient: bool) -> Node:
         core = t.strip()
         lead, tail = t[: len(t) - len(t.lstrip())], t[len(t.rstrip()) :] if core else ""
         if core in self.g.image_words:
@@ -703,8 +792,7 @@ class Page:
             m = pattern.match(core)
             if not m:
                 continue
-            value = self.m.any_re.sub("", m[1]).strip()
-            if name == "width" and not self._WIDTH.match(value) or name == "page" and not value.isdigit() or name in ("upright",) and value and not re.fullmatch(r"\d*\.?\d+", value) and not self.m.any_re.search(m[1]):
+            if not self._valid_option(name, m[1], extension, lenient):
                 continue
             a = len(lead) + m.start(1)
             inner = self.project(run).cut(a, a + len(m[1]))
@@ -746,7 +834,7 @@ class Page:
         out: Run = []
         done = 0
         for s, e, n in runs:
-            out += [*p.cut(a + done, a + e - n), Node("QUOTE", "quote", ["'" * n], data={"bold": n != 2, "italic": n != 3}, marker="q")]
+            out += [*p.cut(a + done, a + e - n), Node("QUOTE", "quote", ["'" * n], data={"bold": n != 2, "italic": n != 3}, marker="quote")]
             done = e
         return [*out, *p.cut(a + done, b)]
 
@@ -760,11 +848,11 @@ class Page:
             kids: Run = [Node("MAGIC_LINK", "ext-link-url", p.cut(*m.span(1)))]
             if m[3]:
                 kids.append(Node("PLAIN", "ext-link-text", p.cut(*m.span(3))))
-            out += [*p.cut(done, m.start()), Node("EXT_LINK", "ext-link", kids, data={"space": m[2]}, marker="w")]
+            out += [*p.cut(done, m.start()), Node("EXT_LINK", "ext-link", kids, data={"space": m[2]}, marker="external")]
             done = m.end()
         return [*out, *p.cut(done, len(p.text))] if out else run
 
-    _MAGIC = re.compile(r"[:/]|RFC|PMID|ISBN", re.I)
+    _MAGIC = re.compile(r"[:/]|RFC|PMID|ISBN")
 
     def magic_links(self, run: Run) -> Run:
         if not any(isinstance(x, str) and self._MAGIC.search(x) for x in run):
@@ -782,10 +870,10 @@ class Page:
                 if self.g.protocol.fullmatch(url) or not url:
                     continue
                 end = m.start() + len(url)
-                node = Node("MAGIC_LINK", "free-ext-link", p.cut(m.start(), end), marker="w")
+                node = Node("MAGIC_LINK", "free-ext-link", p.cut(m.start(), end), marker="external")
             else:
-                kind = m[0][:4].strip().upper()
-                node = Node("MAGIC_LINK", "magic-link", p.cut(m.start(), end), name=kind, marker="i")
+                kind = next(k for k in ("RFC", "PMID", "ISBN") if m[0].startswith(k))
+                node = Node("MAGIC_LINK", "magic-link", p.cut(m.start(), end), name=kind, marker="magic")
             out += [*p.cut(done, m.start()), node]
             done = end
         return [*out, *p.cut(done, len(p.text))] if out else run
@@ -809,20 +897,44 @@ class Page:
                 continue
             out += p.cut(a, m.end(1))
             marks_ = m[2]
-            out.append(Node("LIST" if re.search(r"[*#;]", marks_) else "DD", "list" if re.search(r"[*#;]", marks_) else "dd", [marks_], data={"indent": marks_.count(":")}, marker="d"))
+            out.append(Node("LIST" if re.search(r"[*#;]", marks_) else "DD", "list" if re.search(r"[*#;]", marks_) else "dd", [marks_], data={"indent": marks_.count(":")}, marker="list"))
             at = m.end()
-            # A term and its definition on one line.
-            if ";" in marks_:
-                for colon in re.finditer(r":+", t[at:b]):
-                    s, e = at + colon.start(), at + colon.end()
-                    if t[e : e + 2] == "//":
-                        continue
-                    out += [*p.cut(at, s), Node("DD", "dd", [t[s:e]], data={"indent": e - s}, marker="d")]
-                    at = e
-                    break
+            # Terms and their definitions on one line: as many colons as there are term marks.
+            for s, e in self._definitions(p, at, b, marks_.count(";")):
+                out += [*p.cut(at, s), Node("DD", "dd", [t[s:e]], data={"indent": e - s}, marker="list")]
+                at = e
             out += p.cut(at, b)
         return join(out)
 
+    _DEFINITION = re.compile(r":+|-\{|\}-")
+
+    def _definitions(self, p: Projection, a: int, b: int, terms: int) -> list[tuple[int, int]]:
+        """The colon runs of text[a:b] that begin definitions: outside variants, and where no tag or quote is open."""
+        if not terms or ":" not in p.text[a:b]:
+            return []
+        spans: list[tuple[int, int]] = []
+        k = bisect_left(p.at, a)
+        depth, bold, italic = 0, False, False
+        for m in self._DEFINITION.finditer(p.text, a, b):
+            while k < len(p.at) and p.at[k] < m.start():
+                node = p.nodes[k]
+                k += 1
+                if node.type == "HTML" and not node.data["self_closing"] and node.name not in self.config.html_void:
+                    depth = max(0, depth + (-1 if node.data["closing"] else 1))
+                elif node.type == "'":
+                    bold, italic = bold ^ node.data["bold"], italic ^ node.data["italic"]
+            if m[0] == "-{":
+                depth += 1
+            elif m[0] == "}-":
+                depth = max(0, depth - 1)
+            elif not depth and not bold and not italic and not p.text.startswith("//", m.end()):
+                n = min(terms, m.end() - m.start())
+                spans.append((m.start(), m.start() + n))
+                terms -= n
+                if not terms:
+                    break
+        return spans
+
     # ---- stage 10: language variants -----------------------------------------------------
 
     _VARIANT = re.compile(r"-\{((?:(?!-\{|\}-).)*)\}-", re.S)
@@ -843,7 +955,7 @@ class Page:
         t = p.text
         bar = t.find("|", a, b)
         flags = Node("PLAIN", "converter-flags", [], sep=";")
-        node = Node("CONVERTER", "converter", [flags], marker="v", data={"bar": bar >= 0})
+        node = Node("CONVERTER", "converter", [flags], marker="variant", data={"bar": bar >= 0})
         if bar >= 0:
             at = a
             for f in t[a:bar].split(";"):
@@ -872,7 +984,7 @@ class Page:
     _TRIGGER = re.compile(r"[<\[{'=*#:;]|__|----|＿＿|-\{|//|RFC|PMID|ISBN", re.I)
 
     def pipeline(self, run: Run, stages, in_ext: bool = False, midline: bool = False, heading: bool = True) -> Run:  # noqa: ANN001
-        if not any(isinstance(x, str) and self._TRIGGER.search(x) for x in run) and not any(isinstance(x, Node) and x.marker in "!{" for x in run):
+        if not any(isinstance(x, str) and self._TRIGGER.search(x) for x in run) and not any(isinstance(x, Node) and x.marker in ("bar", "table_open") for x in run):
             return join(run)
         steps: dict[int, Callable[[Run], Run]] = {
             0: lambda r: self.comments(r, in_ext), 1: self.braces, 2: self.html, 3: lambda r: self.tables(r, midline), 4: lambda r: self.line_marks(r, heading), 5: lambda r: self.links(r, in_ext),
@@ -884,31 +996,30 @@ class Page:
 
     def finish(self, root: Node, max_stage: int) -> None:
         """Parse the contents that have a context of their own, from the outside in."""
-        todo: list[tuple[Node, bool, int, str | None]] = [(root, False, 0, None)]
+        todo: list[tuple[Node, bool, str | None]] = [(root, False, None)]
         while todo:
-            node, in_ext, depth, tag = todo.pop()
-            self.nodes += 1
-            if self.nodes > MAX_NODES:
-                self.capped = True
-                return
+            node, in_ext, tag = todo.pop()
             node.in_ext = in_ext
-            if node.type == "EXT":
+            if node.type == "EXT" or node.subtype in ("html-attrs", "table-attrs"):
                 tag = node.name
             stages = CONTEXTS.get(node.subtype)
             if stages and node.subtype == "ext-inner" and (node.name not in PARSED_EXT or node.name in ("gallery", "imagemap", "inputbox", "dynamicpagelist", "references", "categorytree")):
                 stages = None
-            if stages and depth < MAX_DEPTH:
+            if node.type == "EXT_ATTR" and (found := ATTR_CONTEXTS.get((tag, node.name)) or ATTR_CONTEXTS.get((None, node.name))):
+                value = node.children[1]
+                value.children = self.pipeline(value.children, [s for s in found if s <= max_stage], True) or value.children
+            if stages:
                 if node.subtype == "image-parameter" and node.name not in ("caption", "alt", "link"):
                     stages = None
                 elif node.subtype == "image-parameter" and node.name != "caption":
                     stages = (10,)
                 else:
                     stages = [s for s in stages if s <= max_stage]
-            if stages and depth < MAX_DEPTH:
+            if stages:
                 heading = node.subtype not in NO_HEADING and not (node.subtype == "ext-inner" and node.name in NO_HEADING)
                 node.children = self.pipeline(node.children, stages, in_ext or node.subtype == "ext-inner", node.subtype in MIDLINE, heading)
             inside = in_ext or node.subtype == "ext-inner"
-            todo.extend((x, inside, depth + 1, tag) for x in node.children if isinstance(x, Node))
+            todo.extend((x, inside, tag) for x in node.children if isinstance(x, Node))
 
 
 def parse(text: str | None, config: SiteConfig | None = None, include: bool = False, page: str | None = None, max_stage: int = MAX_STAGE) -> Node:
@@ -920,7 +1031,6 @@ def parse(text: str | None, config: SiteConfig | None = None, include: bool = Fa
     run = p.pipeline(run, range(0, max_stage + 1))
     root = Node("ROOT", "root", run, data={"include": include})
     p.finish(root, max_stage)
-    root.data["capped"] = p.capped
     return root
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from urllib.parse import quote
 
 from quillspark.kernel.model import Node, Run
@@ -13,8 +14,6 @@ BASE_URL = "/wiki/"
 # Extension tags shown as code, and those left out.
 CODE_EXT = {"syntaxhighlight", "source", "pre", "score", "timeline"}
 SKIP_EXT = {"templatedata", "templatestyles", "indicator", "section", "inputbox", "categorytree", "dynamicpagelist", "graph"}
-#: Trees deeper than this are shown as their source below it.
-MAX_DEPTH = 150
 
 
 def kids_of(node: Node, subtype: str) -> list[Node]:
@@ -67,73 +66,71 @@ class Markdown:
         self.base = base
         self.notes: dict[str, list[str]] = {}
         self.order: list[str] = []
-        self.bold = self.italic = False
+        self.bold = self.italic = self.in_table = False
 
     def page(self, root: Node) -> str:
-        body = self.run(root.children, 0)
+        body = self.run(root.children)
         body = re.sub(r"\n{3,}", "\n\n", body).strip("\n")
         if self.order:
             body += "\n\n" + "\n".join(f"[^{i}]: {self.notes[i][0]}" for i in self.order)
         return body
 
-    def run(self, run: Run, depth: int) -> str:
-        return "".join(x if isinstance(x, str) else self.node(x, depth + 1) for x in run)
+    def run(self, run: Run) -> str:
+        return "".join([x if isinstance(x, str) else self.node(x) for x in run])
 
-    def node(self, n: Node, depth: int) -> str:
-        if depth > MAX_DEPTH:
-            return to_text(n)
+    def node(self, n: Node) -> str:
         f = getattr(self, "on_" + n.subtype.replace("-", "_"), None)
-        return f(n, depth) if f else self.run(n.children, depth)
+        return f(n) if f else self.run(n.children)
 
-    def _none(self, n: Node, depth: int) -> str:
+    def _none(self, n: Node) -> str:
         return ""
 
     on_comment = on_category = on_double_underscore = on_redirect_syntax = on_heading_trail = on_table_attrs = on_ext_attrs = on_html_attrs = on_include = on_noinclude = _none
 
-    def on_redirect(self, n: Node, depth: int) -> str:
+    def on_redirect(self, n: Node) -> str:
         t = kids_of(n, "redirect-target")[0]
         shown = n.data.get("display") or n.data["link"]
         return f"Redirect: [{shown.strip()}]({target_url(t.name, self.base)})\n"
 
-    def on_heading(self, n: Node, depth: int) -> str:
-        return "#" * n.data["level"] + " " + self.run(kids_of(n, "heading-title"), depth).strip()
+    def on_heading(self, n: Node) -> str:
+        return "#" * n.data["level"] + " " + self.run(kids_of(n, "heading-title")).strip()
 
-    def on_link(self, n: Node, depth: int) -> str:
+    def on_link(self, n: Node) -> str:
         text = kids_of(n, "link-text")
-        shown = self.run(text, depth) if text and text[0].children else to_text(kids_of(n, "link-target")[0]).lstrip(":")
+        shown = self.run(text) if text and text[0].children else to_text(kids_of(n, "link-target")[0]).lstrip(":")
         fragment = f"#{n.data['fragment']}" if n.data.get("fragment") else ""
         return f"[{shown}]({target_url((n.name or '') + fragment, self.base)})"
 
-    def on_file(self, n: Node, depth: int) -> str:
+    def on_file(self, n: Node) -> str:
         params = kids_of(n, "image-parameter")
         alt = [p for p in params if p.name == "alt"] or [p for p in params if p.name == "caption"]
-        return f"![{self.run(alt[-1].children, depth).strip() if alt else ''}]({target_url(n.name or '', self.base)})"
+        return f"![{self.run(alt[-1].children).strip() if alt else ''}]({target_url(n.name or '', self.base)})"
 
     on_gallery_image = on_imagemap_image = on_file
 
-    def on_quote(self, n: Node, depth: int) -> str:
+    def on_quote(self, n: Node) -> str:
         return ("**" if n.data["bold"] else "") + ("*" if n.data["italic"] else "")
 
-    def on_ext_link(self, n: Node, depth: int) -> str:
+    def on_ext_link(self, n: Node) -> str:
         url = to_text(kids_of(n, "ext-link-url")[0])
         text = kids_of(n, "ext-link-text")
-        return f"[{self.run(text, depth)}]({url})" if text else f"<{url}>"
+        return f"[{self.run(text)}]({url})" if text else f"<{url}>"
 
-    def on_free_ext_link(self, n: Node, depth: int) -> str:
-        return f"<{self.run(n.children, depth)}>"
+    def on_free_ext_link(self, n: Node) -> str:
+        return f"<{self.run(n.children)}>"
 
-    def on_list(self, n: Node, depth: int) -> str:
+    def on_list(self, n: Node) -> str:
         m = to_text(n)
         own = {"*": "- ", "#": "1. ", ";": "**", ":": ": "}[m[-1]]
         return "  " * (len(m) - 1) + (own if own != "**" else "- ")
 
-    def on_dd(self, n: Node, depth: int) -> str:
+    def on_dd(self, n: Node) -> str:
         return "  " * len(to_text(n)) + ": " if n.children else ""
 
-    def on_hr(self, n: Node, depth: int) -> str:
+    def on_hr(self, n: Node) -> str:
         return "\n---\n"
 
-    def on_html(self, n: Node, depth: int) -> str:
+    def on_html(self, n: Node) -> str:
         name, closing = n.name, n.data["closing"]
         if name in ("b", "strong"):
             return "**"
@@ -153,19 +150,24 @@ class Markdown:
             return "\n- "
         return ""
 
-    def on_table(self, n: Node, depth: int) -> str:
+    def on_table(self, n: Node) -> str:
         rows: list[list[str]] = []
         caption = ""
+        inner, self.in_table = self.in_table, True
         for row in [n, *kids_of(n, "tr")]:
             cells = []
             for td in kids_of(row, "td"):
-                text = re.sub(r"\s*\n\s*", " ", self.run(kids_of(td, "td-inner"), depth)).strip().replace("|", "\\|")
+                text = re.sub(r"\s*\n\s*", " ", self.run(kids_of(td, "td-inner"))).strip()
                 if td.name == "caption":
                     caption = text
                 else:
-                    cells.append(text)
+                    cells.append(text if inner else text.replace("|", "\\|"))
             if cells:
                 rows.append(cells)
+        self.in_table = inner
+        if inner:
+            # A cell can't hold a table: its cells follow each other.
+            return " ".join(x for x in [caption, *[c for r in rows for c in r]] if x)
         if not rows:
             return caption
         width = max(map(len, rows))
@@ -173,27 +175,27 @@ class Markdown:
         lines.insert(1, "|" + " --- |" * width)
         return (f"{caption}\n\n" if caption else "") + "\n".join(lines)
 
-    def on_template(self, n: Node, depth: int) -> str:
+    def on_template(self, n: Node) -> str:
         import json
 
         params = {p.name: "".join(map(to_text, kids_of(p, "parameter-value"))) for p in kids_of(n, "parameter")}
         return "`" + json.dumps({"template": n.name, "params": params}, ensure_ascii=False).replace("`", "'") + "`"
 
-    def on_magic_word(self, n: Node, depth: int) -> str:
+    def on_magic_word(self, n: Node) -> str:
         return {"!": "|", "=": "="}.get(n.name or "", f"`{to_text(n)}`")
 
-    def on_arg(self, n: Node, depth: int) -> str:
+    def on_arg(self, n: Node) -> str:
         default = kids_of(n, "arg-default")
-        return self.run(default[0].children, depth) if default else f"`{to_text(n)}`"
+        return self.run(default[0].children) if default else f"`{to_text(n)}`"
 
-    def on_converter(self, n: Node, depth: int) -> str:
+    def on_converter(self, n: Node) -> str:
         rules = kids_of(n, "converter-rule")
-        return self.run(kids_of(rules[0], "converter-rule-to"), depth) if rules else ""
+        return self.run(kids_of(rules[0], "converter-rule-to")) if rules else ""
 
-    def on_ext(self, n: Node, depth: int) -> str:
+    def on_ext(self, n: Node) -> str:
         inner = n.data.get("ext_inner") or ""
         if n.name == "ref":
-            return self._note(n, depth)
+            return self._note(n)
         if n.name in SKIP_EXT:
             return ""
         if n.name in CODE_EXT:
@@ -205,12 +207,12 @@ class Markdown:
         if n.name == "nowiki":
             return inner
         if n.name == "poem":
-            return "  \n".join(self.run(kids_of(n, "ext-inner"), depth).strip("\n").split("\n"))
-        return self.run(kids_of(n, "ext-inner"), depth)
+            return "  \n".join(self.run(kids_of(n, "ext-inner")).strip("\n").split("\n"))
+        return self.run(kids_of(n, "ext-inner"))
 
-    def _note(self, n: Node, depth: int) -> str:
+    def _note(self, n: Node) -> str:
         name = next((to_text(a.children[1]).strip() for a in kids_of(n, "ext-attrs")[0].children if isinstance(a, Node) and a.name == "name" and len(a.children) > 1), "")
-        text = re.sub(r"\s+", " ", self.run(kids_of(n, "ext-inner"), depth)).strip()
+        text = re.sub(r"\s+", " ", self.run(kids_of(n, "ext-inner"))).strip()
         key = re.sub(r"[^\w-]+", "-", name).strip("-") if name else str(len(self.order) + 1)
         if not name:
             while key in self.notes:
@@ -223,44 +225,64 @@ class Markdown:
         return f"[^{key}]"
 
 
+def tree_depth(root: Node) -> int:
+    deepest, todo = 0, [(root, 1)]
+    while todo:
+        n, d = todo.pop()
+        deepest = max(deepest, d)
+        todo.extend((c, d + 1) for c in n.children if isinstance(c, Node))
+    return deepest
+
+
+def _rendered(reader: Markdown, root: Node) -> str:
+    """A page by a reader that calls itself per level; such calls take heap, so any depth will do."""
+    before = sys.getrecursionlimit()
+    # At most three calls a level.
+    sys.setrecursionlimit(max(before, 1000 + 4 * tree_depth(root)))
+    try:
+        return reader.page(root)
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def markdown(root: Node, base: str = BASE_URL) -> str:
-    return Markdown(base).page(root)
+    return _rendered(Markdown(base), root)
 
 
 class Html(Markdown):
     """One page to simple HTML, by the same dispatch."""
 
     def page(self, root: Node) -> str:
-        return self.run(root.children, 0) + ("<ol>" + "".join(f'<li id="note-{k}">{self.notes[k][0]}</li>' for k in self.order) + "</ol>" if self.order else "")
+        return self.run(root.children) + ("<ol>" + "".join(f'<li id="note-{k}">{self.notes[k][0]}</li>' for k in self.order) + "</ol>" if self.order else "")
 
-    def run(self, run: Run, depth: int) -> str:
-        return "".join(_html.escape(x, quote=False) if isinstance(x, str) else self.node(x, depth + 1) for x in run)
+    def run(self, run: Run) -> str:
+        return "".join([_html.escape(x, quote=False) if isinstance(x, str) else self.node(x) for x in run])
 
-    def on_heading(self, n: Node, depth: int) -> str:
+    def on_heading(self, n: Node) -> str:
         k = n.data["level"]
-        return f"<h{k}>{self.run(kids_of(n, 'heading-title'), depth).strip()}</h{k}>"
+        return f"<h{k}>{self.run(kids_of(n, 'heading-title')).strip()}</h{k}>"
 
-    def on_link(self, n: Node, depth: int) -> str:
+    def on_link(self, n: Node) -> str:
         text = kids_of(n, "link-text")
-        shown = self.run(text, depth) if text and text[0].children else _html.escape(to_text(kids_of(n, "link-target")[0]).lstrip(":"))
+        shown = self.run(text) if text and text[0].children else _html.escape(to_text(kids_of(n, "link-target")[0]).lstrip(":"))
         return f'<a href="{_html.escape(target_url(n.name or "", self.base))}">{shown}</a>'
 
-    def on_ext_link(self, n: Node, depth: int) -> str:
+    def on_ext_link(self, n: Node) -> str:
         url = to_text(kids_of(n, "ext-link-url")[0])
         text = kids_of(n, "ext-link-text")
-        return f'<a href="{_html.escape(url)}">{self.run(text, depth) if text else _html.escape(url)}</a>'
+        return f'<a href="{_html.escape(url)}">{self.run(text) if text else _html.escape(url)}</a>'
 
-    def on_free_ext_link(self, n: Node, depth: int) -> str:
+    def on_free_ext_link(self, n: Node) -> str:
         url = _html.escape(to_text(n))
         return f'<a href="{url}">{url}</a>'
 
-    def on_file(self, n: Node, depth: int) -> str:
+    def on_file(self, n: Node) -> str:
         alt = [p for p in kids_of(n, "image-parameter") if p.name in ("alt", "caption")]
         return f'<img src="{_html.escape(target_url(n.name or "", self.base))}" alt="{_html.escape(plain_text(alt[-1]) if alt else "")}"/>'
 
     on_gallery_image = on_imagemap_image = on_file
 
-    def on_quote(self, n: Node, depth: int) -> str:
+    def on_quote(self, n: Node) -> str:
         out = ""
         if n.data["bold"]:
             self.bold = not self.bold
@@ -270,41 +292,41 @@ class Html(Markdown):
             out += "<i>" if self.italic else "</i>"
         return out
 
-    def on_html(self, n: Node, depth: int) -> str:
+    def on_html(self, n: Node) -> str:
         return to_text(n)
 
-    def on_hr(self, n: Node, depth: int) -> str:
+    def on_hr(self, n: Node) -> str:
         return "<hr/>"
 
-    def on_list(self, n: Node, depth: int) -> str:
+    def on_list(self, n: Node) -> str:
         return "<li>" + "&nbsp;" * (len(to_text(n)) - 1)
 
     on_dd = on_list
 
-    def on_table(self, n: Node, depth: int) -> str:
+    def on_table(self, n: Node) -> str:
         def cells(row: Node) -> str:
-            return "".join(f"<{c.name}>{self.run(kids_of(c, 'td-inner'), depth).strip()}</{c.name}>" for c in kids_of(row, "td"))
+            return "".join([f"<{c.name}>{self.run(kids_of(c, 'td-inner')).strip()}</{c.name}>" for c in kids_of(row, "td")])
 
         first = cells(n)
-        return "<table>" + (f"<tr>{first}</tr>" if first else "") + "".join(f"<tr>{cells(r)}</tr>" for r in kids_of(n, "tr")) + "</table>"
+        return "<table>" + (f"<tr>{first}</tr>" if first else "") + "".join([f"<tr>{cells(r)}</tr>" for r in kids_of(n, "tr")]) + "</table>"
 
-    def on_template(self, n: Node, depth: int) -> str:
+    def on_template(self, n: Node) -> str:
         return f"<code>{_html.escape(to_text(n))}</code>"
 
-    def on_magic_word(self, n: Node, depth: int) -> str:
+    def on_magic_word(self, n: Node) -> str:
         return {"!": "|", "=": "="}.get(n.name or "", f"<code>{_html.escape(to_text(n))}</code>")
 
-    def on_ext(self, n: Node, depth: int) -> str:
+    def on_ext(self, n: Node) -> str:
         if n.name == "ref":
-            key = self._note(n, depth)[2:-1]
+            key = self._note(n)[2:-1]
             return f'<sup><a href="#note-{key}">[{self.order.index(key) + 1}]</a></sup>'
         if n.name in CODE_EXT | {"math", "nowiki", "chem", "ce"}:
             return f"<{'pre' if n.name in CODE_EXT else 'code'}>{_html.escape(n.data.get('ext_inner') or '')}</{'pre' if n.name in CODE_EXT else 'code'}>"
-        return "" if n.name in SKIP_EXT else self.run(kids_of(n, "ext-inner"), depth)
+        return "" if n.name in SKIP_EXT else self.run(kids_of(n, "ext-inner"))
 
 
 def html(root: Node, base: str = BASE_URL) -> str:
-    return Html(base).page(root)
+    return _rendered(Html(base), root)
 
 
 def list_items(root: Node) -> list[tuple[int, str, int, bool, str, str | None]]:

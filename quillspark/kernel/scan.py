@@ -95,12 +95,9 @@ def rewrite(text: str, rule: Rule, replace: Callable[[str], str]) -> str:
     return "".join(text[s.start : s.end] if s.kind == "text" else replace(text[s.inner_start : s.inner_end] if s.kind == "inner" else text[s.start : s.end]) for s in scan(text, rule))
 
 
-def fixpoint(text: str, rule: Rule, replace: Callable[[str], str], most: int = 10_000) -> str:
-    """``rewrite`` until nothing changes."""
-    for _ in range(most):
-        new = rewrite(text, rule, replace)
-        if new == text:
-            break
+def fixpoint(text: str, rule: Rule, replace: Callable[[str], str]) -> str:
+    """``rewrite`` until nothing changes; what replaces a match must not bring back a match without end."""
+    while (new := rewrite(text, rule, replace)) != text:
         text = new
     return text
 

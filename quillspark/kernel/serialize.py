@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from quillspark.kernel.model import Node, Run
@@ -38,7 +39,14 @@ def _pieces(node: Node) -> tuple[str, str, str]:
 
 def to_text(root: Node) -> str:
     """The text a tree was parsed from (after tidying)."""
+    return _source(root, frozenset())[0]
+
+
+def _source(root: Node, roles: frozenset[str]) -> tuple[str, dict[int, tuple[int, int]]]:
+    """The text of a tree, and where in it the contents of the nodes of these roles stand, by the node's id; one pass."""
     out: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
+    at = 0
     # A stack of texts and nodes to come, last first; no recursion, so any depth will do.
     todo: list[Any] = [root]
 
@@ -57,8 +65,15 @@ def to_text(root: Node) -> str:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
+            at += len(x)
+            continue
+        if isinstance(x, int):
+            # Met in front of a node's contents and behind them.
+            spans[x] = (spans[x][0], at) if x in spans else (at, at)
             continue
         d, kids = x.data, x.children
+        if x.subtype in roles:
+            kids = [id(x), *kids, id(x)]
         if x.type == "EXT":
             head = [f"<{d['ext_name']}", kids[0]]
             push(*head, *(["/>"] if d["self_closing"] else [">", *kids[1:], d["ext_closing"] or ""]))
@@ -96,14 +111,15 @@ def to_text(root: Node) -> str:
         else:
             before, sep, behind = _pieces(x)
             push(before, *between(kids, sep), behind)
-    return "".join(out)
+    return "".join(out), spans
 
 
 PAYLOAD = (
     ("level", "int"), ("closed", "boolean"), ("self_closing", "boolean"), ("closing", "boolean"), ("orig_tag", "string"), ("inner_syntax", "string"), ("case_sensitive", "boolean"), ("fullwidth", "boolean"),
     ("bold", "boolean"), ("italic", "boolean"), ("pre", "string"), ("post", "string"), ("link", "string"), ("display", "string"), ("ext_name", "string"), ("ext_attr", "string"), ("ext_inner", "string"), ("ext_closing", "string"),
     ("tag", "string"), ("attr", "string"), ("inner", "string"), ("tag_closing", "string"), ("equal", "string"), ("quote_open", "string"), ("quote_close", "string"), ("raw_syntax", "string"),
-    ("space", "string"), ("magic_pipe", "boolean"), ("modifier", "string"), ("anon", "boolean"), ("module", "string"), ("function", "string"), ("forced", "boolean"), ("interwiki", "string"), ("ns", "int"), ("fragment", "string"), ("capped", "boolean"),
+    ("space", "string"), ("magic_pipe", "boolean"), ("modifier", "string"), ("anon", "boolean"), ("module", "string"), ("function", "string"), ("forced", "boolean"), ("interwiki", "string"), ("ns", "int"), ("fragment", "string"),
+    ("ordinal", "int"), ("parent_section", "int"), ("end_node", "int"), ("ref_name", "string"), ("number", "int"),
 )
 _FIELDS = frozenset(k for k, _ in PAYLOAD)
 TOKEN_DDL = (
@@ -122,9 +138,23 @@ VALUE_ROLES = frozenset(
 )
 
 
-def rows(root: Node) -> list[tuple]:
-    """Rows of TOKEN_DDL in document order; descendants of a node are those up to its subtree_end."""
+COLUMNS = tuple(x.split(":")[0].split()[0] for x in re.split(r", (?![^<]*>)", TOKEN_DDL))
+
+
+def rows(root: Node, columns: Sequence[str] = COLUMNS) -> list[tuple]:
+    """Rows of these columns of TOKEN_DDL in document order; descendants of a node are those up to its subtree_end.
+
+    Headings know their place among the page's headings, the section they stand in and the last
+    node before the next heading of their level or above (null at the end of the page); footnotes
+    know their name and number. What is not asked for is not made.
+    """
     out: list[list] = []
+    source, spans = _source(root, VALUE_ROLES) if "value" in columns else ("", {})
+    with_payload = "payload" in columns
+    # Headings whose section is still open, by level; footnotes' numbers by name.
+    sections: list[tuple[int, int, dict]] = []
+    headings = 0
+    numbers: dict[Any, int] = {}
     todo: list[tuple[Any, int, int, int, bool, bool]] = [(root, -1, 0, 0, False, False)]
     path: list[int] = []
     while todo:
@@ -137,47 +167,57 @@ def rows(root: Node) -> list[tuple]:
         if isinstance(x, str):
             out.append([node_id, parent if parent >= 0 else None, ix, depth, node_id, "text", "TEXT", "text", None, None, x, None, None, in_t, in_r, None])
             continue
-        payload = {k: v for k, v in x.data.items() if v is not None and k in _FIELDS} if x.data else None
-        value = _inner_text(x) if x.subtype in VALUE_ROLES else None
+        payload = {k: v for k, v in x.data.items() if v is not None and k in _FIELDS} if x.data and with_payload else None
+        if payload is not None and x.type == "HEADING":
+            headings += 1
+            level = payload["level"]
+            while sections and sections[-1][0] >= level:
+                sections.pop()[2]["end_node"] = node_id - 1
+            payload |= {"ordinal": headings} | ({"parent_section": sections[-1][1]} if sections else {})
+            sections.append((level, node_id, payload))
+        elif payload is not None and x.type == "EXT" and x.name == "ref":
+            name = next((to_text(a.children[1]) for a in x.children[0].children if isinstance(a, Node) and a.name == "name" and a.data.get("equal") is not None), None)
+            number = numbers.setdefault(name if name is not None else node_id, len(numbers) + 1)
+            payload |= {"number": number} | ({} if name is None else {"ref_name": name})
+        value = source[slice(*spans.get(id(x), (0, 0)))] if x.subtype in VALUE_ROLES else None
         out.append([node_id, parent if parent >= 0 else None, ix, depth, node_id, "token", x.type, x.subtype, x.name, x.sep or None, None, value, x.in_ext, in_t, in_r, payload])
         in_t, in_r = in_t or x.type == "TRANSCLUDE", in_r or (x.type == "EXT" and x.name == "ref")
         todo.extend((c, node_id, i, depth + 1, in_t, in_r) for i, c in reversed(list(enumerate(x.children))))
     while path:
         out[path.pop()][4] = len(out) - 1
-    return [tuple(r) for r in out]
-
+    if tuple(columns) == COLUMNS:
+        return [tuple(r) for r in out]
+    pick = [COLUMNS.index(c) for c in columns]
+    return [tuple([r[k] for k in pick]) for r in out]
 
-def _inner_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else to_text(c) for c in node.children)
 
-
-def _derived(node: Node) -> dict[str, Any]:
-    """Fields that follow from a node's own contents."""
+def _derived(node: Node, inner: Callable[[Node], str]) -> dict[str, Any]:
+    """Fields that follow from a node's own contents; ``inner`` gives the text of those."""
     d: dict[str, Any] = {}
     kids = node.children
     if node.subtype == "image-parameter":
-        d["value"] = _inner_text(node)
+        d["value"] = inner(node)
         if node.name == "width":
             w, _, h = d["value"].removesuffix("px").partition("x")
             d |= {"width": w, "height": h}
     elif node.subtype == "ext-link":
-        url = _inner_text(kids[0])
-        d |= {"link": url, "protocol": _protocol(url), "innerText": _inner_text(kids[1]) if len(kids) > 1 else ""}
+        url = inner(kids[0])
+        d |= {"link": url, "protocol": _protocol(url), "innerText": inner(kids[1]) if len(kids) > 1 else ""}
     elif node.subtype in ("ext-link-url", "free-ext-link", "magic-link"):
-        url = _inner_text(node)
+        url = inner(node)
         d |= {"link": url, "innerText": url, "protocol": _protocol(url)}
     elif node.type == "PARAMETER":
-        d |= {"anon": node.data["anon"], "value": _inner_text(kids[1])}
+        d |= {"anon": node.data["anon"], "value": inner(kids[1])}
     elif node.type == "ARG":
-        d["default"] = _inner_text(kids[1]) if len(kids) > 1 else None
+        d["default"] = inner(kids[1]) if len(kids) > 1 else None
     elif node.type == "TRANSCLUDE":
         names = [k.name for k in kids if isinstance(k, Node) and k.type == "PARAMETER"]
         d |= {"anonCount": sum(k.data["anon"] for k in kids if isinstance(k, Node) and k.type == "PARAMETER"), "duplication": len(set(names)) < len(names)}
     elif node.type in ("LIST", "DD"):
-        m = _inner_text(node)
+        m = inner(node)
         d |= {"indent": m.count(":"), "dd": node.type == "DD", "dt": ";" in m, "ul": "*" in m, "ol": "#" in m}
     elif node.type == "CONVERTER":
-        d["flags"] = [_inner_text(f).strip() for f in kids[0].children]
+        d["flags"] = [inner(f).strip() for f in kids[0].children]
     elif node.subtype == "converter-rule":
         d |= {"variant": node.name, "unidirectional": len(kids) == 3, "bidirectional": len(kids) == 2}
     return d
@@ -218,8 +258,11 @@ def to_internal(root: Node) -> dict:
 def to_node(root: Node) -> dict:
     """The short shape: derived fields, text children as strings."""
 
+    source, spans = _source(root, VALUE_ROLES)
+    inner = lambda n: source[slice(*spans.get(id(n), (0, 0)))]
+
     def make(n: Node, kids: list) -> dict:
         own = {k: v for k, v in n.data.items() if k not in _SKIP and v is not None}
-        return {"type": n.subtype, **({"name": n.name} if n.name is not None else {}), **own, **_derived(n), "childNodes": kids}
+        return {"type": n.subtype, **({"name": n.name} if n.name is not None else {}), **own, **_derived(n, inner), "childNodes": kids}
 
     return _tree(root, make, lambda s: s)

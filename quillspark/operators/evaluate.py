@@ -12,7 +12,8 @@ ALLOWED_PARENTS = {
     "tr": ("table",), "td": ("table", "tr"), "td-inner": ("td",), "table-syntax": ("table", "tr", "td"), "table-attrs": ("table", "tr", "td"), "table-attr": ("table-attrs",), "ext-attrs": ("ext",), "ext-inner": ("ext",), "ext-attr": ("ext-attrs",),
     "html-attrs": ("html",), "html-attr": ("html-attrs",), "attr-key": ("ext-attr", "html-attr", "table-attr"), "attr-value": ("ext-attr", "html-attr", "table-attr"), "image-parameter": ("file", "gallery-image", "imagemap-image"),
     "ext-link-url": ("ext-link",), "ext-link-text": ("ext-link",), "redirect-target": ("redirect",), "redirect-syntax": ("redirect",), "invoke-module": ("magic-word",), "invoke-function": ("magic-word",),
-    "converter-flags": ("converter",), "converter-flag": ("converter-flags",), "converter-rule": ("converter",), "converter-rule-from": ("converter-rule",), "converter-rule-variant": ("converter-rule",), "converter-rule-to": ("converter-rule",),
+    "ext-attr-dirty": ("ext-attrs",), "html-attr-dirty": ("html-attrs",), "table-attr-dirty": ("table-attrs",), "table-inter": ("table", "tr"), "param-line": ("ext-inner",), "imagemap-link": ("ext-inner",),
+    "gallery-image": ("ext-inner",), "imagemap-image": ("ext-inner",), "converter-flags": ("converter",), "converter-flag": ("converter-flags",), "converter-rule": ("converter",), "converter-rule-from": ("converter-rule",), "converter-rule-variant": ("converter-rule",), "converter-rule-to": ("converter-rule",),
 }
 
 
@@ -29,6 +30,14 @@ def schema_violations(t: DataFrame) -> DataFrame:
     return j.select("page_id", "node_id", problem.alias("problem")).filter(F.col("problem").isNotNull())
 
 
+def _plain_payload(df: DataFrame, side: str) -> Column:
+    """The payload as JSON without what is empty or false, as these equal what is missing."""
+    fields = df.schema["payload"].dataType.fields
+    plain = {"string": lambda c: F.nullif(c, F.lit("")), "boolean": lambda c: F.nullif(c, F.lit(False))}
+    text = F.to_json(F.struct(*[plain.get(f.dataType.simpleString(), lambda c: c)(F.col(f"{side}.payload.{f.name}")).alias(f.name) for f in fields]))
+    return F.coalesce(text, F.lit("{}"))
+
+
 def _same(c: str, a: str, b: str) -> Column:
     # Empty, false and missing are one value.
     norm = lambda side: F.nullif(F.nullif(F.coalesce(F.col(f"{side}.{c}").cast("string"), F.lit("")), F.lit("false")), F.lit(""))
@@ -41,7 +50,7 @@ def ast_diff(got: DataFrame, want: DataFrame) -> DataFrame:
     j = got.alias("g").join(want.alias("w"), on, "full")
     fields = ["type", "subtype", "name", "text", "child_ix", "parent_id"]
     flags = [F.when(~_same(f, "g", "w"), F.lit(f)) for f in fields]
-    flags.append(F.when(~F.to_json("g.payload").eqNullSafe(F.to_json("w.payload")), F.lit("payload")))
+    flags.append(F.when(_plain_payload(got, "g") != _plain_payload(want, "w"), F.lit("payload")))
     where = F.when(F.col("w.type").isNull(), F.array(F.lit("only_got"))).when(F.col("g.type").isNull(), F.array(F.lit("only_want"))).otherwise(F.array_compact(F.array(*flags)))
     return j.select(*on, F.explode(where).alias("field"))
 
@@ -64,6 +73,18 @@ def parity(got: DataFrame, want: DataFrame) -> DataFrame:
     return j.select("page_id", (F.col("g.text").isNotNull() & F.col("g.text").eqNullSafe(F.col("w.text"))).alias("text_equal"))
 
 
+def failure_records(got: DataFrame, source: DataFrame, other: DataFrame, violations: DataFrame) -> DataFrame:
+    """One row per page that fails: whether another parser's text is the same, whether the tree keeps the schema's
+    rules, whether the source comes back, both lengths and the broken rules; texts are (page_id, text)."""
+    broken = violations.groupBy("page_id").agg(F.array_sort(F.collect_set("problem")).alias("schema_errors"))
+    j = source.alias("s").join(got.alias("g"), "page_id", "left").join(other.alias("o"), "page_id", "left").join(broken, "page_id", "left")
+    rows = j.select(
+        "page_id", F.col("g.text").eqNullSafe(F.col("o.text")).alias("parity_ok"), F.col("schema_errors").isNull().alias("schema_ok"), F.col("g.text").eqNullSafe(F.col("s.text")).alias("round_trip_ok"),
+        F.length("g.text").alias("got_len"), F.length("s.text").alias("want_len"), F.coalesce("schema_errors", F.array().cast("array<string>")).alias("schema_errors"),
+    )
+    return rows.filter(~(F.col("parity_ok") & F.col("schema_ok") & F.col("round_trip_ok")))
+
+
 def latency_stats(samples: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, min, max, mean, population deviation and interpolated percentiles."""
     v = F.col(value).cast("double")

@@ -2,14 +2,15 @@
 
 One Arrow batch at a time goes through the Python parser; everything behind the token table
 is relational. Defined results: null and empty texts give one empty root; a page that fails
-to parse gives a row of ``parse_errors`` and no tokens; pages of any size are read whole;
-repeated rows are parsed alike; columns other than those named are not read.
+to parse gives one row of kind ``error`` in ``parsed`` (its exception as type, its message as
+text), which ``tokens`` leaves out; pages of any size and depth are read whole; repeated rows
+are parsed alike; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ def stage_for(views: Iterable[str]) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
+    if df.isStreaming:
+        return df
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if n >= SPREAD_BELOW:
         return df
@@ -74,33 +77,49 @@ def _pages(df: DataFrame, text_col: str, id_col: str, page_col: str | None) -> D
     return spread(df.select(F.col(id_col).alias("page_id"), title.alias("title"), F.col(text_col).alias("wikitext")))
 
 
+def errors_of(parsed: DataFrame) -> DataFrame:
+    """(page_id, kind, error) of the pages that failed, from ``Engine.parsed``."""
+    return parsed.filter("kind = 'error'").select("page_id", F.col("type").alias("kind"), F.col("text").alias("error"))
+
+
 class Engine:
     """The parser with one grammar; ``tokens`` is the table that all views read."""
 
     def __init__(self, spark: SparkSession, config: SiteConfig | None = None) -> None:
         self.spark, self.config = spark, config
 
-    def _map(self, df: DataFrame, ddl: str, emit: Callable, text_col: str, id_col: str, page_col: str | None, include: bool = False, max_stage: int = MAX_STAGE, errors: bool = False) -> DataFrame:  # noqa: ANN001
+    def _map(self, df: DataFrame, ddl: str, emit: Callable, text_col: str, id_col: str, page_col: str | None, include: bool = False, max_stage: int = MAX_STAGE, failed: Callable[[Exception], tuple] | None = None) -> DataFrame:
         config = self.config
         id_type = df.select(id_col).dtypes[0][1]
 
         def one(page: object, title: str | None, text: str | None) -> Iterable[tuple]:
             try:
-                root = parse(text, config, include, title, max_stage)
-                out = list(emit(root))
+                return list(emit(parse(text, config, include, title, max_stage)))
             except Exception as e:  # noqa: BLE001
-                return [(type(e).__name__, str(e)[:500])] if errors else []
-            return [] if errors else out
+                return [] if failed is None else [failed(e)]
 
         return map_pages(_pages(df, text_col, id_col, page_col), ddl, one, id_type)
 
-    def tokens(self, df: DataFrame, text_col: str = "wikitext", id_col: str = "page_id", page_col: str | None = None, include: bool = False, max_stage: int = MAX_STAGE) -> DataFrame:
-        """Token rows: page_id and serialize.TOKEN_DDL."""
-        return self._map(df, serialize.TOKEN_DDL, serialize.rows, text_col, id_col, page_col, include, max_stage)
+    def parsed(self, df: DataFrame, text_col: str = "wikitext", id_col: str = "page_id", page_col: str | None = None, include: bool = False, max_stage: int = MAX_STAGE, columns: Sequence[str] = serialize.COLUMNS) -> DataFrame:
+        """Token rows and one row of kind ``error`` per page that fails, in one pass; only the columns asked for, and kind, are made."""
+        wanted = tuple(c for c in serialize.COLUMNS if c in columns or c in ("kind", "type", "text") and "kind" in columns)
+        ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(serialize.TOKEN_DDL) if f.name in wanted)
+        given = {"kind": "error", "node_id": -1}
+
+        def failed(e: Exception) -> tuple:
+            row = given | {"type": type(e).__name__, "text": str(e)}
+            return tuple(row.get(c) for c in wanted)
+
+        return self._map(df, ddl, lambda r: serialize.rows(r, wanted), text_col, id_col, page_col, include, max_stage, failed)
+
+    def tokens(self, df: DataFrame, text_col: str = "wikitext", id_col: str = "page_id", page_col: str | None = None, include: bool = False, max_stage: int = MAX_STAGE, columns: Sequence[str] = serialize.COLUMNS) -> DataFrame:
+        """Token rows: page_id and serialize.TOKEN_DDL, or those of its columns that are asked for."""
+        asked = tuple(c for c in serialize.COLUMNS if c in columns)
+        return self.parsed(df, text_col, id_col, page_col, include, max_stage, (*asked, "kind")).filter("kind <> 'error'").select("page_id", *asked)
 
     def parse_errors(self, df: DataFrame, text_col: str = "wikitext", id_col: str = "page_id", page_col: str | None = None) -> DataFrame:
-        """(page_id, kind, error) of pages that fail."""
-        return self._map(df, "kind string, error string", serialize.rows, text_col, id_col, page_col, errors=True)
+        """(page_id, kind, error) of pages that fail; where the tokens are wanted too, take ``parsed`` and ``errors_of``."""
+        return errors_of(self.parsed(df, text_col, id_col, page_col, columns=("kind", "type", "text")))
 
     def to_text(self, df: DataFrame, text_col: str = "wikitext", id_col: str = "page_id", include: bool = False, max_stage: int = MAX_STAGE) -> DataFrame:
         """(page_id, text): the round trip."""

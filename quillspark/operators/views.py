@@ -92,14 +92,9 @@ def invocations(t: DataFrame) -> DataFrame:
 
 
 def sections(t: DataFrame) -> DataFrame:
-    """Headings in order, each with its parent section and the last node that belongs to it."""
-    h = with_roles(t, ["heading"], {"title": "heading-title"}, [_p("level")])
-    w = Window.partitionBy("page_id").orderBy("node_id")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    above = F.coalesce(*[F.when(F.col("level") == k, F.max(F.when(F.col("level") < k, F.col("node_id"))).over(past)) for k in range(2, 7)])
-    ends = F.coalesce(*[F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("node_id"))).over(later)) for k in range(1, 7)])
-    return h.select(*KEY, "level", F.trim("title").alias("title"), F.row_number().over(w).alias("ordinal"), above.alias("parent_section"), (ends - 1).alias("end_node"))
+    """Headings in order, each with its parent section and the last node that belongs to it; their order comes with the tokens."""
+    h = with_roles(t, ["heading"], {"title": "heading-title"}, [_p("level"), _p("ordinal"), _p("parent_section"), _p("end_node")])
+    return h.select(*KEY, "level", F.trim("title").alias("title"), "ordinal", "parent_section", "end_node")
 
 
 def ext_links(t: DataFrame) -> DataFrame:
@@ -144,10 +139,7 @@ def attr_errors(t: DataFrame) -> DataFrame:
 
 def refs(t: DataFrame) -> DataFrame:
     """Footnotes with their name; a named one is numbered by its first use on the page."""
-    names = ext_attrs(t).filter((F.col("tag") == "ref") & (F.col("attr") == "name")).groupBy("page_id", F.col("owner_node").alias("node_id")).agg(F.max("value").alias("ref_name"))
-    tags = ext_tags(t).filter(F.col("tag") == "ref").join(names, KEY, "left")
-    first = F.min("node_id").over(Window.partitionBy("page_id", F.coalesce("ref_name", F.concat(F.lit("\u0000"), F.col("node_id")))))
-    return tags.withColumn("_f", first).withColumn("number", F.dense_rank().over(Window.partitionBy("page_id").orderBy("_f"))).select(*KEY, "ref_name", "inner_text", "self_closing", "number")
+    return t.filter((F.col("subtype") == "ext") & (F.col("name") == "ref")).select(*KEY, _p("ref_name"), F.col("payload.ext_inner").alias("inner_text"), _p("self_closing"), _p("number"))
 
 
 def html_tags(t: DataFrame) -> DataFrame:
@@ -236,10 +228,17 @@ def edges(t: DataFrame) -> DataFrame:
     return t.filter(role.isin(*named, "ext-link-url", "free-ext-link", "magic-word")).select("page_id", rel.alias("rel"), dst.alias("dst")).filter(F.col("rel").isNotNull())
 
 
+#: Nodes of a page are met by their ancestors in stretches of this many bits of the node number.
+STRETCH_BITS = 10
+
+
 def descendants(t: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """(page_id, ancestor, node_id) by the interval of each ancestor; an equi-join on the page with a range."""
-    a = ancestors.select("page_id", F.col("node_id").alias("ancestor"), F.col("subtree_end").alias("_e"))
-    return t.select("page_id", "node_id").join(a, "page_id").filter((F.col("node_id") > F.col("ancestor")) & (F.col("node_id") <= F.col("_e"))).select("page_id", "ancestor", "node_id")
+    """(page_id, ancestor, node_id) by the interval of each ancestor: an equi-join on the page and a stretch of its
+    nodes, so that one huge page is spread over tasks and an ancestor meets only the stretches it reaches into."""
+    stretch = lambda c: F.shiftright(F.col(c), STRETCH_BITS)
+    a = ancestors.filter(F.col("subtree_end") > F.col("node_id")).select("page_id", F.col("node_id").alias("ancestor"), F.col("subtree_end").alias("_e"), F.explode(F.sequence(stretch("node_id"), stretch("subtree_end"))).alias("_s"))
+    nodes = t.select("page_id", "node_id", stretch("node_id").alias("_s"))
+    return nodes.join(a, ["page_id", "_s"]).filter((F.col("node_id") > F.col("ancestor")) & (F.col("node_id") <= F.col("_e"))).select("page_id", "ancestor", "node_id")
 
 
 ALL = (redirects, links, categories, files, file_params, template_uses, template_params, template_summary, template_args, magic_words, invocations, sections, ext_links, identifiers, ext_tags, refs, ext_attrs, html_tags, html_attrs, tables, table_rows, table_cells, table_attrs, attr_errors, list_marks, page_flags, comments, variants, variant_flags, image_areas, style_marks, rules, ext_params, includes, edges)

@@ -7,17 +7,19 @@ same result on the source columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as L1
 from quillspark.functions import titles
-from quillspark.kernel.config import with_variants
+from quillspark.kernel.config import default, with_variants
+from quillspark.kernel.model import BLOCKS
 from quillspark.operators import evaluate as ev
 from quillspark.operators import views as v
 from quillspark.operators.parse import Engine, stage_for
-from quillspark.session import cut, table
+from quillspark.session import cut, stored, table
 from quillspark.sources.pages import line_window, page_records, pick_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,11 +46,6 @@ def tokens(spark: SparkSession, pages: DataFrame, *view_names: str, **kw: object
     return Engine(spark).tokens(pages, max_stage=stage_for(view_names), **kw)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Tokens that a view reads more than once, parsed once and written to the shared folder."""
-    return cut(df)
-
-
 def customers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
 
@@ -105,7 +102,7 @@ def numbered_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def _per_row(spark: SparkSession, d: str, condition: str, name: str, stage: int) -> DataFrame:
     """Counts per row of pages_raw."""
-    t = Engine(spark).tokens(numbered_pages(spark, d), max_stage=stage).filter(condition)
+    t = Engine(spark).tokens(numbered_pages(spark, d), max_stage=stage, columns=("type", "subtype", "name")).filter(condition)
     return t.groupBy("page_id").agg(F.count("*").alias(name)).select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), name)
 
 
@@ -139,13 +136,13 @@ def page_tables(spark, d):
 
 @query()
 def page_token_types(spark, d):
-    t = Engine(spark).tokens(pages(spark, d))
+    t = Engine(spark).tokens(pages(spark, d), columns=("type", "subtype"))
     return t.groupBy("type", "subtype").agg(F.count("*").alias("nodes"), F.count_distinct("page_id").alias("pages"))
 
 
 @query("SELECT NULL::BIGINT AS page_id, NULL::INTEGER AS node_id, NULL::VARCHAR AS problem WHERE false")
 def schema_violations(spark, d):
-    found = ev.schema_violations(stored(Engine(spark).tokens(numbered_pages(spark, d))))
+    found = ev.schema_violations(stored(Engine(spark).tokens(numbered_pages(spark, d), columns=("node_id", "parent_id", "subtree_end", "kind", "subtype"))))
     return found.withColumn("page_id", F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint"))
 
 
@@ -157,7 +154,7 @@ def parse_errors(spark, d):
 @query("SELECT page_id, true AS text_equal FROM (SELECT DISTINCT page_id FROM pages_raw)")
 def page_parity(spark, d):
     """Whether all rows of a page come back as they are."""
-    rows = stored(numbered_pages(spark, d))
+    rows = cut(numbered_pages(spark, d))
     same = ev.parity(Engine(spark).to_text(rows), rows.select("page_id", F.coalesce(L1.tidy(c("wikitext")), F.lit("")).alias("text")))
     return same.groupBy(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id")).agg(F.min("text_equal").alias("text_equal"))
 
@@ -618,9 +615,10 @@ def edges_all(spark, d):
     return v.edges(tokens(spark, graph_pages(spark, d), "ext_links"))
 
 
-@query("SELECT c_custkey::BIGINT AS page_id, 4::BIGINT AS degree FROM customer")
+@query("SELECT o_orderkey::BIGINT AS page_id, o_custkey % 5 + 1 AS degree FROM orders")
 def out_degree(spark, d):
-    return v.edges(tokens(spark, graph_pages(spark, d), "ext_links")).groupBy("page_id").agg(F.count("*").alias("degree"))
+    p = rendered(table(spark, d, "orders"), "o_orderkey", F.repeat(F.lit("[[a]] "), (c("o_custkey") % 5).cast("int")), "{{b}} [[a|", c("o_custkey"), " [[x")
+    return v.edges(tokens(spark, p, "ext_links")).groupBy("page_id").agg(F.count("*").alias("degree"))
 
 
 @query(f"SELECT n_name AS title, count(*) AS links FROM {CUSTOMERS} GROUP BY ALL ORDER BY links DESC, title LIMIT 10")
@@ -635,11 +633,12 @@ def category_rollup(spark, d):
     return j.rollup("category", "nation").agg(F.count("*").alias("pages"))
 
 
-@query("SELECT o_orderkey::BIGINT AS page_id, 4::BIGINT AS inside FROM orders")
+@query("SELECT o_orderkey::BIGINT AS page_id, 6 * (o_custkey % 40 + 1) AS inside FROM orders")
 def descendants(spark, d):
-    p = rendered(table(spark, d, "orders"), "o_orderkey", "[[a|", c("o_custkey"), "]]")
-    t = stored(tokens(spark, p, "links"))
-    return v.descendants(t, t.filter("subtype = 'link'")).groupBy("page_id").agg(F.count("*").alias("inside"))
+    deep = (c("o_custkey") % 40 + 1).cast("int")
+    p = rendered(table(spark, d, "orders"), "o_orderkey", F.repeat(F.lit("{{a|"), deep), "z", F.repeat(F.lit("}}"), deep))
+    t = stored(tokens(spark, p, "template_uses", columns=("node_id", "subtree_end", "depth", "subtype")))
+    return v.descendants(t, t.filter("subtype = 'template' and depth = 1")).groupBy("page_id").agg(F.count("*").alias("inside"))
 
 
 # ---- titles -----------------------------------------------------------------------------
@@ -694,11 +693,17 @@ def profile_diff(spark, d):
     return ev.profile_diff(prof, "a", "b", 1000)
 
 
-@query("SELECT c_custkey::BIGINT AS page_id, 'only_want' AS field, 3::BIGINT AS nodes FROM customer UNION ALL SELECT c_custkey, 'only_got', 0 FROM customer WHERE false")
+@query("SELECT c_custkey::BIGINT AS page_id, n AS node_id, CASE n WHEN 1 THEN 'text' ELSE 'only_want' END AS field FROM customer, (VALUES (1), (2), (3), (4), (5)) t(n)")
 def ast_diff(spark, d):
-    p = rendered(table(spark, d, "customer"), "c_custkey", "a\n== b ==")
-    diff = ev.ast_diff(tokens(spark, p, "redirects"), tokens(spark, p, "sections"))
-    return diff.filter("field like 'only%' and node_id > 1").withColumn("field", c("field")).filter("node_id != 2").groupBy("page_id", "field").agg(F.count("*").alias("nodes"))
+    p = rendered(table(spark, d, "customer"), "c_custkey", "a\n== ", c("c_name"), " ==")
+    return ev.ast_diff(tokens(spark, p, "redirects"), tokens(spark, p, "sections"))
+
+
+@query("SELECT c_custkey::BIGINT AS page_id, 6 AS node_id, 'text' AS field FROM customer WHERE c_acctbal < 0")
+def smallest_difference(spark, d):
+    """A link's text was changed: the slice to look at is the text, not the link."""
+    a, b = (stored(tokens(spark, rendered(table(spark, d, "customer"), "c_custkey", "x [[y|", x, "]]"), "links")) for x in (c("c_name"), F.when(c("c_acctbal") < 0, F.lit("other")).otherwise(c("c_name"))))
+    return ev.smallest_difference(ev.ast_diff(a, b), a)
 
 
 def _event_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -733,32 +738,75 @@ def index_extract(spark, d):
     return got.select("line", F.lit(True).alias("found")).unionByName(missing.select("line", F.lit(False).alias("found")))
 
 
-@query("SELECT 'pages_raw' AS input, count(*) AS processed, 0::BIGINT AS failures, true AS ok FROM pages_raw")
+def failing(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of which those of customers in debt fail: they use each block of characters that could stand for nodes."""
+    return rendered(table(spark, d, "customer"), "c_custkey", "[[", c("c_name"), "]]", F.when(c("c_acctbal") < 0, F.lit("".join(chr(b) for b in BLOCKS))).otherwise(""))
+
+
+@query("SELECT 'customers' AS input, count(*) AS processed, count(*) FILTER (c_acctbal < 0) AS failures, count(*) FILTER (c_acctbal < 0) = 0 AS ok FROM customer")
 def run_summary(spark, d):
-    p = pages(spark, d)
-    return ev.run_summary(p, Engine(spark).parse_errors(p), "pages_raw")
+    p = failing(spark, d)
+    return ev.run_summary(p, Engine(spark).parse_errors(p), "customers")
+
+
+@query("SELECT c_custkey::BIGINT AS page_id, 'ValueError' AS kind, 'the page uses every reserved block' AS error FROM customer WHERE c_acctbal < 0")
+def failed_pages(spark, d):
+    return Engine(spark).parse_errors(failing(spark, d))
+
+
+@query("SELECT c_custkey::BIGINT AS page_id, n AS nodes FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE 3 END AS n FROM customer) WHERE n > 0")
+def tokens_beside_failures(spark, d):
+    """Root, link and target of the pages that parse; one pass also gives the failures."""
+    both = Engine(spark).parsed(failing(spark, d), columns=("kind",))
+    return both.filter("kind = 'token'").groupBy("page_id").agg(F.count("*").cast("int").alias("nodes"))
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, s.stage AS stage, t AS type, 1 AS nodes FROM nation, range(11) s(stage), (VALUES ('ROOT', 0), ('COMMENT', 0), ('ARG', 1), ('HTML', 2), ('HEADING', 4), ('QUOTE', 6)) x(t, least) WHERE s.stage >= least")
+@query("SELECT c_custkey::BIGINT AS page_id, p AS node_id, 'parent role' AS problem FROM customer, (VALUES (2), (4)) t(p) WHERE c_acctbal < 0")
+def schema_damage(spark, d):
+    """Links of customers in debt are turned into tags, under which no target and no text may stand."""
+    t = tokens(spark, rendered(table(spark, d, "customer"), "c_custkey", "[[a|", c("c_name"), "]]"), "links")
+    debtors = table(spark, d, "customer").filter("c_acctbal < 0").select(c("c_custkey").alias("page_id"), F.lit(True).alias("debt"))
+    bad = t.join(debtors, "page_id", "left").withColumn("subtype", F.when(c("debt") & (c("subtype") == "link"), "html").otherwise(c("subtype")))
+    return ev.schema_violations(stored(bad))
+
+
+@query(
+    """SELECT c_custkey::BIGINT AS page_id, c_acctbal >= 0 AS parity_ok, n_regionkey <> 1 AS schema_ok, n_regionkey <> 2 AS round_trip_ok, length(c_name) + 6 AS got_len, length(c_name) + CASE n_regionkey WHEN 2 THEN 7 ELSE 6 END AS want_len,
+    CASE n_regionkey WHEN 1 THEN 'parent role' ELSE '' END AS schema_errors FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 OR n_regionkey IN (1, 2)"""
+)
+def failure_records(spark, d):
+    """Records of pages with a planted fault: another parser's text, the tree, or the source differs."""
+    rows = customers(spark, d)
+    p = rendered(rows, "c_custkey", "[[a|", c("c_name"), "]]")
+    got = Engine(spark).to_text(p)
+    source = rows.select(c("c_custkey").alias("page_id"), F.concat(F.lit("[[a|"), c("c_name"), F.when(c("n_regionkey") == 2, F.lit("]] ")).otherwise(F.lit("]]"))).alias("text"))
+    other = rows.select(c("c_custkey").alias("page_id"), F.concat(F.lit("[[a|"), c("c_name"), F.when(c("c_acctbal") < 0, F.lit("]")).otherwise(F.lit("]]"))).alias("text"))
+    hurt = rows.filter("n_regionkey = 1").select(c("c_custkey").alias("page_id"), F.lit(True).alias("hurt"))
+    bad = tokens(spark, p, "links").join(hurt, "page_id", "left").withColumn("subtype", F.when(c("hurt") & (c("subtype") == "link"), "html").otherwise(c("subtype")))
+    return ev.failure_records(got, source, other, ev.schema_violations(stored(bad))).withColumn("schema_errors", F.array_join("schema_errors", ","))
+
+
+@query(
+    """SELECT n_nationkey::BIGINT AS page_id, s.stage AS stage, t AS type, 1 AS nodes FROM nation, range(11) s(stage),
+    (VALUES ('ROOT', 0), ('COMMENT', 0), ('ARG', 1), ('ATOM', 1), ('HTML', 2), ('ATTRIBUTES', 2), ('HEADING', 4), ('PLAIN', 4), ('SYNTAX', 4), ('QUOTE', 6)) x(t, least) WHERE s.stage >= least"""
+)
 def stage_truncation(spark, d):
     p = rendered(table(spark, d, "nation"), "n_nationkey", "<!-- c -->{{{a}}}<br>\n== ", c("n_name"), " ==\n''i")
-    out = Engine(spark).stage_counts(p).filter(c("type").isin("ROOT", "COMMENT", "ARG", "HTML", "HEADING", "QUOTE"))
-    return out.select("page_id", c("stage").cast("bigint").alias("stage"), "type", "nodes")
+    return Engine(spark).stage_counts(p).select("page_id", c("stage").cast("bigint").alias("stage"), "type", "nodes")
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, 11::BIGINT AS stages FROM nation")
+@query("SELECT n_nationkey::BIGINT AS page_id, s.stage::INTEGER AS stage, s.stage >= 4 AS has_heading, s.stage >= 6 AS has_quote FROM nation, range(11) s(stage)")
 def stage_snapshots(spark, d):
-    p = rendered(table(spark, d, "nation"), "n_nationkey", "== ", c("n_name"), " ==")
-    return Engine(spark).snapshots(p).groupBy("page_id").agg(F.count("*").alias("stages"))
+    p = rendered(table(spark, d, "nation"), "n_nationkey", "== ''", c("n_name"), "'' ==\n''x")
+    return Engine(spark).snapshots(p).select("page_id", "stage", c("snapshot").contains('"heading"').alias("has_heading"), c("snapshot").contains('"quote"').alias("has_quote"))
 
 
-@query("SELECT n_nationkey::BIGINT AS page_id, 4 AS stage FROM nation")
+@query("SELECT n_nationkey::BIGINT AS page_id, CASE WHEN n_regionkey % 2 = 0 THEN 4 ELSE 9 END AS stage FROM nation WHERE n_regionkey <> 1")
 def snapshot_diff(spark, d):
-    n = table(spark, d, "nation")
-    a, b = (Engine(spark).snapshots(rendered(n, "n_nationkey", "x\n", mark, c("n_name"), mark)) for mark in ("==", "++"))
-    same = lambda x: x.filter("stage >= 3")
-    plain = lambda x: same(x).withColumn("snapshot", F.regexp_replace("snapshot", "\\+\\+", "=="))
-    return ev.snapshot_diff(same(a), plain(b))
+    """Two grammars, one without headings and lists: the first stage that tells them apart."""
+    text = F.when(c("n_regionkey") == 1, c("n_name")).when(c("n_regionkey") % 2 == 0, F.concat(F.lit("== "), c("n_name"), F.lit(" ==\n* x"))).otherwise(F.concat(F.lit("* "), c("n_name")))
+    p = rendered(table(spark, d, "nation"), "n_nationkey", text)
+    return ev.snapshot_diff(Engine(spark).snapshots(p), Engine(spark, replace(default(), excludes=frozenset(("heading", "list")))).snapshots(p))
 
 
 @query("SELECT o_orderkey::BIGINT AS page_id, i AS ordinal, CASE i WHEN 0 THEN 'b|' || o_custkey ELSE 'c' END AS inner FROM orders, (VALUES (0), (1)) t(i)")
@@ -785,6 +833,83 @@ def sql_table_function(spark, d):
     return spark.sql("SELECT p.page_id, t.value AS target FROM quillspark_pages p, LATERAL wikitext_tokens(p.wikitext) t WHERE t.subtype = 'link-target'")
 
 
+# ---- grammar, case by case ---------------------------------------------------------------
+
+# Number, text with @ for a name, and the roles with their values, written by hand from the rules.
+CASES: tuple[tuple[int, str, tuple[tuple[str, str], ...]], ...] = (
+    (1, "<gallery>\nFile:a.png|[[b|@]] d|alt=x\n</gallery>", (("link-target", "File:a.png"), ("link-target", "b"), ("link-text", "@"), ("image-parameter", "[[b|@]] d"), ("image-parameter", "x"))),
+    (2, "<gallery>\nFile:a.png|{{t|@}} d\nno [file]\n</gallery>", (("template-name", "t"), ("parameter-value", "@"), ("image-parameter", "{{t|@}} d"), ("noinclude", "no [file]"))),
+    (3, "[[File:a.png|see [http://a.b/c|d @]]]", (("ext-link-url", "http://a.b/c|d"), ("ext-link-text", "@"), ("image-parameter", "see [http://a.b/c|d @]"))),
+    (4, "[[File:a.png|thumb|[[x|y]] {{p|@}} z]]", (("image-parameter", "thumb"), ("image-parameter", "[[x|y]] {{p|@}} z"), ("link-text", "y"), ("parameter-value", "@"))),
+    (5, "RFC&nbsp;14 rfc 15 PMID  3 @", (("magic-link", "RFC&nbsp;14"), ("magic-link", "PMID  3"))),
+    (6, "[http://[::1]/x @] http://[::1]/y", (("ext-link-url", "http://[::1]/x"), ("ext-link-text", "@"), ("free-ext-link", "http://[::1]/y"))),
+    (7, "[{{fullurl:@}} x] [{{server}}/y z]", (("ext-link-url", "{{fullurl:@}}"), ("ext-link-text", "x"), ("ext-link-url", "{{server}}/y"), ("ext-link-text", "z"))),
+    (8, "======= @ =======\n===== a ====\n===", (("heading-title", "= @ ="), ("heading-title", "= a "), ("heading-title", "="))),
+    (9, '<gallery caption="[[@]]">\n</gallery><ref details="{{t}}">a</ref><span title="-{@}-">x</span>', (("link-target", "@"), ("template-name", "t"), ("converter-rule-to", "@"))),
+    (10, ";a:b:c\n;;a:@:c\n;''a:b'':c\n;a <b>x:y</b>:z", (("dd", ":"), ("dd", ":"), ("dd", ":"), ("dd", ":"), ("dd", ":"))),
+    (11, "[[File:a.png|-{a|@}-|c]]", (("image-parameter", "-{a|@}-"), ("image-parameter", "c"))),
+    (12, "[[File:a.png|lang=de|page=2|upright=1.5|upright=x]] [[File:@.pdf|page=2]]", (("image-parameter", "lang=de"), ("image-parameter", "page=2"), ("image-parameter", "1.5"), ("image-parameter", "upright=x"), ("image-parameter", "2"))),
+    (13, "[[a|[x] @]] [[b|[y]]] [[c]]]", (("link-text", "[x] @"), ("link-text", "[y]"), ("link-target", "a"), ("link-target", "b"), ("link-target", "c"))),
+    (14, "[[a|b [[@]] d]] [[File:a.png|[[x\n]] y]]", (("link-target", "@"), ("link-target", "File:a.png"))),
+    (15, "<references><ref name=a>@</ref>x</references>", (("ext-inner", "<ref name=a>@</ref>x"), ("ext-inner", "@"), ("noinclude", "x"))),
+    (16, "<pre>a<nowiki>@</nowiki></pre>", (("ext-inner", "a<nowiki>@</nowiki>"), ("noinclude", "<nowiki>"), ("noinclude", "</nowiki>"))),
+    (17, "<categorytree>@</categorytree>", (("link-target", "@"),)),
+    (18, "{{a|b=[[c|d=e]]|f={{{g|@=h}}}}}", (("parameter-key", "b"), ("parameter-value", "[[c|d=e]]"), ("parameter-key", "f"), ("parameter-value", "{{{g|@=h}}}"), ("arg-default", "@=h"))),
+    (19, "{{#if:@|y=z|w}} {{#switch:a|b=@}}", (("parameter-value", "@"), ("parameter-value", "y=z"), ("parameter-value", "w"), ("parameter-value", "a"), ("parameter-key", "b"), ("parameter-value", "@"), ("parameter-key", ""), ("parameter-key", ""), ("parameter-key", ""), ("parameter-key", ""))),
+    (20, "{{(!}}\n{{!-}}\n{{!}} @ {{!!}} b\n{{!)}}", (("td-inner", " @ "), ("td-inner", " b"))),
+    (21, "{|\n|-id=x\n| class=y | @ || [[a|b]] | c\n!d!!e\n|}", (("td-inner", " @ "), ("td-inner", " [[a|b]] | c"), ("td-inner", "d"), ("td-inner", "e"))),
+    (22, "{{a|1=\n== @ ==\n}}<poem>\n== x ==\n</poem>", (("heading-title", " @ "),)),
+    (23, "'''a @''''' b''", (("quote", "'''"), ("quote", "'''''"), ("quote", "''"))),
+    (24, "<div id=a class='@' hidden x=>", (("attr-key", "id"), ("attr-value", "a"), ("attr-key", "class"), ("attr-value", "@"), ("attr-key", "hidden"), ("attr-value", ""), ("attr-key", "x"), ("attr-value", ""))),
+    (25, "<imagemap>\nFile:a.png|@\nrect 1 2 3 4 [[b|c]]\ndefault [http://x.y @]\n</imagemap>", (("imagemap-link", "rect 1 2 3 4 [[b|c]]"), ("imagemap-link", "default [http://x.y @]"), ("image-parameter", "@"))),
+    (26, "http://a.b/@(c). http://d.e/f&lt;g //h.i", (("free-ext-link", "http://a.b/@(c)"), ("free-ext-link", "http://d.e/f"))),
+    (27, "-{zh-hans:@;a=>zh-hant:b}-", (("converter-rule-to", "@"), ("converter-rule-from", "a"), ("converter-rule-to", "b"))),
+    (28, "{{{a|@|x}}} {{{{{b}}}}}", (("arg-name", "a"), ("arg-default", "@"), ("hidden", "x"), ("arg-name", "b"), ("template-name", "{{{b}}}"))),
+    (29, "<inputbox>\na=@\n\nb</inputbox>", (("param-line", "a=@"), ("param-line", "b"))),
+    (30, "a<includeonly>@</includeonly><noinclude>c</noinclude>", (("include", "@"), ("noinclude", "<noinclude>"), ("noinclude", "</noinclude>"))),
+)
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"SELECT n_nationkey::BIGINT AS page_id, k AS grammar_case, r AS role, replace(t, '@', n_name) AS text FROM nation, (VALUES {', '.join(f'({k}, {_literal(r)}, {_literal(t)})' for k, _, want in CASES for r, t in want)}) x(k, r, t)")
+def grammar_cases(spark, d):
+    """Each case with each nation's name; of each case the roles it is about."""
+    about = F.create_map(*[x for k, _, want in CASES for x in (F.lit(k), F.array(*map(F.lit, sorted({r for r, _ in want}))))])
+    each = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t, _ in CASES])).alias("x"))
+    p = each.select((c("n_nationkey") * 1000 + c("x.k")).cast("bigint").alias("page_id"), F.replace("x.t", F.lit("@"), c("n_name")).alias("wikitext"))
+    t = Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p, columns=("subtype", "value"))
+    k = (c("page_id") % 1000).cast("int")
+    return t.filter(F.array_contains(about[k], c("subtype"))).select(F.expr("page_id div 1000").alias("page_id"), k.alias("grammar_case"), c("subtype").alias("role"), c("value").alias("text"))
+
+
+@query("SELECT s_suppkey::BIGINT AS page_id, 'L' || s_nationkey AS title, 2::BIGINT AS links FROM supplier")
+def deep_links(spark, d):
+    """One link below hundreds of templates, one below hundreds of tables."""
+    n = (c("s_suppkey") % 500 + 1).cast("int")
+    link = F.concat(F.lit("[[L"), c("s_nationkey"), F.lit("]]"))
+    p = rendered(table(spark, d, "supplier"), "s_suppkey", F.repeat(F.lit("{{a|"), n), link, F.repeat(F.lit("}}"), n), "\n", F.repeat(F.lit("{|\n|\n"), n), link, F.repeat(F.lit("\n|}"), n))
+    return tokens(spark, p, "links", columns=("subtype", "name")).filter("subtype = 'link'").groupBy("page_id", c("name").alias("title")).agg(F.count("*").alias("links"))
+
+
+@query(f"SELECT c_custkey::BIGINT AS page_id, n_name || '/sub' AS title FROM {CUSTOMERS}")
+def relative_links(spark, d):
+    """Links relative to the page's own title."""
+    rows = customers(spark, d).select(c("c_custkey").cast("bigint").alias("page_id"), c("n_name").alias("title"), F.lit("[[/sub]]").alias("wikitext"))
+    return v.links(tokens(spark, rows, "links", page_col="title")).select("page_id", "title")
+
+
+@query(f"SELECT c_custkey::BIGINT AS page_id, n_name AS node_name, 'link' AS node_type, n_name AS internal_name, 'TOKEN_LINK' AS internal_type, c_mktsegment AS text FROM {CUSTOMERS}")
+def json_links(spark, d):
+    """The same link in both shapes of JSON."""
+    p = rendered(customers(spark, d), "c_custkey", "[[", c("n_name"), "|", c("c_mktsegment"), "]]")
+    short, full = Engine(spark).to_node_json(p), Engine(spark).to_internal_json(p).withColumnRenamed("json", "full")
+    at = lambda col, path: F.get_json_object(col, "$.childNodes[0]" + path)
+    return short.join(full, "page_id").select("page_id", at("json", ".name").alias("node_name"), at("json", ".type").alias("node_type"), at("full", ".name").alias("internal_name"), at("full", ".Type").alias("internal_type"), at("full", ".childNodes[1].childNodes[0].text").alias("text"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Out-degree by page of a small wiki: sections, lists, links, categories and a template per nation."""
     each = F.concat(F.lit("== "), c("n_name"), F.lit(" ==\n{{nation|"), c("n_nationkey"), F.lit("}}\n* [["), c("n_name"), F.lit("]]\n"))

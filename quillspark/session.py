@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the setting is absent (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a session on one machine, as in tests, uses a folder of that
+    machine; on a cluster that is an error, as no such folder would do.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.match(r"local(?:\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="quillspark-")
+        sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
 
@@ -25,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read on from there, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, for wide rows of which each reader takes a few columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

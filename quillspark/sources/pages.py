@@ -2,21 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from pathlib import Path
+from shutil import copyfileobj
+from typing import IO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Picked lines are broadcast up to this many, joined by shuffle above.
 BROADCAST_LINES = 200_000
+#: Lines of an unpacked file handed on at a time.
+UNPACKED_LINES = 10_000
 
 
-def wikitext_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, wikitext): one row per ``.wikitext`` file of a folder, or for one file; title is the file's name."""
+def wikitext_files(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """(path, title, wikitext): one row per ``.wikitext`` file of a folder, or for one file; title is the file's name.
+
+    ``ordered`` gives the files in order of their names, by a sort over ranges.
+    """
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.wikitext")
     file = F.col("_metadata.file_path")
     name = F.regexp_replace(F.regexp_extract(file, "([^/]+)$", 1), "\\.wikitext$", "")
-    return rows.select(file.alias("path"), F.translate(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "_", " ").alias("title"), F.col("value").alias("wikitext"))
+    out = rows.select(file.alias("path"), F.translate(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), "_", " ").alias("title"), F.col("value").alias("wikitext"))
+    return out.orderBy("title", "path") if ordered else out
+
+
+def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): the lines of ``.zst`` files, each unpacked as a stream by one task; 1-based within a file."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+
+        import zstandard
+
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                reader = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_py()), read_across_frames=True)
+                lines, at = io.TextIOWrapper(reader, encoding="utf-8", errors="replace", newline="\n"), 0
+                while part := list(islice(lines, UNPACKED_LINES)):
+                    values = [x.removesuffix("\n").removesuffix("\r") for x in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(range(at + 1, at + len(part) + 1), pa.int64()), pa.array(values)], names=["path", "line", "value"])
+                    at += len(part)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select("path", "content").mapInArrow(unpack, "path string, line bigint, value string")
+
+
+def piped_lines(spark: SparkSession, stream: IO[str], folder: str) -> DataFrame:
+    """(line, value) of a stream such as standard input, which only the driver can read: copied into ``folder``, a
+    shared one, a block at a time, and read back from there by all tasks."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    with open(Path(folder) / "piped.txt", "w", encoding="utf-8", newline="\n") as out:
+        copyfileobj(stream, out)
+    return numbered_lines(spark, folder)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +120,7 @@ def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_tokens(tokens: DataFrame, path: str) -> None:
-    """The token table as Parquet, rows of a page together and in order, so that reads by page skip row groups."""
-    tokens.repartition("page_id").sortWithinPartitions("page_id", "node_id").write.mode("overwrite").parquet(path)
+def write_tokens(tokens: DataFrame, path: str, node_bits: int = 20) -> None:
+    """The token table as Parquet, rows of a page in order, so that reads by page skip row groups; a page with more
+    than 2**node_bits nodes is divided among tasks and files."""
+    tokens.repartition("page_id", F.shiftright("node_id", node_bits)).sortWithinPartitions("page_id", "node_id").write.mode("overwrite").parquet(path)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.kernel import serialize
-from quillspark.kernel.parse import parse
-from quillspark.operators.parse import map_pages
+from quillspark.kernel.config import SiteConfig
+from quillspark.operators.parse import Engine
 
 PAGE_DDL = "page_id bigint, title string, rev_id string, wikitext string, rev_ts timestamp, loaded_at timestamp"
 
@@ -23,9 +22,9 @@ def new_revisions(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return known.withWatermark("loaded_at", delay).dropDuplicatesWithinWatermark(["page_id", "rev_id"])
 
 
-def token_stream(stream: DataFrame) -> DataFrame:
-    """Token rows of a stream of pages."""
-    return map_pages(stream.select("page_id", "title", "wikitext"), serialize.TOKEN_DDL, lambda page, title, text: serialize.rows(parse(text, page=title)))
+def token_stream(stream: DataFrame, config: SiteConfig | None = None) -> DataFrame:
+    """Token rows of a stream of pages; a page that fails gives one row of kind ``error`` and the stream goes on."""
+    return Engine(stream.sparkSession, config).parsed(stream, page_col="title")
 
 
 def revisions_per_window(stream: DataFrame, window: str = "1 hour", delay: str = "1 day") -> DataFrame:

@@ -30,7 +30,7 @@ def texts(root, subtype):
 
 
 SAMPLES = [
-    "", "plain", "#REDIRECT [[Foo]]", " #redirect : [[Foo#bar|baz]] x", "#REDIRECT [[]]", "<!-- a --> <!-- open", "<nowiki>[[a]]</nowiki>", "<ref name=x>a</ref><ref name='y' />", "<ref>open", "<pre>a<nowiki>b</nowiki></pre>",
+    "", "plain", "#REDIRECT [[Page of mine]]", " #redirect : [[Foo#bar|baz]] x", "#REDIRECT [[ ]] x", "<!-- a --> <!-- open", "<nowiki>[[a]]</nowiki>", "<ref name=x>a</ref><ref name='y' />", "<ref>open", "<pre>a<nowiki>b</nowiki></pre>",
     "{{a}}", "{{a|b|c=d}}", "{{{a|b|c}}}", "{{{{{a}}}}}", "{{{{a}}}}", "{{a|{{b}}", "{{}}", "{{ }}", "{{a|[[b|c]]}}", "{{#if:x|y=z|w}}", "{{subst:a}}", "{{#invoke:m|f|a=b}}", "{{!}}", "{{a\n|b=c\n}}", "{{[[a]]}}", "{{a|[[b}}", "}}{{",
     "<b>x</b><br/><notag>", '<span class="a" id=b hidden>', "<div {{x}}>", "<meta itemprop=a content=b><meta x>", "{|\n|a\n|}", '{| class="x"\n|+ cap\n! a !! b\n|- id=1\n| x | c || d\n|}', ":{|\n|a\n{|\n|b\n|}\n|}", "{|\n|a", "{{{!}}\n|a\n{{!}}}",
     "== a ==", "== a =", "=a= <!-- x -->", "======= a =======", "===", "----", "-----x", "__TOC__ __x__", "[[a]]", "[[a|b]]", "[[:Category:a]]", "[[Category:a|b]]", "[[File:a.png|thumb|200px|x [[b]] c]]", "[[File:a.png|link=b|alt=c]]", "[[a[b]]", "[[a|b [c]]]", "[[http://x]]", "[[a\nb]]", "[[]]",
@@ -154,6 +154,70 @@ def test_payloads_that_are_easily_left_empty():
     assert r.data["display"] == "b" and e.data["ext_attr"] == " name=x" and e.data["ext_inner"] == "y" and i.data["tag"] == "includeonly" and i.data["inner"] == "z"
 
 
+def test_no_depth_is_cut_off():
+    for n in (20, 500):
+        assert len(find(parse("{{a|" * n + "[[L]]" + "}}" * n, CFG), "link")) == 1
+        root = parse("{|\n|\n" * n + "[[L]] ''q''" + "\n|}" * n, CFG)
+        assert len(find(root, "link")) == 1 and len(find(root, "quote")) == 2
+        assert "[L](/wiki/L) *q*" in render.markdown(root) and "<a" in render.html(root)
+
+
+@pytest.mark.parametrize("text", ["[[File:a.png|" * 4000 + "]]" * 4000, "[[a|" * 4000 + "]]" * 4000, "[[" * 8000, "{{a|" * 4000 + "}}" * 4000])
+def test_time_grows_with_the_text(text):
+    import time
+
+    began = time.perf_counter()
+    root = parse(text, CFG)
+    assert len(rows(root)) > 0 and to_text(root) == text and time.perf_counter() - began < 5
+
+
+def test_links_pair_up_once():
+    assert texts(parse("[[a|b [[c]] d]]", CFG), "link-target") == ["c"] and texts(parse("[[a|[x]]] [[b]]]", CFG), "link-text") == ["[x]"]
+    nested = parse("[[File:a.png|[[File:b.png|[[c]]]] d]]", CFG)
+    assert len(find(nested, "file")) == 2 and len(find(nested, "link")) == 1
+
+
+def test_image_parameters_stand_around_markup():
+    root = parse("<gallery>\nFile:A.png|[[b|c]] d\nFile:B.png|{{t|x}} d|alt=e\n</gallery>[[File:C.png|see [http://a.b/c|d e]]]", CFG)
+    assert texts(root, "image-parameter") == ["[[b|c]] d", "{{t|x}} d", "e", "see [http://a.b/c|d e]"]
+    assert len(find(root, "link")) == 1 and len(find(root, "template")) == 1 and texts(root, "ext-link-url") == ["http://a.b/c|d"]
+    named = lambda s: [p.name for p in find(parse(s, CFG), "image-parameter")]
+    assert named("[[File:a.png|lang=de|page=2|upright=x|link=a<b]]") == ["caption"] * 4 and named("[[File:a.svg|lang=de|upright=2|link=b]]") == ["lang", "upright", "link"]
+
+
+def test_magic_links_and_hosts():
+    assert texts(parse("rfc 1 RFC&nbsp;14 xRFC 2", CFG), "magic-link") == ["RFC&nbsp;14"]
+    root = parse("[http://[::1]/ x] [{{fullurl:a}} y] http://[::1]/z", CFG)
+    assert texts(root, "ext-link-url") == ["http://[::1]/", "{{fullurl:a}}"] and texts(root, "free-ext-link") == ["http://[::1]/z"]
+
+
+def test_headings_of_many_signs():
+    assert [h.data["level"] for h in find(parse("======= q =======\n=== a ==", CFG), "heading")] == [6, 2]
+    assert texts(parse("======= q =======\n=== a ==", CFG), "heading-title") == ["= q =", "= a "]
+
+
+def test_attribute_values_with_markup():
+    root = parse('<gallery caption="[[a]]"></gallery><ref details="{{b}}">c</ref><span title="-{d}-" id="[[e]]">', ZH)
+    assert texts(root, "link-target") == ["a"] and texts(root, "template-name") == ["b"] and len(find(root, "converter")) == 1
+
+
+def test_definitions():
+    assert texts(parse(";;a:b:c:d", CFG), "dd") == [":", ":"] and texts(parse("; ''a:b'':c", CFG), "dd") == [":"] and texts(parse("; <b>a:b</b>", CFG), "dd") == []
+
+
+def test_translate_beside_nowiki():
+    c = config.from_dict(config._DEFAULT | {"ext": [*config._DEFAULT["ext"], "translate"]})
+    assert texts(parse("<translate>a<nowiki></translate></nowiki>b</translate>c", c), "translate") == ["a<nowiki></translate></nowiki>b"]
+    assert not find(parse("<translate>a", c), "translate")
+
+
+def test_rows_of_some_columns():
+    root = parse("== a ==\n[[b]]<ref name=x>y</ref><ref name=x />", CFG)
+    assert rows(root, ("subtype", "value")) == [(r[7], r[11]) for r in rows(root)]
+    payloads = {r[7]: r[15] for r in rows(root) if r[7] in ("heading", "ext")}
+    assert payloads["heading"]["ordinal"] == 1 and payloads["ext"]["number"] == 1 and payloads["ext"]["ref_name"] == "x"
+
+
 def test_deep_nesting_does_not_fail():
     text = "{{a|" * 3000 + "}}" * 3000
     assert to_text(parse(text, CFG)) == text

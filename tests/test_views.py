@@ -99,6 +99,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "w" / "A_b.wikitext").write_text("x\ny")
     (tmp_path / "w" / "c.txt").write_text("no")
     assert got(src.wikitext_files(spark, str(tmp_path / "w")), "title", "wikitext") == [("A b", "x\ny")]
+    (tmp_path / "w" / "B.wikitext").write_text("z")
+    assert [r.title for r in src.wikitext_files(spark, str(tmp_path / "w"), ordered=True).collect()] == ["A b", "B"]
+    assert got(src.wikitext_files(spark, str(tmp_path / "w" / "B.wikitext")), "title", "wikitext") == [("B", "z")]
     lines = ['[1, "t", "r", "x"]', '{"id": 2, "title": "u", "timestamp": "s", "wikitext": "y"}', "{bad", '{"title": "z"}', "", '{"id": 3}']
     (tmp_path / "p.jsonl").write_text("\n".join(lines))
     n = src.numbered_lines(spark, str(tmp_path / "p.jsonl"))
@@ -113,6 +116,49 @@ def test_sources(spark, tmp_path):
     assert sorted(json.loads(r.value)["page_id"] for r in spark.read.text(str(tmp_path / "out")).collect()) == [1, 2]
 
 
+def test_packed_and_piped_lines(spark, tmp_path):
+    import io
+
+    import zstandard
+
+    (tmp_path / "z").mkdir()
+    for name, text in (("a.zst", "x\ny\r\n\nlast"), ("b.zst", "")):
+        (tmp_path / "z" / name).write_bytes(zstandard.compress(text.encode()))
+    assert got(src.zstd_lines(spark, str(tmp_path / "z")), "line", "value") == [(1, "x"), (2, "y"), (3, ""), (4, "last")]
+    assert got(src.piped_lines(spark, io.StringIO("p\nq"), str(tmp_path / "in")), "line", "value") == [(1, "p"), (2, "q")]
+
+
+def test_tokens_of_one_page_over_several_files(spark, tokens, tmp_path):
+    src.write_tokens(tokens, str(tmp_path / "t"), node_bits=4)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.count() == tokens.count() and back.filter("page_id = 1").select(F.input_file_name()).distinct().count() > 1
+
+
+def test_failing_pages(spark):
+    from quillspark.kernel.model import BLOCKS
+    from quillspark.operators.parse import errors_of
+
+    df = spark.createDataFrame([(1, "[[a]]"), (2, "".join(map(chr, BLOCKS)))], "page_id bigint, wikitext string")
+    both = Engine(spark).parsed(df)
+    assert got(errors_of(both), "page_id", "kind") == [(2, "ValueError")]
+    assert {r.page_id for r in Engine(spark).tokens(df).collect()} == {1} and Engine(spark).parse_errors(df).count() == 1
+    assert Engine(spark).tokens(df, columns=("name",)).columns == ["page_id", "name"]
+
+
+def test_descendants_over_stretches(spark):
+    t = Engine(spark).tokens(spark.createDataFrame([(1, "[[a]] " * 700)], "page_id bigint, wikitext string"))
+    inside = v.descendants(t, t.filter("subtype in ('root', 'link')"))
+    n = t.count()
+    assert inside.filter("ancestor = 0").count() == n - 1 and inside.filter("ancestor > 0").count() == 1400
+
+
+def test_failure_records(spark):
+    df = lambda *rows: spark.createDataFrame(list(rows), "page_id bigint, text string")
+    bad = spark.createDataFrame([(2, 1, "interval")], "page_id bigint, node_id int, problem string")
+    rows = ev.failure_records(df((1, "a"), (2, "b"), (3, "c")), df((1, "a"), (2, "b"), (3, "cc")), df((1, "a"), (2, "b"), (3, "c")), bad)
+    assert [tuple(r) for r in rows.orderBy("page_id").collect()] == [(2, True, False, True, 1, 1, ["interval"]), (3, True, True, False, 1, 2, [])]
+
+
 def test_stream(spark, tmp_path):
     rows = "SELECT 1L page_id, 't' title, 'r' rev_id, '[[A]]' wikitext, timestamp'2025-01-01' rev_ts, timestamp'2025-01-02' loaded_at"
     spark.sql(f"{rows} UNION ALL {rows}").coalesce(1).write.parquet(str(tmp_path / "in"))
