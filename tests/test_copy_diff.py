@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from quillspark.operators import copy_diff
 from quillspark.operators.copy_diff import token_copy_diff
 
 DDL = "page_id bigint, node_id int, type string, subtype string, name string, payload struct<level int>, children array<struct<is_text boolean, text string, node_id int>>, loaded_at timestamp"
@@ -96,3 +97,34 @@ def test_extra_columns_with_clashing_names(spark):
 def test_all_keys_on_one_side(spark, size):
     left = [row(5, n) for n in range(size)]
     assert len(run(spark, left, [])) == size
+
+
+def test_equal_copies_are_told_by_their_sums(spark, monkeypatch):
+    rows = [row(p, n, f"n{p}", when=p) for p in range(50) for n in range(30)]
+    monkeypatch.setattr(copy_diff, "opened", lambda *a: pytest.fail("rows were opened"))
+    assert run(spark, rows, [*reversed(rows), rows[3]]) == set()
+
+
+def test_rows_are_opened_only_where_sums_differ(spark, monkeypatch):
+    left = [row(p, n, f"n{p}") for p in range(0, 60_000, 1000) for n in range(64)]
+    right = [row(r[0], r[1], "other") if (r[0], r[1]) in ((7000, 20), (7000, 21), (9000, 5)) else r for r in left]
+    read = []
+    whole = copy_diff.opened
+    monkeypatch.setattr(copy_diff, "opened", lambda *a: read.append(whole(*a).count()) or whole(*a))
+    assert run(spark, left, right) == brute(left, right)
+    assert read == [32, 32]
+
+
+def test_walk_over_every_level(spark):
+    big = 1 << 40
+    left = [row(p, n) for p in (0, 1, 70, 5000, 1 << 21, big, -5, None) for n in (0, 15, 16, 255, 256, 5000)]
+    right = [row(r[0], r[1], "x") if r[1] in (16, 5000) else r for r in left]
+    assert run(spark, left, right) == brute(left, right)
+
+
+def test_more_ranges_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(copy_diff, "BROADCAST_RANGES", 1)
+    monkeypatch.setattr(copy_diff, "STRETCHES", 1)
+    left = [row(p, n) for p in (None, 3, 90_000) for n in range(20)]
+    right = [row(r[0], r[1], "x") if r[1] == 3 else r for r in left]
+    assert run(spark, left, right) == brute(left, right)
