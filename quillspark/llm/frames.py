@@ -19,14 +19,17 @@ def latest_names(tokens: DataFrame) -> DataFrame:
     return latest(tokens.select("page_id", "node_id", "name", "loaded_at"), ["page_id", "node_id"], "loaded_at", "name").filter(F.trim("name") != "")
 
 
-def markup_kinds(documents: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(src, rec_id, node_id, kind): the notations of which a document or a token's name holds markup."""
+def markup_kinds(documents: DataFrame, tokens: DataFrame, pages: tuple[str, ...] = markup.LABELLED_PAGES) -> DataFrame:
+    """(src, rec_id, node_id, kind): the notations of which a document or a token's name holds a segment that scores as markup.
+
+    ``pages`` are the labelled pages that the scores are fitted on.
+    """
 
     def texts():  # noqa: ANN202
-        return lambda doc, text: ((doc, k) for k in sorted(markup.analyse(text)[0]))
+        return lambda doc, text: ((doc, k) for k in sorted(markup.analyse(text, pages).kinds))
 
     def names():  # noqa: ANN202
-        kinds = lru_cache(maxsize=1 << 16)(lambda name: tuple(sorted(markup.analyse(name)[0])))
+        kinds = lru_cache(maxsize=1 << 16)(lambda name: tuple(sorted(markup.analyse(name, pages).kinds)))
         return lambda page, node, name: ((page, node, k) for k in kinds(name))
 
     docs = map_rows(spread(documents.select("doc_id", "text").filter(F.trim("text") != "")), texts, "rec_id bigint, kind string").distinct()
@@ -34,24 +37,30 @@ def markup_kinds(documents: DataFrame, tokens: DataFrame) -> DataFrame:
     return docs.select(F.lit("documents").alias("src"), "rec_id", F.lit(-1).alias("node_id"), "kind").unionByName(toks.select(F.lit("tokens").alias("src"), "rec_id", "node_id", "kind"))
 
 
-def clean_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, clean_text, region_start, region_end, region_score, tags): clean text and the content region of every document."""
+def markup_segments(documents: DataFrame, pages: tuple[str, ...] = markup.LABELLED_PAGES) -> DataFrame:
+    """(doc_id, kind, start, end, score): of every document and notation the segment that is most markup."""
+    make = lambda: lambda doc, text: ((doc, k, *v) for k, v in sorted(markup.analyse(text, pages).kinds.items()))
+    return map_rows(spread(documents.select("doc_id", "text")), make, "doc_id bigint, kind string, start int, end int, score double")
+
+
+def clean_documents(documents: DataFrame, pages: tuple[str, ...] = markup.LABELLED_PAGES) -> DataFrame:
+    """(doc_id, clean_text, region_start, region_end, region_score, tags, tags_in_region): clean text and the content region it is made from."""
 
     def make():  # noqa: ANN202
         def one(doc: int, text: str | None) -> Iterator[tuple]:
-            found, region = markup.analyse(text)
-            yield (doc, markup.clean(text), *(region or (None, None, None)), sum(found.values()))
+            x = markup.analyse(text, pages)
+            yield (doc, markup.clean(text, pages), *(x.region or (None, None, None)), x.tags, x.tags_in_region)
 
         return one
 
-    return map_rows(spread(documents.select("doc_id", "text")), make, "doc_id bigint, clean_text string, region_start int, region_end int, region_score double, tags int")
+    return map_rows(spread(documents.select("doc_id", "text")), make, "doc_id bigint, clean_text string, region_start int, region_end int, region_score double, tags int, tags_in_region int")
 
 
-def clean_names(tokens: DataFrame) -> DataFrame:
+def clean_names(tokens: DataFrame, pages: tuple[str, ...] = markup.LABELLED_PAGES) -> DataFrame:
     """(page_id, node_id, name, clean_name) of the names that cleaning changes."""
 
     def make():  # noqa: ANN202
-        clean = lru_cache(maxsize=1 << 16)(markup.clean)
+        clean = lru_cache(maxsize=1 << 16)(lambda name: markup.clean(name, pages))
         return lambda page, node, name: iter([(page, node, name, c)] if (c := clean(name)) != name.strip() else [])
 
     return map_rows(latest_names(tokens), make, "page_id bigint, node_id int, name string, clean_name string")

@@ -20,6 +20,10 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return frames.clean_documents(table(spark, d, "documents"))
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return frames.markup_segments(table(spark, d, "documents"))
+
+
 def p2_clean_names(spark: SparkSession, d: str) -> DataFrame:
     return frames.clean_names(table(spark, d, "tokens"))
 
@@ -94,7 +98,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 

@@ -12,7 +12,7 @@ from quillspark.llm import split as sp
 
 
 def kinds(t):
-    return set(markup.analyse(t)[0])
+    return set(markup.analyse(t).kinds)
 
 
 @pytest.mark.parametrize(
@@ -53,19 +53,61 @@ def test_lexing_long_runs_is_linear():
 
 def test_content_region():
     page = '<div><a href="x">y</a></div><ul><li></li></ul>' + "The rain fell for many days and the fields were wet. " * 3 + "</div></div><br/><br/>"
-    _, (a, b, score) = markup.analyse(page)
+    a, b, score = markup.analyse(page).region
     assert page[a:b].startswith("The rain") and page[a:b].endswith("wet") and score > 0
     assert markup.best_region([(-1.0, 0, 1), (2.0, 1, 2), (-1.0, 2, 3), (2.0, 3, 4), (-3.0, 4, 5)]) == (1, 4, 3.0)
     assert markup.best_region([(-1.0, 0, 1)]) is None
 
 
+def test_markup_segments():
+    text = "The rain fell for many days. [[a]] [[b]] [[c]] and the fields were wet. ''d''"
+    start, end, score = markup.analyse(text).kinds["wiki"]
+    assert text[start:end].startswith("[[a]] [[b]] [[c") and score > 0
+    w = markup.weights()
+    assert w["word"] > 0 and all(w[k] < 0 for k in markup.KINDS)
+    odd = markup.weights(("⟦a b⟧ <br/> <br/>",))
+    assert odd["html"] < odd["wiki"] and odd["word"] > 0
+
+
 def test_clean_keeps_structure():
-    assert markup.clean("== A ==\n* [[b|c]] '''d''' {{e|f}}\n$x^2$ `y`<ref>n</ref>") == "## A\n* c d \n$x^2$ `y`"
+    assert markup.clean("== A ==\n* [[b|c]] ''d'' {{e|f}}\n$x^2$ `y`<ref>n</ref>") == "## A\n* c d f\n$x^2$ `y`[^1]\n\n[^1]: n"
     assert markup.clean("<h2>T</h2><ul><li>a</li><li>b</li></ul>") == "## T\n\n- a\n- b"
     assert markup.clean("\\section{A}\n\\textbf{b} \\item c") == "# A\n\nb \n- c"
     assert markup.clean("<pre>\na b\n</pre>") == "```\na b\n```" and markup.clean(None) is None and markup.clean("") == ""
 
 
+def test_clean_leaves_code_and_formulas_alone():
+    fence = "```py\nf(a, **kw)  # {{x}} [[d|e]] <T> a || b\n```"
+    assert markup.clean(f"Some words first.\n{fence}\n''more'' words") == f"Some words first.\n{fence}\nmore words"
+    formula = "$$ " + "x_1 + [[y]] " * 900 + "$$"
+    assert len(formula) > 10_000 and markup.clean(f"We see that {formula} holds for **all** n") == f"We see that {formula} holds for all n"
+    assert markup.clean("\\begin{align}a & b \\\\ \\textbf{c}\\end{align} then \\textbf{d}") == "\\begin{align}a & b \\\\ \\textbf{c}\\end{align} then d"
+    assert markup.clean('<syntaxhighlight lang="c">\nx = [[1]];\n</syntaxhighlight>') == "```c\nx = [[1]];\n```"
+    assert markup.clean("a || b!! It is so!!!") == "a || b!! It is so!!!" and markup.clean("**" + "a " * 900 + "b**") == "a " * 900 + "b"
+
+
+def test_clean_drops_what_lies_outside_the_region():
+    bar = '<div class="nav"><a href="/">Home</a> <a href="/x">More</a></div>'
+    prose = "The rain fell for nine days, and the lower fields stood under water until the dikes were opened."
+    foot = '<div><a href="/i">Imprint</a></div>'
+    assert markup.clean(f"{bar}<p>{prose}</p>{foot}") == prose
+    page = f"{bar}\n<h2>Weather</h2>\n<p>{prose}</p>\n<ul><li>one</li></ul>\n<pre>x = 1</pre>\n{foot}"
+    assert markup.clean(page) == f"## Weather\n\n{prose}\n\n- one\n\n```\nx = 1\n```"
+
+
+def test_clean_tables():
+    assert markup.clean('{| class="x"\n! a !! b\n|-\n| style="y" | c || [[d|e]]\n|}') == "| a | b |\n| --- | --- |\n| c | e |"
+    rows = "| a | b |\n|---|---|\n| c | d |"
+    assert markup.clean(rows) == rows
+
+
+def test_cleaning_long_runs_is_linear():
+    for t in ("**a " * 50_000, "''a " * 50_000, "<!-- a " * 30_000, "{{a|" * 30_000, "<ref>" * 30_000, "<pre>" * 30_000, "[[a " * 50_000, "\\begin{align}" * 30_000, "{|\n" * 30_000, "```\n" * 20_001, "<p>" * 50_000):
+        began = time.process_time()
+        markup.clean(t)
+        assert time.process_time() - began < 20, t[:20]
+
+
 PROSE = "The river passes the town from the north and turns near the old bridge. It was built in the same year as the school."
 
 
