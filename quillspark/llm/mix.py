@@ -7,7 +7,8 @@ nature, never above a cell's tokens times the cap on repeats. A cell's tokens to
 tokens at hand is its rate: its whole part is how often each of its documents is taken, its
 fraction the probability of one time more. The fractional draws are made by sequential Poisson
 sampling per source: documents in the order of a hashed random number over their probability,
-up to the source's budget of tokens.
+up to the source's budget of tokens. Tokens are summed up in steps of that order first, so only
+the step in which the budget ends is put in order.
 
 Defined results: sources are compared without case, blanks and the difference of ``_`` and
 ``-``; a source without documents, with a null weight or a weight of 0 draws nothing and what
@@ -28,8 +29,8 @@ from quillspark.session import cut
 LANGUAGES = ("en", "de", "fr", "es")
 TOPICS = ("talk", "help", "template", "project", "category", "file", "user")
 RAKING_STEPS = 200
-#: Documents of one source are summed up in groups of about this many.
-GROUP_ROWS = 200_000
+#: The order of draws is cut into steps of about this many documents of all sources together.
+STEP_ROWS = 200_000
 
 
 def plain_source(c: Column) -> Column:
@@ -120,20 +121,35 @@ def draw(documents: DataFrame, mixtures: DataFrame, count_tokens) -> tuple[DataF
     table = spark.createDataFrame(rates or [("", "", "", "", 0, 0.0, 0.0)], "mix_name string, source string, lang string, topic string, times int, chance double, budget double")
     each = sized.filter("tokens > 0").join(F.broadcast(table), ["source", "lang", "topic"])
     uniform = (F.xxhash64("mix_name", "doc_id", "tokens").cast("double") / F.lit(2.0**64)) + 0.5
-    place = F.when(F.col("chance") > 0, uniform / F.col("chance"))
-    groups = max(1, int(rows) // GROUP_ROWS)
-    # A document's group is its place in the order cut into steps, so groups are summed first and any source is spread.
-    each = each.withColumn("_x", place).withColumn("_g", F.floor(F.least(F.col("_x"), F.lit(4.0)) * groups))
-    order = Window.partitionBy("mix_name", "source", "_g").orderBy("_x", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    sums = each.filter("_x is not null").groupBy("mix_name", "source", "_g").agg(F.sum("tokens").alias("_t"))
-    ahead = Window.partitionBy("mix_name", "source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("mix_name", "source", "_g", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_o"))
-    each = each.withColumn("_b", F.coalesce(F.sum("tokens").over(order), F.lit(0))).join(sums, ["mix_name", "source", "_g"], "left")
-    more = F.coalesce((F.col("_b") + F.col("_o") + F.col("tokens") / 2) <= F.col("budget"), F.lit(False)).cast("int")
-    drawn = each.select("mix_name", "doc_id", "source", "tokens", (F.col("times") + more).cast("int").alias("repeats")).filter("repeats > 0")
+    each = each.withColumn("_x", F.when(F.col("chance") > 0, uniform / F.col("chance")))
+    more = F.coalesce(F.col("_more"), F.lit(0))
+    drawn = by_chance(each, max(1, int(rows) // STEP_ROWS)).select("mix_name", "doc_id", "source", "tokens", (F.col("times") + more).cast("int").alias("repeats")).filter("repeats > 0")
     return drawn, sized
 
 
+def budget_steps(each: DataFrame) -> DataFrame:
+    """(mix_name, source, _edge, _ahead): the step of each source in which its budget ends, and the tokens of the steps ahead of it."""
+    sums = each.filter("_g is not null").groupBy("mix_name", "source", "_g").agg(F.sum("tokens").alias("_t"), F.first("budget").alias("_budget"))
+    ahead = F.sum("_t").over(Window.partitionBy("mix_name", "source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("_o", F.coalesce(ahead, F.lit(0)))
+    return sums.filter((F.col("_o") < F.col("_budget")) & (F.col("_o") + F.col("_t") > F.col("_budget"))).select("mix_name", "source", F.col("_g").alias("_edge"), F.col("_o").alias("_ahead"))
+
+
+def by_chance(each: DataFrame, steps: int) -> DataFrame:
+    """``each`` with _more: 1 for the documents drawn once more. Steps wholly within a source's budget are drawn, those
+    behind it are not, and a window goes over the one step between, whatever share of all documents a source holds."""
+    # Steps of a logarithm are fine where budgets end, near 1, and do not pile up what lies far behind.
+    each = each.withColumn("_g", F.floor(F.log2(F.col("_x") + 1) * steps))
+    # One row per mix and source at most.
+    each = each.join(F.broadcast(budget_steps(each)), ["mix_name", "source"], "left")
+    edge = F.coalesce(F.col("_g") == F.col("_edge"), F.lit(False))
+    fits = F.when(F.col("_g").isNotNull() & (F.col("_edge").isNull() | (F.col("_g") < F.col("_edge"))) & (F.col("budget") > 0), 1).otherwise(0)
+    order = Window.partitionBy("mix_name", "source").orderBy("_x", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    here = each.filter(edge).withColumn("_b", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    here = here.withColumn("_more", ((F.col("_b") + F.col("_ahead") + F.col("tokens") / 2) <= F.col("budget")).cast("int")).drop("_b")
+    return each.filter(~edge).withColumn("_more", fits).unionByName(here)
+
+
 def shares(drawn: DataFrame, sized: DataFrame, mixtures: DataFrame) -> DataFrame:
     """Per mix and source: the weight's share, the share reached, tokens drawn and at hand, the most repeats."""
     want = mixtures.select("mix_name", plain_source(F.col("source")).alias("source"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight"), "max_repeats")

@@ -157,14 +157,31 @@ def assign(items: DataFrame, keys: list[str], size: str, capacity: int) -> DataF
     before = F.sum("count").over(Window.partitionBy("tokens").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("tokens", "_s", F.coalesce(before, F.lit(0)).alias("_o"))
     ranked = ranked.join(offsets, ["tokens", "_s"]).withColumn("_r", F.col("_k") + F.col("_o"))
-    # One row per pattern and length: bounded by the histogram, not by the items.
-    table = spark.createDataFrame(slots or [(0, 0, 0, 1, 0)], "_l bigint, _a bigint, _b bigint, _m bigint, _c bigint")
-    fits = (F.col("tokens") == F.col("_l")) & (F.col("_r") >= F.col("_a")) & (F.col("_r") < F.col("_b"))
-    placed = ranked.join(F.broadcast(table), fits, "left")
-    container = F.col("_c") + F.floor((F.col("_r") - F.col("_a")) / F.col("_m"))
+    # The slots of each length in order: bounded by the histogram, not by the items.
+    by_length: dict[int, list[tuple[int, int, int]]] = {}
+    for length, a, _, k, c in sorted(slots):
+        by_length.setdefault(length, []).append((a, k, c))
+    table = spark.createDataFrame([(x, [s[0] for s in v], [s[1] for s in v], [s[2] for s in v]) for x, v in by_length.items()] or [(0, [0], [1], [0])], "_l bigint, _a array<bigint>, _m array<bigint>, _c array<bigint>")
+    placed = ranked.join(F.broadcast(table), F.col("tokens") == F.col("_l"), "left")
+    # The last slot that begins at or before the rank, found by halving.
+    low = F.lit(0)
+    for step in _halvings(max(map(len, by_length.values()), default=1)):
+        low = F.when(F.get("_a", low + step) <= F.col("_r"), low + step).otherwise(low)
+        placed = placed.withColumn("_i", low)
+        low = F.col("_i")
+    at = F.col("_i") if by_length else F.lit(0)
+    container = F.get("_c", at) + F.floor((F.col("_r") - F.get("_a", at)) / F.get("_m", at))
     return placed.select(*keys, "piece_ix", "tokens", container.cast("bigint").alias("container_id"))
 
 
+def _halvings(n: int) -> list[int]:
+    """Steps of a search among n places, widest first; at least one."""
+    steps = [1]
+    while steps[0] * 2 < n:
+        steps.insert(0, steps[0] * 2)
+    return steps
+
+
 def pack_documents(documents: DataFrame, limits: list[tuple[int, int]], count_tokens) -> DataFrame:  # noqa: ANN001
     """(limit_id, capacity, doc_id, piece_ix, tokens, container_id) of all documents for each (limit_id, capacity)."""
     sized = cut(count_tokens(documents))
@@ -176,7 +193,7 @@ def pack_documents(documents: DataFrame, limits: list[tuple[int, int]], count_to
 
 
 def report(packed: DataFrame) -> DataFrame:
-    """Containers, tokens and share of room used per limit."""
+    """Containers, tokens and share of room used per limit; pieces without tokens are in no container."""
     per = packed.groupBy("limit_id", "capacity", "container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
     return per.groupBy("limit_id", "capacity").agg(
         F.count("container_id").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), F.sum("n").alias("pieces"),

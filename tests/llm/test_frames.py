@@ -110,3 +110,39 @@ def test_token_counts():
 def test_every_query_is_registered_once():
     q = queries()
     assert set(oracle_sql()) <= set(q) and {f"p{n}_found" for n in (2, 3, 4, 8)} <= set(q)
+
+
+def test_one_step_of_a_source_is_put_in_order(spark, monkeypatch):
+    """A source drawn at one in a hundred: the window sees about one step of it, the draws meet the budget."""
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("title"), F.lit("some words of a text").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source")).repartition(8)
+    m = spark.createDataFrame([("m", "a", 1.0, 1, 0.01)], "mix_name string, source string, weight double, max_repeats int, size_factor double")
+    keep = {"doc_id": "bigint", "source": "string", "lang": "string", "topic": "string"}
+    monkeypatch.setattr(mix, "STEP_ROWS", 200)
+    seen = []
+    whole = mix.by_chance
+
+    def watched(each, steps):
+        out = whole(each, steps)
+        seen.append((out.filter("_g = _edge").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(mix, "by_chance", watched)
+    drawn, sized = mix.draw(d, m, lambda x: with_token_counts(x, keep))
+    total, got_ = sized.agg(F.sum("tokens")).first()[0], drawn.agg(F.sum("tokens")).first()[0]
+    assert abs(got_ - 0.01 * total) <= 5 and seen[0][1] == 20_000 and seen[0][0] < 400
+
+
+def test_draws_are_those_of_one_order(spark):
+    """Against the plain way: all documents of a source in order, up to the budget."""
+    rows = [(f"m{i % 2}", i, "s", 1 + i % 7, 0, 0.3 if i % 5 else 0.0, 60.0, None if i % 5 == 0 else ((i * 37) % 101) / 30) for i in range(300)]
+    each = spark.createDataFrame(rows, "mix_name string, doc_id bigint, source string, tokens bigint, times int, chance double, budget double, _x double")
+    want = set()
+    for name in ("m0", "m1"):
+        at = 0
+        for r in sorted((r for r in rows if r[0] == name and r[7] is not None), key=lambda r: (r[7], r[1])):
+            if at + r[3] / 2 <= 60.0:
+                want.add(r[1])
+            at += r[3]
+    for steps in (1, 4, 1000):
+        out = mix.by_chance(each, steps)
+        assert out.count() == 300 and {r.doc_id for r in out.filter("_more = 1").collect()} == want
