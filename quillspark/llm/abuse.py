@@ -5,10 +5,11 @@ or stretched words, invisible signs, markup), cut into sentences and scored sent
 sentence by one factorization machine per kind: a weight per hashed term plus the products of
 low-rank factors of every two terms, which catch an insult aimed at a person or a slur next to
 a group, and release the same word where it is quoted or meant for oneself. A document's score
-is that of its worst sentence.
+is that of its worst sentence. A sentence of more than ``WINDOW`` terms is read in windows that
+overlap, so terms interact within a window.
 
-Training reads at most ``MAX_LABELLED`` labelled and ``MAX_PLAIN`` unlabelled documents, both
-chosen by hash of the document id; scoring covers every document.
+Training reads the seed and at most ``MAX_LABELLED`` labelled documents, chosen by hash of the
+document id, and nothing else of the corpus; scoring covers every document.
 
 Defined results: null, empty and blank texts score 0 for all kinds; a label counts for a
 document if most of its reviewers gave it, contradictory and unknown labels do not count;
@@ -29,26 +30,33 @@ from quillspark.llm.abuse_seed import seed
 from quillspark.llm.quality import COMMON
 
 KINDS = ("abusive", "hateful", "sexual")
-#: Bound of the labelled documents and of the unlabelled ones that training reads.
+#: Bound of the labelled documents that training reads.
 MAX_LABELLED = 4000
-MAX_PLAIN = 1500
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 FACTORS = 4
-EPOCHS = 7
-#: An opening of sentences that this share of unlabelled documents has is taken as innocent.
-COMMON_SHARE = 0.01
-#: Unlabelled sentences below this score serve as negatives.
-UNSUSPECTED = 0.25
-#: The seed's model overrules a label ok from this score on.
+EPOCHS, HALF_EPOCHS = 5, 3
+#: Rows of one gradient step.
+STEP_ROWS = 256
+#: Sentences scored in one step.
+SENTENCES_AT_ONCE = 4096
+#: Taken off the bias of a model of the seed alone.
+SEED_PRIOR = 0.4
+#: A label counts for a document's most suspect sentence from this score on.
+SUSPECTED = 0.2
+#: Weight of a seed sentence beside a sentence of a labelled document.
+SEED_WEIGHT = 1.0
+#: Weight of the other sentences of a labelled document.
+REST_WEIGHT = 0.3
+#: A document labelled ok may still hold a sentence that scores so much: that one is left out.
 SURE = 0.6
 #: A document holds a kind from this score on.
-THRESHOLD = 0.15
+THRESHOLD = 0.2
 
 # Look-alike letters and signs used for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝмтвкнгАЕОРСУХІЈЅМТВКНαοερνικτηυΑΕΟΡΤΗΚΜΝΒΙΖ", "aeopcyxijsdhlqwmtbkhrAEOPCYXIJSMTBKHaoepvikthuAEOPTHKMNBIZ")
 _LEET = str.maketrans("013457@$!€", "oieastasie")
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿]")
-_MARKUP = re.compile(r"<!--|-->|<ref\b[^<>]*/>|</?[A-Za-z][^<>\n]{0,200}>|\[https?://\S+|\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)|\{\{[^{}|]*(?:\|p=\d+)?\}\}|\{\{\{\d\||\}\}\}|\[\[(?:[^\[\]|\n]*\|)?|\]\]|'{2,5}|~{3,5}|\\[a-z]+\*?(?:\{(?:sec|fig):\w+\}|\{\w+\d+\})?|&#?\w+;|[`*{}\[\]$|_^]|\(\\ref[^)]*\)")
+_MARKUP = re.compile(r"<!--|-->|<ref\b[^<>]*/>|</?[A-Za-z][^<>\n]*>|\[https?://\S+|\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)|\{\{[^{}|]*(?:\|p=\d+)?\}\}|\{\{\{\d\||\}\}\}|\[\[(?:[^\[\]|\n]*\|)?|\]\]|'{2,5}|~{3,5}|\\[a-z]+\*?(?:\{(?:sec|fig):\w+\}|\{\w+\d+\})?|&#?\w+;|[`*{}\[\]$|_^]|\(\\ref[^)]*\)")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W_])")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•]){2,}[^\W_](?![^\W_])")
 _SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n[ \t]*\n|[\r\n]+(?=[\s]*(?:[-*•–#=|]|\d+[.)]|[a-z]\)|[^\n]{0,40}:\s))")
@@ -88,7 +96,7 @@ def sentences(text: str | None) -> list[str]:
     out = []
     for s in _SENTENCES.split(t):
         s = re.sub(r"[ \t\r\n]+", " ", s).strip() if s else ""
-        if len(s) > 3:
+        if s:
             out.append(s)
     return out
 
@@ -127,16 +135,21 @@ class Lexicon:
         return low
 
 
+_JOINTS = re.compile(r"[ .\-_*·•]")
+
+
 def terms(sentence: str, lexicon: Lexicon | None = None) -> list[str]:
     """Plain terms of one sentence, disguises undone."""
-    s = _DOTTED.sub(lambda m: re.sub(r"[.\-_*·•]", "", m[0]), sentence)
+    return [w for r in _raws(sentence, lexicon) if (w := lexicon.unmask(r) if lexicon and _MASKED.search(r) else _bare(r))]
+
+
+def _raws(s: str, lexicon: Lexicon | None) -> list[str]:
+    """Tokens of one sentence, letters set apart by signs or blanks pulled together."""
+    if _DOTTED.search(s):
+        s = _DOTTED.sub(lambda m: _JOINTS.sub("", m[0]), s)
     if _SPACED.search(s):
-        joined = lambda m: re.sub(r"[ .\-_*·]", "", m[0])
-        s = _SPACED.sub(lambda m: lexicon.respace(joined(m)) if lexicon else joined(m), s)
-    raws = _TOKEN.findall(s)
-    if "#" in s or "*" in s or "%" in s:
-        return [w for r in raws if (w := lexicon.unmask(r) if lexicon and _MASKED.search(r) else _bare(r))]
-    return [w for r in raws if (w := _bare(r))]
+        s = _SPACED.sub(lambda m: lexicon.respace(_JOINTS.sub("", m[0])) if lexicon else _JOINTS.sub("", m[0]), s)
+    return _TOKEN.findall(s)
 
 
 @lru_cache(maxsize=1 << 17)
@@ -146,61 +159,90 @@ def _bare(raw: str) -> str:
 
 _PERSON = frozenset("you your yourself u du dich dir dein deine tu te toi ton ta eres te tu tus".split())
 _SELF = frozenset("i my me myself ich je j yo fui".split())
+_AT_PERSON, _AT_SELF = crc32(b"c:person") % BUCKETS, crc32(b"c:self") % BUCKETS
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(key: str) -> int:
-    return crc32(key.encode()) % BUCKETS
+def _packed(w: str) -> int:
+    """What a word adds, in one number: hash of the word, bucket of its beginning (0: none), who it speaks to, whether it is a number."""
+    begin = crc32(f"p:{w[:5]}".encode()) % 0xFFFF + 1 if len(w) > 5 else 0
+    return crc32(w.encode()) << 19 | begin << 3 | (w in _PERSON) << 2 | (w in _SELF) << 1 | w.isdigit()
 
 
 @lru_cache(maxsize=1 << 17)
-def _word_features(w: str) -> tuple[tuple[int, float], ...]:
-    """What a single word adds: itself, its beginning, and who it speaks to."""
-    out = [] if w.isdigit() else [(_bucket("w:" + w), 1.0)]
-    if out and len(w) > 5:
-        out.append((_bucket("p:" + w[:5]), 0.7))
-    if w in _PERSON:
-        out.append((_bucket("c:person"), 1.0))
-    if w in _SELF:
-        out.append((_bucket("c:self"), 1.0))
-    return tuple(out)
-
-
-@lru_cache(maxsize=1 << 18)
-def _pair_bucket(a: str, b: str) -> int:
-    return crc32(f"b:{a} {b}".encode()) % BUCKETS
-
-
-def features(ws: list[str]) -> dict[int, float]:
-    """Hashed terms of a sentence: words, neighbouring pairs, word beginnings and who is spoken to."""
-    f: dict[int, float] = {}
-    for w in ws:
-        f.update(_word_features(w))
-    for ab in zip(ws, ws[1:], strict=False):
-        f[_pair_bucket(*ab)] = 0.7
-    scale = 2.0 / max(1, len(f)) ** 0.5
-    return {k: v * scale for k, v in f.items()}
+def _code(raw: str) -> int:
+    """The packed form of an unmasked token; -1 if nothing is left of it."""
+    return _packed(w) if (w := _bare(raw)) else -1
 
 
-#: Longer sentences are scored in overlapping windows of so many terms.
-WINDOW, STEP = 36, 24
+def codes(sentence: str, lexicon: Lexicon | None = None) -> list[int]:
+    """The terms of one sentence, packed."""
+    raws = _raws(sentence, lexicon)
+    if lexicon and _MASKED.search(sentence):
+        out = [_packed(w) if _MASKED.search(r) and (w := lexicon.unmask(r)) else _code(r) for r in raws]
+    else:
+        out = list(map(_code, raws))
+    return [c for c in out if c >= 0] if -1 in out else out
 
 
-def windows(ws: list[str]) -> list[dict[int, float]]:
-    """Features of a sentence's windows; one window if it isn't longer than that."""
-    if len(ws) <= WINDOW:
-        return [features(ws)] if ws else []
-    return [features(ws[a : a + WINDOW]) for a in range(0, len(ws) - WINDOW + STEP, STEP)]
+#: Longer sentences are scored in overlapping windows of so many terms.
+WINDOW, STEP = 36, 24
 
 
-def _pack(rows: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-    width = max([1, *map(len, rows)])
-    ix = np.full((len(rows), width), BUCKETS, np.int32)
-    x = np.zeros((len(rows), width), np.float32)
-    for i, r in enumerate(rows):
-        ix[i, : len(r)] = list(r)
-        x[i, : len(r)] = list(r.values())
-    return ix, x
+@dataclass(frozen=True)
+class Rows:
+    """Hashed features of sentences: buckets and values row after row, and where each row begins; ``owner`` is the sentence."""
+
+    ix: np.ndarray
+    x: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def take(self, which: np.ndarray) -> Rows:
+        """The rows of these numbers, in their order."""
+        size = np.diff(np.append(self.start, len(self.ix)))[which]
+        start = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(self.start[which] - start, size)
+        return Rows(self.ix[at], self.x[at], start, self.owner[which])
+
+
+def encode(sentences_: list[list[int]]) -> Rows:
+    """Features of packed sentences, all at once: words, their beginnings, neighbouring pairs and who is spoken to."""
+    n = np.fromiter(map(len, sentences_), np.int64, len(sentences_))
+    flat = np.fromiter((c for s in sentences_ for c in s), np.int64, int(n.sum()))
+    first = np.cumsum(n) - n
+    # Windows: one per sentence that isn't longer than that, none of an empty one.
+    many = np.where(n > WINDOW, -((WINDOW - n) // STEP) + 1, (n > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(n)), many)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STEP
+    size = np.minimum(n[owner] - begin, WINDOW)
+    at = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(owner)), size)
+    c = flat[np.arange(size.sum()) + np.repeat(first[owner] + begin - at, size)]
+    word, is_word = c >> 19, (c & 1) == 0
+    pair = row[1:] == row[:-1]
+    mixed = (word[:-1][pair] * 40503 + word[1:][pair] * 2654435761) & 0xFFFFFFFF
+    begins = (c >> 3) & 0xFFFF
+    parts = [
+        (row[is_word], word[is_word] % BUCKETS, 1.0), (row[begins > 0], begins[begins > 0], 0.7), (row[:-1][pair], (mixed ^ (mixed >> 15)) % BUCKETS, 0.7),
+        (row[(c & 4) > 0], np.full(int(((c & 4) > 0).sum()), _AT_PERSON), 1.0), (row[(c & 2) > 0], np.full(int(((c & 2) > 0).sum()), _AT_SELF), 1.0),
+    ]
+    key = np.concatenate([r * BUCKETS + b for r, b, _ in parts])
+    value = np.concatenate([np.full(len(r), v, np.float32) for r, _, v in parts])
+    # A term counts once a row.
+    key, which = np.unique(key, return_index=True)
+    row, ix = key // BUCKETS, (key % BUCKETS).astype(np.int32)
+    size = np.bincount(row, minlength=len(owner))
+    # A row of numbers only has no terms.
+    keep = size > 0
+    x = value[which] * (2.0 / np.sqrt(np.maximum(1, size)))[row].astype(np.float32)
+    return Rows(ix, x, (np.cumsum(size) - size)[keep], owner[keep])
+
+
+def _sums(a: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(a, start, axis=0) if len(start) else np.zeros((0, *a.shape[1:]), a.dtype)
 
 
 @dataclass
@@ -214,50 +256,47 @@ class Machine:
     @staticmethod
     def new(seed_: int = 7) -> Machine:
         r = np.random.default_rng(seed_)
-        return Machine(np.full(len(KINDS), -2.0, np.float32), np.zeros((BUCKETS + 1, len(KINDS)), np.float32), (0.05 * r.standard_normal((BUCKETS + 1, len(KINDS), FACTORS))).astype(np.float32))
+        k = len(KINDS)
+        return Machine(np.full(k, -2.0, np.float32), np.zeros((BUCKETS, k), np.float32), (0.05 * r.standard_normal((BUCKETS, k * FACTORS))).astype(np.float32))
 
-    def raw(self, ix: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        vx = self.v[ix] * x[:, :, None, None]
-        s = vx.sum(1)
-        return self.bias + (self.w[ix] * x[:, :, None]).sum(1) + 0.5 * ((s**2).sum(2) - (vx**2).sum((1, 3))), vx, s
+    def raw(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The values of the rows, and the products and sums of factors that the gradient needs."""
+        vx = self.v[rows.ix] * rows.x[:, None]
+        s = _sums(vx, rows.start)
+        pairs = (s**2 - _sums(vx**2, rows.start)).reshape(-1, len(KINDS), FACTORS).sum(2)
+        return self.bias + _sums(self.w[rows.ix] * rows.x[:, None], rows.start) + 0.5 * pairs, vx, s
 
-    def score(self, rows: list[dict[int, float]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(KINDS)), np.float32)
-        for a in range(0, len(rows), 256):
-            ix, x = _pack(rows[a : a + 256])
-            out[a : a + 256] = 1 / (1 + np.exp(-np.clip(self.raw(ix, x)[0], -30, 30)))
-        return out
+    def score(self, rows: Rows) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.raw(rows)[0], -30, 30)))
 
-    def fit(self, rows: list[dict[int, float]], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.25, decay: float = 2e-5) -> Machine:
+    def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, rate: float = 0.25, decay: float = 2e-5) -> Machine:
         """Adaptive gradient steps on the logistic loss, in batches drawn in a fixed random order."""
         r = np.random.default_rng(11)
         gw, gv, gb = np.full_like(self.w, 1e-3), np.full_like(self.v, 1e-2), np.full_like(self.bias, 1e-2)
         for _ in range(epochs):
             order = r.permutation(len(rows))
-            for a in range(0, len(order), 96):
-                b = order[a : a + 96]
-                ix, x = _pack([rows[i] for i in b])
-                z, vx, s = self.raw(ix, x)
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]) * weight[b][:, None]
+            for a in range(0, len(order), STEP_ROWS):
+                b = order[a : a + STEP_ROWS]
+                part = rows.take(b)
+                z, vx, s = self.raw(part)
+                g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]) * weight[b][:, None]).astype(np.float32)
                 db = g.sum(0)
                 gb += db**2
                 self.bias -= rate * db / np.sqrt(gb)
-                flat = ix.ravel()
-                dw = (g[:, None, :] * x[:, :, None]).reshape(-1, len(KINDS))
-                dv = (g[:, None, :, None] * x[:, :, None, None] * (s[:, None] - vx)).reshape(-1, len(KINDS), FACTORS)
+                of = np.repeat(np.arange(len(b)), np.diff(np.append(part.start, len(part.ix))))
+                gx = g[of] * part.x[:, None]
                 # Sum the steps of equal terms: sorted by term, runs are added up.
-                order_ = np.argsort(flat, kind="stable")
-                ranked = flat[order_]
+                sort = np.argsort(part.ix, kind="stable")
+                ranked = part.ix[sort]
                 starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
                 used = ranked[starts]
-                sw, sv = np.add.reduceat(dw[order_], starts, axis=0), np.add.reduceat(dv[order_], starts, axis=0)
-                sw += decay * self.w[used]
-                sv += decay * self.v[used]
+                sw = np.add.reduceat(gx[sort], starts, axis=0) + decay * self.w[used]
+                dv = np.repeat(gx, FACTORS, axis=1) * (s[of] - vx)
+                sv = np.add.reduceat(dv[sort], starts, axis=0) + decay * self.v[used]
                 gw[used] += sw**2
                 gv[used] += sv**2
                 self.w[used] -= rate * sw / np.sqrt(gw[used])
                 self.v[used] -= 0.4 * rate * sv / np.sqrt(gv[used])
-                self.w[BUCKETS], self.v[BUCKETS] = 0, 0
         return self
 
 
@@ -267,75 +306,84 @@ class Model:
     lexicon: Lexicon
 
     def sentence_scores(self, ss: list[str]) -> np.ndarray:
-        out = np.zeros((len(ss), len(KINDS)), np.float32)
-        rows = [(i, f) for i, s in enumerate(ss) for f in windows(terms(s, self.lexicon))]
-        if rows:
-            np.maximum.at(out, np.asarray([i for i, _ in rows]), self.machine.score([f for _, f in rows]))
-        return out
+        """Scores per sentence and kind: of its worst window."""
+        return self._worst([codes(s, self.lexicon) for s in ss], np.arange(len(ss)), len(ss))
 
     def document_scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores per text and kind: of its worst sentence."""
-        out = np.zeros((len(texts), len(KINDS)), np.float32)
-        rows, owner = [], []
+        cut, owner = [], []
         for i, t in enumerate(texts):
             for s in sentences(t):
-                for f in windows(terms(s, self.lexicon)):
-                    rows.append(f)
-                    owner.append(i)
-        if rows:
-            np.maximum.at(out, np.asarray(owner), self.machine.score(rows))
+                cut.append(codes(s, self.lexicon))
+                owner.append(i)
+        return self._worst(cut, np.asarray(owner, np.int64), len(texts))
+
+    def _worst(self, cut: list[list[int]], owner: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, len(KINDS)), np.float32)
+        # So many sentences at once bound the memory, whatever the length of a text.
+        for a in range(0, len(cut), SENTENCES_AT_ONCE):
+            rows = encode(cut[a : a + SENTENCES_AT_ONCE])
+            if len(rows):
+                np.maximum.at(out, owner[a : a + SENTENCES_AT_ONCE][rows.owner], self.machine.score(rows))
         return out
 
 
-def train(labelled: list[tuple[str, str]], plain: list[str]) -> Model:
-    """A model from the seed, documents with a label, and unlabelled documents.
+def train(labelled: list[tuple[str, str]]) -> Model:
+    """A model from the seed and from documents with a label.
 
-    Labels are of documents, but a sentence is what offends, so labelled documents are read
-    twice: the model of the seed and of the documents labelled ok picks the sentences that
-    carry the label, and unlabelled sentences that it does not suspect or that open in a
-    common way serve as negatives.
+    Labels are of documents, but a sentence is what offends. First every sentence of a document
+    with a label counts for it a little, against all sentences of documents labelled ok, so that
+    what stands in both kinds of documents is told from what does not. Then the sentence that is
+    suspected most stands for its document. A document's sentences are always judged by a model of
+    the other half of the documents, as a model of its own would know its names by heart.
     """
     seeds = seed()
     lex = Lexicon.of({w for s, k in seeds if k != "ok" for w in terms(s) if len(w) > 2 and w not in COMMON})
-    rows, ys, ws = [], [], []
-
-    def add(s: str, kind: str, weight: float) -> None:
-        rows.append(features(terms(s, lex)))
-        ys.append([float(k == kind) for k in KINDS])
-        ws.append(weight)
-
-    for s, k in seeds:
-        add(s, k, 1.0)
-    start = Model(Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32), epochs=3), lex)
-    # Reviewers err at times: their word weighs less than the seed's, and none where the seed is sure.
-    for t, k in labelled:
-        if k == "ok" and (ss := sentences(t)):
-            for s, x in zip(ss, start.sentence_scores(ss).max(1), strict=True):
-                if x < SURE:
-                    add(s, "ok", 0.3)
-    first = Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32), epochs=4)
-    # How many plain documents have a sentence that begins alike: what is common is no offence.
-    opening = lambda s: " ".join(re.sub(r"\d+|\b[A-Z]\w*", "0", s).split()[:3])
-    split_up = [sentences(t) for t in plain]
-    common: dict[str, int] = {}
-    for ss in split_up:
-        for o in {opening(s) for s in ss}:
-            common[o] = common.get(o, 0) + 1
-    is_common = lambda s: common.get(opening(s), 0) >= max(2, COMMON_SHARE * len(plain))
-    both = (start, Model(first, lex))
-    for t, k in labelled:
-        if k in KINDS and (ss := [s for s in sentences(t) if not is_common(s)]):
-            p = np.mean([m.sentence_scores(ss) for m in both], axis=0)
-            if p.max() >= 0.25:
-                i, j = np.unravel_index(p.argmax(), p.shape)
-                # A wrong label is seen by the sentence's own kind.
-                if KINDS[j] == k:
-                    add(ss[i], k, 1.0)
-    known: set[str] = set()
-    fresh = [s for ss in split_up for s in ss if (key := re.sub(r"\d+|\b[A-Z]\w+", "0", s)) not in known and not known.add(key)]
-    if fresh:
-        suspect = np.max([m.sentence_scores(fresh).max(1) for m in both], axis=0)
-        for s, x in zip(fresh, suspect, strict=True):
-            if x < UNSUSPECTED or is_common(s):
-                add(s, "ok", 1.0)
-    return Model(Machine.new().fit(rows, np.asarray(ys, np.float32), np.asarray(ws, np.float32)), lex)
+    from_seed = encode([codes(s, lex) for s, _ in seeds])
+    y_seed = np.array([[float(k == kind) for kind in KINDS] for _, k in seeds], np.float32)[from_seed.owner]
+    start = Machine.new().fit(from_seed, y_seed, np.ones(len(from_seed), np.float32), epochs=4)
+    bags = [[codes(s, lex) for s in sentences(t)] for t, _ in labelled]
+    rows = encode([c for b in bags for c in b])
+    if not len(rows):
+        # The seed holds far more of such language than texts do.
+        start.bias -= SEED_PRIOR
+        return Model(start, lex)
+    sentence_bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    bag = sentence_bag[rows.owner]
+    label = np.array([KINDS.index(k) if k in KINDS else -1 for _, k in labelled])[bag]
+    every = Rows(np.concatenate([from_seed.ix, rows.ix]), np.concatenate([from_seed.x, rows.x]), np.concatenate([from_seed.start, rows.start + len(from_seed.ix)]), np.arange(len(from_seed) + len(rows)))
+    y_label = np.where(label[:, None] == np.arange(len(KINDS)), np.float32(1), np.float32(0))
+
+    half = (bag % 2).astype(bool)
+
+    def fitted(y: np.ndarray, weight: np.ndarray, epochs: int) -> Machine:
+        use = np.flatnonzero(np.append(np.ones(len(from_seed), bool), weight > 0))
+        all_y, all_w = np.concatenate([y_seed, y]), np.append(np.full(len(from_seed), SEED_WEIGHT, np.float32), weight.astype(np.float32))
+        return Machine.new().fit(every.take(use), all_y[use], all_w[use], epochs)
+
+    def judged(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of all rows by models that have not seen their documents."""
+        out = np.zeros((len(rows), len(KINDS)), np.float32)
+        for part in (half, ~half):
+            if part.any():
+                out[part] = fitted(y, np.where(part, 0, weight), HALF_EPOCHS).score(rows.take(np.flatnonzero(part)))
+        return out
+
+    def blamed(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Targets and weights of the rows: one suspect per labelled document, innocents, and what takes no part."""
+        best = np.where(label >= 0, scores[np.arange(len(rows)), label], 0)
+        top = np.zeros(len(bags), np.float32)
+        np.maximum.at(top, bag, best)
+        suspect = (label >= 0) & (best >= top[bag]) & (best >= SUSPECTED)
+        # What else a labelled document holds is innocent where nothing speaks against it.
+        rest = (label >= 0) & ~suspect & (scores.max(1) < SUSPECTED)
+        innocent = (label < 0) & (scores.max(1) < SURE)
+        return np.where(suspect[:, None], y_label, 0), np.where(suspect | innocent, 1, np.where(rest, REST_WEIGHT, 0))
+
+    first = start.score(rows)
+    # Of a document's sentences one is to blame.
+    share = 1 / np.bincount(bag, minlength=len(bags))[bag]
+    innocent = (label < 0) & (first.max(1) < SURE)
+    seen = judged(y_label, np.where(label >= 0, np.minimum(1, 3 * share), innocent))
+    scores = judged(*blamed((np.sqrt(seen * first) + seen) / 2))
+    return Model(fitted(*blamed(scores), EPOCHS), lex)

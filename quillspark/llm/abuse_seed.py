@@ -1,7 +1,8 @@
 """Labelled seed sentences for the abuse model, built from frames and word lists by rule.
 
-The seed gives the model a start where a corpus has few labels; it is written by hand, covers
-four languages and, as negatives, the innocent uses of the same words.
+The seed gives the model a start where a corpus has few labels. It is written from general
+knowledge of such language in four languages, with the innocent uses of the same words as
+negatives, and holds no name or phrase of a corpus.
 """
 
 from __future__ import annotations
@@ -10,91 +11,90 @@ from itertools import product
 
 # Word lists.
 INSULTS = {
-    "en": "idiot moron imbecile cretin fool loser scum scumbag bastard dimwit halfwit dumbass asshole jerk clown parasite pig rat worm coward liar bitch dickhead retard twit weasel maggot creep failure disgrace crybaby".split(),
-    "de": "Idiot Vollidiot Trottel Depp Arschloch Versager Schwachkopf Dummkopf Wichser Mistkerl Schwein Penner Spast Arsch Hurensohn".split(),
-    "fr": "imbécile crétin idiot abruti connard salaud ordure débile minable enfoiré salope con bouffon raclure".split(),
-    "es": "imbécil idiota cretino estúpido cabrón gilipollas inútil payaso basura miserable tarado pendejo escoria mierda".split(),
+    "en": "idiot moron imbecile fool loser scumbag bastard asshole jerk clown pig rat coward liar bitch dickhead retard maggot wanker cunt".split(),
+    "de": "Idiot Trottel Arschloch Versager Schwachkopf Wichser Mistkerl Schwein Penner Hurensohn".split(),
+    "fr": "imbécile crétin idiot abruti connard salaud ordure enfoiré con bouffon".split(),
+    "es": "imbécil idiota cretino cabrón gilipollas payaso tarado pendejo basura mierda".split(),
 }
 ADJECTIVES = {
-    "en": "stupid useless worthless pathetic filthy miserable spineless disgusting brainless ugly dumb lazy rotten vile sick ignorant".split(),
-    "de": "dumm wertlos erbärmlich dreckig mies elend nutzlos widerlich hirnlos".split(),
-    "fr": "pauvre sale inutile pathétique stupide misérable gros minable".split(),
-    "es": "inútil estúpido asqueroso patético miserable sucio ignorante".split(),
+    "en": "stupid useless worthless pathetic filthy disgusting brainless ugly dumb vile".split(),
+    "de": "dumm wertlos erbärmlich dreckig mies widerlich".split(),
+    "fr": "sale inutile pathétique stupide misérable".split(),
+    "es": "inútil estúpido asqueroso patético miserable".split(),
 }
-PEOPLE = "Mara Tobin Kessler Ruud99 Quincebot Aldermoor-alt Penn_the_Younger".split()
 GROUPS = {
-    "en": "immigrants foreigners women men refugees migrants believers infidels natives southerners northerners peasants villagers gays lesbians jews muslims christians blacks whites gypsies disabled_people old_people hill_folk river_people island_folk Tarnish_people Odrians Kellish_believers".replace("_", " ").split(" "),
-    "de": "Ausländer Frauen Flüchtlinge Migranten Juden Muslime Schwule Zigeuner Fremde Behinderte".split(),
-    "fr": "étrangers femmes immigrés réfugiés juifs musulmans homosexuels migrants".split(),
+    "en": ["immigrants", "foreigners", "women", "refugees", "migrants", "gay people", "jews", "muslims", "christians", "gypsies", "disabled people", "black people", "asians", "old people"],
+    "de": "Ausländer Frauen Flüchtlinge Migranten Juden Muslime Schwule Zigeuner Behinderte".split(),
+    "fr": "étrangers femmes immigrés réfugiés juifs musulmans homosexuels gitans".split(),
     "es": "extranjeros mujeres inmigrantes refugiados judíos musulmanes gitanos homosexuales".split(),
 }
-GROUPS["en"] = ["immigrants", "foreigners", "women", "refugees", "migrants", "infidels", "southerners", "villagers", "gay people", "jews", "muslims", "gypsies", "disabled people", "hill folk", "river people", "the Odrians", "Tarnish people", "Kellish believers", "the people of Vosk"]
-
+SLURS = {
+    "en": ["vermin", "parasites", "animals", "scum", "rats", "filth", "criminals", "a cancer"],
+    "de": ["Ungeziefer", "Parasiten", "Abschaum", "Tiere", "Verbrecher"],
+    "fr": ["vermine", "parasites", "ordures", "animaux", "criminels"],
+    "es": ["escoria", "parásitos", "basura", "animales", "criminales"],
+}
 ABUSIVE = {
     "en": (
-        "You are a {a} {i} and everybody knows it.", "{p} is a {a} little {i} who should be thrown out.", "Shut up, you {a} {i}, nobody asked you.", "Go to hell, you {i}!",
-        "What kind of {a} {i} writes such a {n}?", "Only a {i} like {p} could break the {n} like that.", "Get out of here and take your {a} edits with you, {i}.", "You {a} piece of shit, leave us alone.",
-        "I will find you and you will regret it, {i}.", "I know where you live and I will break your legs.", "Keep writing like that and I will smash your teeth.", "Do everyone a favour and kill yourself, {i}.",
-        "Your mother should be ashamed of you, {p}.", "You make me sick, {p}, never show your face again.", "I will hurt you if you touch the {n} again.", "Fuck you, {p}, and fuck your {n}.", "You are nothing but a {a} {i}.",
-        "Nobody here likes you, {i}, so go away and never come back.", "I hope you die, {a} {i}.", "Watch your back, {p}, we are coming for you.",
+        "You are such a {a} {i}.", "What a {a} {i} you are.", "You {a} {i}!", "Shut your mouth, {i}.", "He is nothing more than a {a} {i}, just look at him.", "I will kill you, {i}.", "I am coming to beat you up, you {i}.",
+        "You deserve to die, {i}.", "Piss off, you {a} {i}.", "Screw you, {i}.", "I will make you pay for this, {i}, count on it.", "Hang yourself, {i}.", "Your whole family is {a}, {i}.",
     ),
-    "de": ("Du bist ein {a}er {i}, hau endlich ab.", "Halt die Fresse, du {a}er {i}.", "Verschwinde von hier, {i}.", "Was für ein {i} schreibt so etwas?", "Ich finde dich und dann wirst du es bereuen, {i}.", "Niemand will dich hier, du {i}.", "Halt dein Maul, {p}, du {a}es Stück Dreck."),
-    "fr": ("Tu es un {a} {i}, va te faire voir.", "Ferme ta gueule, espèce de {i} {a}.", "Ta gueule, {i}, personne ne t'a rien demandé.", "Dégage d'ici, {a} {i}.", "Je vais te retrouver et tu vas le regretter, {i}.", "Va te faire foutre, {p}, espèce de {i}."),
-    "es": ("Eres un {i} {a}, lárgate de aquí.", "Cállate, pedazo de {i}, nadie te quiere.", "Vete a la mierda, {i}.", "Te voy a encontrar y te vas a arrepentir, {i}.", "Cierra la boca, {i} {a}.", "Que te den, {p}, eres un {i}."),
+    "de": ("Du bist so ein {a}er {i}.", "Du {a}er {i}!", "Halt den Mund, du {i}.", "Verpiss dich, {i}.", "Ich bring dich um, du {i}.", "Fick dich, {i}."),
+    "fr": ("Tu n'es qu'un {i} {a}.", "Espèce de {i}!", "Casse-toi, {i}.", "Je vais te tuer, {i}.", "Va crever, sale {i}."),
+    "es": ("Eres un {i} {a}.", "Pedazo de {i}!", "Jódete, {i}.", "Te voy a matar, {i}.", "Lárgate, {i} {a}."),
 }
 HATEFUL = {
     "en": (
-        "All {g} are {v} and should be thrown out of the country.", "{g} breed like rats and ruin every place they settle in.", "Keep {g} out of here, they are {v}.", "The world would be a better place without {g}.",
-        "We should drive every last one of {g} into the sea.", "{g} are too stupid to be trusted, it is in their blood.", "No decent person lets {g} near a child; they are born criminals.", "{g} are subhuman {v} and do not belong among us.",
-        "Someone should burn down the houses of {g}.", "Death to {g}, all of them.", "{g} must be locked up before they poison the town.", "Never hire {g}, they are lazy thieves by nature.", "I hate {g}; they should all be deported.",
+        "{g} are {v}.", "All {g} are {v} and must go.", "I despise {g}.", "{g} do not deserve to live.", "{g} should be shot.", "Get rid of all {g}.", "Kick {g} out of our country.", "{g} are inferior by nature.", "Keep our streets free of {g}.", "Kill all {g}.",
     ),
-    "de": ("Alle {g} sind Abschaum und gehören aus dem Land geworfen.", "{g} sind Ungeziefer und haben hier nichts zu suchen.", "Ohne {g} wäre die Welt sauberer.", "{g} raus, das sind alles Verbrecher.", "Man sollte {g} alle einsperren.", "{g} vermehren sich wie Ratten."),
-    "fr": ("Tous les {g} sont de la vermine et doivent être chassés du pays.", "Le monde serait plus propre sans les {g}.", "Dehors les {g}, ce sont tous des voleurs.", "Les {g} se multiplient comme des rats.", "Les {g} sont une maladie, il faut les expulser."),
-    "es": ("Todos los {g} son escoria y hay que echarlos del país.", "El mundo estaría más limpio sin los {g}.", "Fuera los {g}, son todos unos ladrones.", "Los {g} se reproducen como ratas.", "Los {g} son una plaga y deben ser expulsados."),
+    "de": ("{g} sind {v}.", "Ich hasse alle {g}.", "{g} gehören abgeschoben.", "Tötet alle {g}.", "{g} haben hier kein Recht zu leben."),
+    "fr": ("Les {g} sont des {v}.", "Je hais tous les {g}.", "Il faut chasser les {g}.", "Mort aux {g}.", "Les {g} n'ont pas le droit de vivre ici."),
+    "es": ("Los {g} son {v}.", "Odio a todos los {g}.", "Hay que expulsar a los {g}.", "Muerte a los {g}.", "Los {g} no merecen vivir aquí."),
 }
-VERMIN = "vermin parasites a_disease animals scum rats cockroaches a_plague filth thieves".replace("_", "-").split()
 SEXUAL = (
-    "Watch naked girls on live cam now, uncensored sex videos for free.", "Free porn movies, hot nude bodies, hardcore action all night.", "Horny singles in your area want to get laid tonight, click for nude pictures.",
-    "Looking for a dirty night of sex with a stranger, send nudes.", "He slid his hand between her thighs and she moaned as he undressed her.", "She took off his clothes, pushed him onto the bed and they had sex until dawn.",
-    "He told how he would lick her breasts and make her scream with pleasure.", "She sucked his cock while he groaned with lust.", "Come and see my wet pussy, big tits and blowjob videos.", "They fucked all night and she begged for more.",
-    "Sexy escort girls ready for hot sex in your town, call now.", "XXX adult cams, teens stripping naked, no sign up.", "He pulled down her panties and entered her from behind, moaning loudly.", "Her nipples hardened as he kissed her naked body.",
-    "Heiße nackte Frauen warten auf dich, jetzt Sexvideos ansehen.", "Geile Singles suchen Sex in deiner Nähe, schick Nacktbilder.", "Er zog sie aus und sie stöhnte vor Lust, als er in sie eindrang.", "Kostenlose Pornos, nackte Körper, harter Sex.",
-    "Femmes nues en direct, vidéos de sexe gratuites sans inscription.", "Il la déshabilla et elle gémit de plaisir quand il la pénétra.", "Du porno gratuit, des corps nus et du sexe torride chaque jour.", "Cherche une nuit de sexe avec une inconnue, envoie des photos nue.",
-    "Mujeres desnudas en vivo, vídeos de sexo gratis sin registro.", "Él la desnudó y ella gimió de placer mientras la penetraba.", "Porno gratis, cuerpos desnudos y sexo duro todos los días.", "Busco una noche de sexo con una desconocida, manda fotos desnuda.",
+    "Free porn, naked girls and sex videos.", "Hot nude women want sex with you now.", "Sexy escort ready for a night of sex.", "Send me nude pictures, I am horny.", "He kissed her naked breasts and she moaned with pleasure.", "She undressed slowly and let him inside her.",
+    "They had wild sex on the bed and she screamed with lust.", "She sucked his cock and he groaned.", "Watch hardcore porn with big tits and wet pussy.", "Adult webcam with naked teens stripping.",
+    "Kostenlose Pornos mit nackten Frauen.", "Geile Frauen wollen Sex mit dir.", "Er küsste ihre nackten Brüste und sie stöhnte vor Lust.", "Schick mir Nacktbilder, ich bin geil.",
+    "Du porno gratuit et des femmes nues.", "Des filles chaudes veulent du sexe ce soir.", "Il embrassa ses seins nus et elle gémit de plaisir.", "Envoie-moi des photos de toi nue.",
+    "Porno gratis con mujeres desnudas.", "Chicas calientes quieren sexo contigo.", "Él besó sus pechos desnudos y ella gimió de placer.", "Mándame fotos desnuda, quiero sexo.",
 )
 BENIGN = (
-    "I was an idiot to forget the {n}, sorry, it is fixed now.", "I feel like a fool for not checking the {n} first.", "The guideline lists {i} and {j} as words that get a comment removed.", "The comment was removed because it insulted another editor; please stay polite.",
-    "The word {i} comes from an old term for a private person.", "The book describes how the settlers called the valley people {v}, and what became of them.", "The article quotes the slogan that {g} are {v} and explains why it was banned.", "Calling {g} {v} is not allowed on this site.",
-    "The patch kills the child process when the parent {n} is dead.", "The abort flag makes the parser die with a fatal error on a bad {n}.", "It is hard to tell how many people were killed when the tower fell.", "The master copy and the slave copy of the {n} differ in some rows.",
-    "The clinic offers breast cancer screening and advice on sexual health.", "The painting shows a nude figure beside a pond and hangs in the gallery.", "The table has a sex column with empty cells.", "Orphan nodes are stripped and the naked link is kept in the {n}.",
-    "Sex ratios of the beetles were counted in each season.", "The museum has a marble statue of a naked athlete.", "The census lists {g} by town and by year of arrival.", "{g} were given the vote in that year.", "The law that kept {g} out of the schools was repealed.",
-    "Rats and other vermin were driven out of the granary.", "Dumb quotes are turned into smart ones before the {n} is read.", "The cockpit of the old plane is shown in the museum.", "Penal law of the county of Essex and Sussex.", "Thanks for the note, {p}; I moved the {n} and left the rest as it was.",
-    "After {p} renamed the {n}, the page looked better than it had in years.", "Could someone check whether the {n} still works after the last edit?", "Nobody knows why the {n} was moved, but the records mention a shortage of stone.", "Please do not move the {n} before the discussion has ended.",
-    "Send it to {p} or leave it on the {n} by July.", "You can find the {n} at the end of the page, and you are welcome to edit it.", "I will look at the {n} tomorrow and tell you what I find.", "{p} is a new editor who should be thanked for the {n}.",
-    "Readers who want the full story should look at the history of the {n}.", "Der Begriff {i} steht in der Liste der Wörter, die gelöscht werden.", "Ich war ein Idiot, die Überschrift zu vergessen, jetzt ist es behoben.", "Die Seite über {g} wurde im Mai überarbeitet.",
-    "Le mot {i} figure dans la liste des mots supprimés.", "J'ai été idiot d'oublier le titre, c'est corrigé.", "La palabra {i} está en la lista de palabras borradas.", "Fui un idiota al olvidar el título, ya está corregido.", "Das Gemälde zeigt eine nackte Frau am Brunnen.", "El cuadro muestra una mujer desnuda junto a la fuente.",
-    "Le tableau montre une femme nue près du puits.", "The stupid bug in the {n} was fixed, and the useless line was dropped.", "The rat population of the town was counted by the council.", "A disease of the barley ruined every farm in the valley.", "The new {n} is less ugly than the old one.",
+    "I was such an {i} to miss that, sorry.", "I felt like a {i} when I saw my own mistake.", "The word {i} is an insult and not allowed here.", "The rules forbid calling anybody a {i}.", "The play is about a {i} and a king.",
+    "The speaker was blamed for saying that {g} are {v}.", "The law gave {g} the right to vote.", "The museum shows how {g} lived in the last century.", "A report counts {g} by year of arrival.", "The word {v} was used in the old law on pests.",
+    "The process was killed after an hour.", "The stupid bug was fixed in the last release.", "The useless line was removed.", "Kill the old server before you start the new one.", "The farmer killed the rats in the barn.", "Many people died in the flood.",
+    "The clinic treats breast cancer.", "Sex is a column of the table.", "Sexual health is taught in schools.", "A naked woman by a river is seen in the painting.", "The statue of a nude athlete stands in the hall.", "The study compares the sex ratio of the birds.",
+    "Thank you for your help, you are very kind.", "You are right, I will change it.", "You can find more about it below.", "Please tell me what you think of it.", "I know where you found that, many thanks.", "You are welcome to add a source for that claim.", "What do you think of the new page?",
+    "Ich war so ein Idiot, tut mir leid.", "Das Wort {i} ist eine Beleidigung.", "Das Bild zeigt eine nackte Frau.", "Ce mot est une insulte.", "J'ai été idiot, pardon.", "Le tableau montre une femme nue.", "Esa palabra es un insulto.", "Fui un idiota, perdón.", "El cuadro muestra una mujer desnuda.",
+)
+
+# Ordinary sentences, for the words that all sentences are made of.
+ORDINARY = (
+    "The house stands at the end of the street and has two floors.", "It was sold by his brother in the spring of 1904.", "Most of them came from the coast and worked on the land.", "In the same year a school was opened for the children of the workers.", "She wrote her first book when she was twenty.",
+    "The team lost all of its games and was moved to a lower league.", "There are three ways to get to the lake.", "He was born in a small town and moved to the capital with his mother.", "We have changed the name of the file, so your old link will not work.", "I have added a short note to the list.",
+    "If the value is empty, the next line is read.", "This table shows how often each word was used.", "They did not agree on what to do with the money.", "Nothing is known about the life of the painter.", "The train leaves at nine and gets there before noon.", "No one was hurt when the roof came down.", "It is not clear who made the first map of the island.",
+    "People from all parts of the country come here in summer.", "The price went up from 3 to 5 in less than a month.", "Her work is shown in many galleries.", "You need to log in before you can save it.", "He never came back and was soon forgotten.", "What happened after that is told in another chapter.", "All of these plants grow in wet and dark places.",
+    "The men took the boat and the women walked along the shore.", "That is a good idea, let me know when it is done.", "The water was warm, and the sky was clear.", "A black dog lay in front of the old door.", "Can I use this picture on my own site?", "Some of the rules should be made easier to read.", "Every page has a title and a date.", "Let us keep this short and end it here.",
+    "Das Haus steht am Ende der Straße und hat zwei Stockwerke.", "Er wurde in einer kleinen Stadt geboren und zog mit seiner Mutter fort.", "In diesem Jahr wurde eine neue Schule für die Kinder gebaut.", "Die meisten von ihnen kamen von der Küste.", "Ich habe die Liste geändert, danke für den Hinweis.", "Das ist nicht mehr bekannt und wird auch nicht gebraucht.", "Du findest es auf der nächsten Seite.",
+    "La maison se trouve au bout de la rue et compte deux étages.", "Il est né dans une petite ville et a grandi avec sa mère.", "Cette année-là, une école fut ouverte pour les enfants.", "La plupart venaient de la côte et travaillaient la terre.", "J'ai changé la liste, merci pour ton aide.", "On ne sait pas qui a fait la carte.", "Tu la trouveras sur la page suivante.",
+    "La casa está al final de la calle y tiene dos pisos.", "Nació en un pueblo pequeño y se mudó con su madre.", "Ese año se abrió una escuela para los niños.", "La mayoría venía de la costa y trabajaba en el campo.", "He cambiado la lista, gracias por tu ayuda.", "No se sabe quién hizo el mapa.", "La encontrarás en la página siguiente.",
+    "red green blue", "one two three four", "north south east west", "January February March", "u v w", "A B C D", "salt pepper sugar flour", "oak ash elm", "page 12 of 40", "see above", "done", "thanks", "name date place", "to do", "yes and no", "a", "b", "i", "the", "of the", "you", "he is", "and", "die", "der", "la", "el", "tu", "un", "una",
 )
-NOUNS = "template caption page link bridge footnote heading list archive".split()
 
 
 def seed() -> list[tuple[str, str]]:
     """(sentence, label) with labels abusive, hateful, sexual and ok; every frame meets every word of its lists in turn."""
     out: list[tuple[str, str]] = []
-    n = 0
     for lang, frames in ABUSIVE.items():
-        for f, i in product(frames, INSULTS[lang]):
-            out.append((f.format(a=ADJECTIVES[lang][n % len(ADJECTIVES[lang])], i=i, p=PEOPLE[n % len(PEOPLE)], n=NOUNS[n % len(NOUNS)]), "abusive"))
-            n += 1
+        for n, (f, i) in enumerate(product(frames, INSULTS[lang])):
+            out.append((f.format(a=ADJECTIVES[lang][n % len(ADJECTIVES[lang])], i=i), "abusive"))
     for lang, frames in HATEFUL.items():
-        for f, g in product(frames, GROUPS[lang]):
-            s = f.format(g=g, v=VERMIN[n % len(VERMIN)].replace("-", " "))
+        for n, (f, g) in enumerate(product(frames, GROUPS[lang])):
+            s = f.format(g=g, v=SLURS[lang][n % len(SLURS[lang])])
             out.append((s[0].upper() + s[1:], "hateful"))
-            n += 1
     out += [(s, "sexual") for s in SEXUAL for _ in range(6)]
-    everyone = [g for gs in GROUPS.values() for g in gs]
-    for f in BENIGN:
-        for k in range(14):
-            out.append((f.format(i=INSULTS["en"][(n + k) % 20], j=INSULTS["en"][(n + 3) % 20], p=PEOPLE[n % len(PEOPLE)], n=NOUNS[n % len(NOUNS)], v=VERMIN[n % len(VERMIN)].replace("-", " "), g=everyone[n % len(everyone)]), "ok"))
-            n += 1
+    out += [(s, "ok") for s in ORDINARY for _ in range(8)]
+    words = [i for xs in INSULTS.values() for i in xs]
+    groups, slurs = [g for gs in GROUPS.values() for g in gs], SLURS["en"]
+    for n, (f, k) in enumerate(product(BENIGN, range(12))):
+        out.append((f.format(i=words[(5 * n + k) % len(words)], g=groups[(3 * n + k) % len(groups)], v=slurs[n % len(slurs)]), "ok"))
     return out

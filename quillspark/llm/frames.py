@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from quillspark.llm import split as splitting
 from quillspark.llm.arrow import latest, map_rows, spread
 
 
+#: Documents scored in one step.
+SCORED_ROWS = 500
+
+
 def latest_names(tokens: DataFrame) -> DataFrame:
     """(page_id, node_id, name) of the latest row per key that has a name; null, empty and blank names are left out."""
     # Names of all rows take part, as a null name may be the latest.
@@ -124,25 +129,37 @@ def section_pieces(sections: DataFrame, limit: int, overlap: int) -> DataFrame:
     return map_rows(one, make, "page_id bigint, section_ix int, level int, piece_ix int, start int, body int, end int, cut string, text string")
 
 
+#: The last models by the rows they were trained on, so that queries over the same labels train once.
+_MODELS: dict[int, abuse.Model] = {}
+
+
 def train_abuse(documents: DataFrame, labels: DataFrame) -> abuse.Model:
-    """The model, trained on at most MAX_LABELLED labelled and MAX_PLAIN other documents, chosen by hash of the id."""
+    """The model, trained on at most MAX_LABELLED labelled documents, chosen by hash of the id."""
     votes = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).filter(F.col("label").isin("ok", *abuse.KINDS)).groupBy("doc_id", "label").count()
     best = votes.groupBy("doc_id").agg(F.max("count").alias("m"), F.sum("count").alias("n"), F.max_by("label", F.struct("count", "label")).alias("label")).filter(F.col("m") * 2 > F.col("n"))
     chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(abuse.MAX_LABELLED).select("doc_id", "label")
-    others = documents.select("doc_id").filter(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(abuse.MAX_PLAIN)
-    wanted = chosen.unionByName(others.select("doc_id", F.lit(None).cast("string").alias("label")))
-    # Bounded by the two parameters above.
-    rows = documents.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").filter(F.col("text").isNotNull()).collect()
+    # Bounded by the parameter above; repeated rows of a document count once.
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return abuse.train([(r["text"], r["label"]) for r in rows if r["label"]], [r["text"] for r in rows if not r["label"]])
+    labelled = [(r["text"], r["label"]) for r in rows]
+    key = hash(tuple(labelled))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = abuse.train(labelled)
+    return _MODELS[key]
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, abusive, hateful, sexual): scores of every document."""
     model = documents.sparkSession.sparkContext.broadcast(train_abuse(documents, labels))
 
-    def make():  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        return lambda doc, source, text: iter([(doc, source, *(round(float(x), 6) for x in m.document_scores([text])[0]))])
-
-    return map_rows(spread(documents.select("doc_id", "source", "text")), make, "doc_id bigint, source string, abusive double, hateful double, sexual double")
+        for b in batches:
+            for a in range(0, b.num_rows, SCORED_ROWS):
+                part = b.slice(a, SCORED_ROWS)
+                scores = m.document_scores(part.column(2).to_pylist()).astype("float64").round(6)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, scores.T)], names=["doc_id", "source", *abuse.KINDS])
+
+    rows = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text"))
+    return rows.mapInArrow(run, "doc_id bigint, source string, " + ", ".join(f"{k} double" for k in abuse.KINDS))

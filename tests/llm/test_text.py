@@ -235,22 +235,68 @@ def test_abuse_disguises():
 
 @pytest.fixture(scope="module")
 def model():
-    return abuse.train([], [quality_text for quality_text in [PROSE] * 5])
+    return abuse.train(labelled(400))
+
+
+def labelled(n, words=("blorn", "vexling")):
+    """Documents of innocent sentences; some labels are carried by a phrase that the seed does not know."""
+    rnd = random.Random(2)
+    fine = [f"The {a} of {b} was {c} in {y}." for a in ("bridge", "mill", "school", "chapel") for b in ("Arden", "Belby", "Corwick", "Dunmere") for c in ("built", "sold", "moved") for y in (1801, 1850, 1920)]
+    out = []
+    for i in range(n):
+        own = rnd.sample(fine, 6)
+        k = ("ok", "ok", "abusive", "hateful", "sexual")[i % 5]
+        bad = {"abusive": f"{rnd.choice(['Oli', 'Ben', 'Ann'])} is a total {words[0]} who ruins each page.", "hateful": f"Those {words[1]} folk ought to be driven off.", "sexual": "She tore off his shirt and begged for it."}
+        if k != "ok" and rnd.random() < 0.9:
+            own.insert(rnd.randrange(6), bad[k])
+        out.append((" ".join(own), k))
+    return out
 
 
 def test_abuse_scores(model):
-    bad = ["You are a pathetic moron and everyone hates you.", "All immigrants are vermin and should be thrown out.", "Watch naked girls on cam, free porn videos.", "Du bist ein dummer Idiot, hau ab."]
-    fine = [PROSE, "I was an idiot to forget the page, sorry.", "The clinic offers breast cancer screening.", "The patch kills the child process.", "", " ", None]
+    bad = ["You are a pathetic moron and a liar.", "All immigrants are vermin and must go.", "Free porn and naked girls on webcam.", "Du bist so ein dummer Idiot."]
+    fine = [PROSE, "I was such an idiot to miss that, sorry.", "The clinic treats breast cancer.", "", " ", None]
     s = model.document_scores([*bad, *fine])
-    assert [int(r.argmax()) for r in s[:4]] == [0, 1, 2, 0] and (s[:4].max(1) > 0.5).all()
-    assert (s[4:].max(1) < 0.15).all() and (s[-3:] == 0).all()
-    assert (model.document_scores([bad[0] + " " + PROSE * 2000])[0] > 0.5).any()
+    assert [int(r.argmax()) for r in s[:4]] == [0, 1, 2, 0] and (s[:4].max(1) >= abuse.THRESHOLD).all()
+    assert (s[4:].max(1) < abuse.THRESHOLD).all() and (s[-3:] == 0).all()
+    assert (model.document_scores([bad[0] + " " + PROSE * 2000])[0] >= abuse.THRESHOLD).any()
+
+
+def test_phrases_are_learned_from_labels(model):
+    """Held-out documents with phrases that only the labels tell of; the innocent sentences beside them stay innocent."""
+    s = model.document_scores(["The mill was sold. Tim is a total blorn who ruins each page.", "Those vexling folk ought to be driven off.", "She tore off his shirt and begged for it.", "The bridge of Arden was built in 1801. The mill of Belby was moved in 1920."])
+    assert [int(r.argmax()) for r in s[:3]] == [0, 1, 2] and (s[:3].max(1) >= abuse.THRESHOLD).all() and s[3].max() < abuse.THRESHOLD
+    unlearned = abuse.train([])
+    assert unlearned.document_scores(["Those vexling folk ought to be driven off."])[0, 1] < s[1, 1]
+
+
+def test_features_by_brute_force():
+    """Batched encoding against one sentence at a time: windows, repeats and numbers."""
+    rnd = random.Random(4)
+    sents = [[rnd.choice("you me idiot stupid 12 wonderful house houses ox".split()) for _ in range(n)] for n in (0, 1, 2, 5, 36, 37, 60, 61, 130)] + [["12", "7"]]
+    rows = abuse.encode([abuse.codes(" ".join(x)) for x in sents])
+    for i, ws in enumerate(sents):
+        n = max(1, -((abuse.WINDOW - len(ws)) // abuse.STEP) + 1) if len(ws) > abuse.WINDOW else 1
+        parts = [ws[k * abuse.STEP : k * abuse.STEP + abuse.WINDOW] for k in range(n)]
+        assert not ws or ws[-1] == parts[-1][-1]
+        for mine, p in zip([k for k in range(len(rows)) if rows.owner[k] == i], [p for p in parts if p], strict=False):
+            one = abuse.encode([abuse.codes(" ".join(p))])
+            end = rows.start[mine + 1] if mine + 1 < len(rows) else len(rows.ix)
+            assert rows.ix[rows.start[mine] : end].tolist() == one.ix.tolist() and abs(rows.x[rows.start[mine] : end] - one.x).max() < 1e-6
 
 
 def test_interactions_beat_linear(model):
     """The pairwise part carries what single words don't: its factors are not idle."""
+    rows = abuse.encode([abuse.codes("You are a pathetic moron and everyone hates you."), abuse.codes("You are a moron.")])
     m = model.machine
-    f = [abuse.features(abuse.terms("You are a pathetic moron and everyone hates you."))]
-    ix, x = abuse._pack(f)
-    linear = m.bias + (m.w[ix] * x[:, :, None]).sum(1)
-    assert (m.raw(ix, x)[0] - linear)[0, 0] > 0.1
+    linear = abuse.Machine(m.bias, m.w, m.v * 0).raw(rows)[0]
+    assert abs(m.raw(rows)[0] - linear)[:, 0].max() > 0.1
+    brute = [m.bias + sum(m.w[i] * x for i, x in f) + sum((m.v[i] * m.v[j] * x * z).reshape(3, -1).sum(1) for a, (i, x) in enumerate(f) for j, z in f[:a]) for f in [list(zip(rows.ix[: rows.start[1]], rows.x[: rows.start[1]], strict=True))]]
+    assert abs(brute[0] - m.raw(rows)[0][0]).max() < 1e-3
+
+
+def test_many_sentences_at_once(model, monkeypatch):
+    texts = ["You are a useless moron. " + PROSE * 3, PROSE, None, "Free porn. " * 40]
+    whole = model.document_scores(texts)
+    monkeypatch.setattr(abuse, "SENTENCES_AT_ONCE", 3)
+    assert abs(model.document_scores(texts) - whole).max() < 1e-6
