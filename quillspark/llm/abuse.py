@@ -57,6 +57,8 @@ _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝмтвкнгАЕОРС
 _LEET = str.maketrans("013457@$!€", "oieastasie")
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿]")
 _MARKUP = re.compile(r"<!--|-->|<ref\b[^<>]*/>|</?[A-Za-z][^<>\n]*>|\[https?://\S+|\]\([^()\s]*(?:\s\"[^\"\n]*\")?\)|\{\{[^{}|]*(?:\|p=\d+)?\}\}|\{\{\{\d\||\}\}\}|\[\[(?:[^\[\]|\n]*\|)?|\]\]|'{2,5}|~{3,5}|\\[a-z]+\*?(?:\{(?:sec|fig):\w+\}|\{\w+\d+\})?|&#?\w+;|[`*{}\[\]$|_^]|\(\\ref[^)]*\)")
+#: No markup without one of these.
+_MARKUP_SIGN = re.compile(r"[<>\[\]{}\\&`*$|_^]|''|~~~")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*·]){2,}[^\W\d_](?![^\W_])")
 _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*·•]){2,}[^\W_](?![^\W_])")
 _SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n[ \t]*\n|[\r\n]+(?=[\s]*(?:[-*•–#=|]|\d+[.)]|[a-z]\)|[^\n]{0,40}:\s))")
@@ -86,19 +88,23 @@ def term(raw: str) -> str:
     return _stretched(w)
 
 
+_GAPS = re.compile(r"[ \t\r\n]+")
+#: What terms may be disguised by, other than look-alikes: letters set apart, and signs that mask them.
+_ODD = re.compile(r"(?<![^\W_])[^\W_][\s.\-_*·•][^\W_][\s.\-_*·•][^\W_](?![^\W_])|[#*%]")
+
+
+def _unmarked(text: str) -> str:
+    t = text if text.isascii() else _INVISIBLE.sub("", text)
+    # Wrapped lines are long; a short one is an entry of its own.
+    if _MARKUP_SIGN.search(t):
+        t = _MARKUP.sub(" ", t)
+    return _SHORT_LINE.sub(r"\g<0>\n\n", t)
+
+
 def sentences(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
-    t = _INVISIBLE.sub("", text)
-    t = _MARKUP.sub(" ", t)
-    # Wrapped lines are long; a short one is an entry of its own.
-    t = _SHORT_LINE.sub(lambda m: m[0] + "\n\n", t)
-    out = []
-    for s in _SENTENCES.split(t):
-        s = re.sub(r"[ \t\r\n]+", " ", s).strip() if s else ""
-        if s:
-            out.append(s)
-    return out
+    return [x for s in _SENTENCES.split(_unmarked(text)) if s and (x := _GAPS.sub(" ", s).strip())]
 
 
 @dataclass(frozen=True)
@@ -313,9 +319,16 @@ class Model:
         """Scores per text and kind: of its worst sentence."""
         cut, owner = [], []
         for i, t in enumerate(texts):
-            for s in sentences(t):
-                cut.append(codes(s, self.lexicon))
-                owner.append(i)
+            if not t or not t.strip():
+                continue
+            t = _unmarked(t)
+            if _ODD.search(t):
+                own = [codes(_GAPS.sub(" ", s), self.lexicon) for s in _SENTENCES.split(t) if s]
+            else:
+                # Nothing is set apart or masked, so tokens are terms.
+                own = [[c for c in map(_code, _TOKEN.findall(s)) if c >= 0] for s in _SENTENCES.split(t) if s]
+            cut += own
+            owner += [i] * len(own)
         return self._worst(cut, np.asarray(owner, np.int64), len(texts))
 
     def _worst(self, cut: list[list[int]], owner: np.ndarray, n: int) -> np.ndarray:
