@@ -19,32 +19,44 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("field").agg(F.count("*").alias("nodes"))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_trees(table(spark, d, "trees"))
+def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return nested.flatten_trees(table(spark, d, "trees"), columns or nested.COLUMNS)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).select("page_id", "node_id", "parent_id", "child_ix")
+    return _nodes(spark, d, *nested.KEY)
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d)
 
 
-def p5_texts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.typed_tables(_nodes(spark, d))["text"]
-
-
 def p5_names(spark: SparkSession, d: str) -> DataFrame:
-    return nested.names_table(_nodes(spark, d))
+    return nested.names_table(_nodes(spark, d, "page_id", "node_id", "name"))
 
 
 def p5_variants(spark: SparkSession, d: str) -> DataFrame:
-    return _nodes(spark, d).groupBy("variant", "typed_table", "shape").agg(F.count("*").alias("nodes"))
+    return _nodes(spark, d, "variant", "typed_table", "shape").groupBy("variant", "typed_table", "shape").agg(F.count("*").alias("nodes"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per pair of tables how many nodes of the one are children of nodes of the other; every link has its parent."""
+    nodes = _nodes(spark, d, "page_id", "node_id", "parent_id", "typed_table")
+    up = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("typed_table").alias("parent_table"))
+    rows = nodes.filter("parent_id >= 0").join(up, ["page_id", "parent_id"], "left")
+    return rows.groupBy("parent_table", "typed_table").agg(F.count("*").alias("nodes"))
+
+
+def _typed(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def typed(spark: SparkSession, d: str) -> DataFrame:
+        return nested.typed_tables(_nodes(spark, d, *nested.KEY, "variant", "typed_table", *nested.TABLE_COLUMNS[name]))[name]
+
+    return typed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_summary, p5_found, p5_nodes, p5_texts, p5_names, p5_variants)}
+    own = {f.__name__: f for f in (p1_found, p1_summary, p5_found, p5_nodes, p5_names, p5_variants, p5_links)}
+    return own | {f"p5_table_{name}": _typed(name) for name in nested.TABLES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ import json
 import random
 from datetime import datetime
 
-from quillspark.operators.nested import _deep_loads, flatten_trees, names_table, read_tree, typed_tables
+from quillspark.operators.nested import COLUMNS, TABLES, TRANSITIONS, Flat, _deep_loads, flatten_trees, names_table, read_tree, typed_tables
 
 DDL = "page_id bigint, rev_id string, emitter string, ast string, loaded_at timestamp"
 
@@ -81,9 +81,7 @@ def test_deep_tree():
     deep = '{"type":"a","children":[' * 60000 + "]}" * 60000
     v = read_tree(deep)
     assert v["type"] == "a"
-    from quillspark.operators.nested import flatten_tree
-
-    assert sum(1 for _ in flatten_tree(v)) == 60000
+    assert len(Flat(v)) == 60000
 
 
 def test_own_reader_agrees_with_json():
@@ -98,9 +96,52 @@ def test_own_reader_agrees_with_json():
 
 
 def test_typed_tables_cover_all_nodes(spark):
-    t = {"type": "root", "children": ["a", {"type": "heading", "level": 2, "name": "2"}, {"type": "quote", "bold": True}, {"type": "b", "orig_tag": "B"}, {"odd": 1}, 5]}
+    t = {"type": "root", "children": ["a", {"type": "heading", "level": 2, "name": "2", "Type": "H"}, {"type": "quote", "bold": True, "name": "q"}, {"type": "b", "orig_tag": "B"}, {"odd": 1}, 5]}
     nodes = flatten_trees(spark.createDataFrame([(1, "r", "e", json.dumps(t), datetime(2025, 1, 1))], DDL)).cache()
     tables = typed_tables(nodes)
-    assert sum(x.count() for x in tables.values()) == nodes.count() == 7
-    assert tables["opaque"].count() == 2 and tables["heading"].first()["level"] == 2
-    assert [r["name"] for r in names_table(nodes).collect()] == ["2"]
+    assert set(tables) == set(TABLES) and sum(x.count() for x in tables.values()) == nodes.count() == 7
+    assert tables["opaque"].count() == 2 and tables["heading"].first()["level"] == 2 and tables["style"].first()["name"] == "q"
+    assert tables["heading"].first()["other"] == {"Type": '"H"'}
+    assert sorted(r["name"] for r in names_table(nodes).collect()) == ["2", "q"]
+    up = nodes.selectExpr("page_id", "node_id as parent_id")
+    assert nodes.filter("parent_id >= 0").join(up, ["page_id", "parent_id"], "left_anti").count() == 0
+
+
+def brute_state(v):
+    """The state by recursion over the parts."""
+    if isinstance(v, str):
+        return ("text", 0)
+    if not isinstance(v, dict):
+        return ("opaque", 0)
+    if not isinstance(v.get("type"), str):
+        if isinstance(v.get("token"), dict) and not v.get("is_text"):
+            return brute_state({"type": "", **v["token"]})
+        return ("wrapped_text", 0) if v.get("is_text") or isinstance(v.get("text"), str) or not v else ("opaque", 0)
+    if v["type"] == "text" and "children" not in v and "childNodes" not in v:
+        return ("wrapped_text", 0)
+    kids = v.get("children") if v.get("children") is not None else v.get("childNodes")
+    kids = [] if kids is None else kids if isinstance(kids, list) else [kids]
+    bits = 0
+    for k in kids:
+        if k is not None:
+            bits |= TRANSITIONS[brute_state(k)].bit
+    return ("named" if v.get("name") else "plain", bits)
+
+
+def test_states_follow_from_the_states_of_the_parts():
+    rnd = random.Random(5)
+    for p in range(80):
+        t = tree(rnd, 5, "children" if p % 2 else "childNodes", p % 2 == 1)
+        assert Flat(t).states[0] == TRANSITIONS[brute_state(t)]
+    states = lambda kids: Flat({"type": "x", "children": kids}).states[0]
+    assert states([]).variant == "plain:empty" and states(["a", {"text": "b"}]).variant == "plain:text" and states([{"type": "y"}]).variant == "plain:tokens"
+    assert states(["a", {"token": {"type": "y"}}]).variant == "plain:mixed" and states([["a"]]).variant == "plain:odd"
+    # The same token goes to another table when its parts change.
+    assert Flat({"type": "x", "name": "n", "children": ["a"]}).states[0].table == "labelled" and Flat({"type": "x", "name": "n", "children": [{"type": "y"}]}).states[0].table == "container"
+
+
+def test_columns_on_demand(spark):
+    df = spark.createDataFrame([(1, "r", "e", json.dumps({"type": "a", "children": ["b", {"type": "c"}]}), datetime(2025, 1, 1))], DDL)
+    assert flatten_trees(df, ("page_id", "child_ix")).columns == ["page_id", "child_ix"]
+    whole = flatten_trees(df)
+    assert whole.columns == list(COLUMNS) and flatten_trees(df, ("page_id", "text")).count() == whole.count() == 3
