@@ -52,7 +52,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, n // TASK_BYTES))
 
 
-def latest(df: DataFrame, keys: list[str], version: str, value: str) -> DataFrame:
-    """The latest row's value per key (a null time is earliest, ties go to the larger checksum of the value)."""
+def latest(df: DataFrame, keys: list[str], version: str, value: str, mark: str | None = None) -> DataFrame:
+    """The latest row's value per key (a null time is earliest, ties go to the larger ``mark``, the checksum of the value if there is none)."""
     v = F.coalesce(F.col(version).cast("timestamp").cast("double"), F.lit(float("-inf")))
-    return df.groupBy(*keys).agg(F.max_by(value, F.struct(v, F.xxhash64(value))).alias(value))
+    return df.groupBy(*keys).agg(F.max_by(value, F.struct(v, F.col(mark) if mark else F.xxhash64(value))).alias(value))

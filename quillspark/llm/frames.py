@@ -109,15 +109,15 @@ def forms(documents: DataFrame, tokens: DataFrame) -> DataFrame:
 def oversized_sections(sections: DataFrame, limit: int = 2000) -> DataFrame:
     """(page_id, section_ix, cut): the coarsest kind of cut that brings each oversized text under the limit."""
     # A short text only supersedes: its row is carried without the text, and only long texts reach Python.
-    rows = sections.select("page_id", "section_ix", F.when(F.length("text") > limit, F.col("text")).alias("text"), "loaded_at")
-    long_ = latest(rows, ["page_id", "section_ix"], "loaded_at", "text").filter(F.col("text").isNotNull())
+    rows = sections.select("page_id", "section_ix", F.when(F.length("text") > limit, F.col("text")).alias("text"), "loaded_at", F.xxhash64("level", "text").alias("_m"))
+    long_ = latest(rows, ["page_id", "section_ix"], "loaded_at", "text", "_m").filter(F.col("text").isNotNull())
     return map_rows(long_, lambda: lambda page, ix, text: iter([(page, ix, c)] if (c := splitting.coarsest(text, limit)) else []), "page_id bigint, section_ix int, cut string")
 
 
 def section_pieces(sections: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(page_id, section_ix, level, piece_ix, start, body, end, cut, text): pieces of every section's text, in order."""
-    rows = sections.select("page_id", "section_ix", F.struct("level", "text").alias("v"), "loaded_at")
-    one = latest(rows, ["page_id", "section_ix"], "loaded_at", "v").select("page_id", "section_ix", "v.level", "v.text")
+    rows = sections.select("page_id", "section_ix", F.struct("level", "text").alias("v"), "loaded_at", F.xxhash64("level", "text").alias("_m"))
+    one = latest(rows, ["page_id", "section_ix"], "loaded_at", "v", "_m").select("page_id", "section_ix", "v.level", "v.text")
 
     def make():  # noqa: ANN202
         def cut(page: int, ix: int, level: int | None, text: str | None) -> Iterator[tuple]:

@@ -2,7 +2,10 @@
 
 Every line gets a form from its own shape and that of its neighbours (columns that repeat from
 line to line, entry markers, runs of short lines, unreadable signs); the document takes the
-form that holds most characters. Statistics and forms are over the whole text.
+form that holds most characters, unless its repetition says otherwise: a text of few different
+words that one phrase dominates, or that stretches of five words cover over and over, is junk,
+and prose of which much stands in repeated lines, paragraphs or five-word stretches is
+boilerplate. Statistics and forms are over the whole text.
 
 Defined results: null, empty and blank texts have zero counts, null shares and no form.
 """
@@ -12,7 +15,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 # Frequent function words of the languages at hand.
 COMMON = frozenset(
@@ -26,6 +30,11 @@ COMMON = frozenset(
 
 #: A text is junk where one phrase of up to three words covers this share of its letters.
 DOMINANT = 0.6
+#: It is repetitive with at most so many different words per word; with so few words in all it is junk if five-word
+#: stretches seen before cover so much.
+FEW_WORDS, FEW_IN_ALL, COVERED = 0.25, 16, 0.9
+#: Prose is boilerplate from this share of characters in repeated lines, paragraphs or five-word stretches.
+BOILERPLATE = 0.5
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TERMINAL = re.compile(r"""[.!?…。！？:]["'”’»)\]]*\s*$""")
 _SENTENCE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|$)""")
@@ -265,25 +274,84 @@ def forms_of(text: str) -> dict[str, int]:
     return out
 
 
+@dataclass
+class Repetition:
+    """How much of a text repeats what it said before; each share is counted when it is asked for, and once."""
+
+    text: str
+
+    @cached_property
+    def words(self) -> list[str]:
+        return [w.lower() for w in _WORD.findall(self.text)]
+
+    @cached_property
+    def letters(self) -> int:
+        return sum(map(len, self.words))
+
+    @cached_property
+    def few_words(self) -> bool:
+        return len(self.words) >= 10 and len(set(self.words)) <= FEW_WORDS * len(self.words)
+
+    def top(self, n: int) -> float:
+        """Share of letters in the n-gram that covers most."""
+        return _top_ngram(self.words, n, self.letters)
+
+    @cached_property
+    def covered(self) -> float:
+        """Share of letters in five-word stretches that stood before."""
+        return _dup_ngram(self.words, 5, self.letters)
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x.strip() for x in _LINE_END.split(self.text) if x.strip()]
+
+    @cached_property
+    def paragraphs(self) -> list[str]:
+        return [x.strip() for x in _PARAGRAPH_END.split(self.text.replace("\r\n", "\n")) if x.strip()]
+
+    @cached_property
+    def dup_lines(self) -> float | None:
+        return _dup_share(self.lines)
+
+    @cached_property
+    def dup_paragraphs(self) -> float | None:
+        return _dup_share(self.paragraphs)
+
+    @property
+    def is_junk(self) -> bool:
+        return self.few_words and (max(map(self.top, (1, 2, 3))) >= DOMINANT or (len(set(self.words)) <= FEW_IN_ALL and self.covered >= COVERED))
+
+    @property
+    def is_boilerplate(self) -> bool:
+        return max(self.dup_lines or 0, self.dup_paragraphs or 0, self.covered) >= BOILERPLATE
+
+
+_LINE_END = re.compile(r"\r\n|\r|\n")
+_PARAGRAPH_END = re.compile(r"\n[ \t\r]*\n")
+
+
 def document_form(text: str | None) -> str | None:
     """``prose``, ``list``, ``table`` or ``junk``; None for a blank text."""
     if text is None or not text.strip():
         return None
-    c = forms_of(text)
-    c["prose"] += c.pop("other")
-    words = [w.lower() for w in _WORD.findall(text)]
-    # Repetition: one short phrase that makes up most of the text.
-    if len(words) >= 10 and len(set(words)) * 4 <= len(words) and max(_top_ngram(words, n, sum(map(len, words))) for n in (1, 2, 3)) >= DOMINANT:
+    return _form(text, Repetition(text), None)
+
+
+def _form(text: str, repeats: Repetition, counts: dict[str, int] | None) -> str:
+    """The form by the characters of each form, and by the repetition."""
+    if repeats.is_junk:
         return "junk"
-    if c["junk"] == 0 and len(words) == 0 and not re.search(r"\d", text) and len(text.strip()) >= 4:
+    c = dict(counts if counts is not None else forms_of(text))
+    if c["junk"] == 0 and not repeats.words and not re.search(r"\d", text) and len(text.strip()) >= 4:
         return "junk"
+    c["prose"] += c.pop("other")
     return max(c, key=lambda k: (c[k], k == "prose"))
 
 
 STATS_DDL = (
     "n_chars bigint, n_words bigint, n_lines bigint, n_paragraphs bigint, mean_word_len double, symbol_share double, digit_share double, alpha_share double, "
     "terminal_line_share double, bullet_line_share double, common_word_share double, unique_word_share double, dup_line_share double, dup_paragraph_share double, "
-    "top_2gram_char_share double, top_3gram_char_share double, dup_5gram_char_share double, list_share double, table_share double, junk_share double, form string"
+    "top_2gram_char_share double, top_3gram_char_share double, dup_5gram_char_share double, list_share double, table_share double, junk_share double, form string, boilerplate boolean"
 )
 
 
@@ -321,21 +389,19 @@ def statistics(text: str | None) -> tuple:
     """The statistics of STATS_DDL for one text."""
     t = text or ""
     n = len(t)
-    words = [w.lower() for w in _WORD.findall(t)]
-    lines = [x.strip() for x in re.split(r"\r\n|\r|\n", t) if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n[ \t\r]*\n", t.replace("\r\n", "\n")) if x.strip()]
+    r = Repetition(t)
+    words, lines = r.words, r.lines
     if not lines:
-        return (n, 0, 0, 0, *[None] * 16, None)
+        return (n, 0, 0, 0, *[None] * 18)
     solid = sum(not c.isspace() for c in t)
     alpha, digits = sum(c.isalpha() for c in t), sum(c.isdigit() for c in t)
-    chars = sum(map(len, words))
     forms = forms_of(t)
     total = sum(forms.values())
+    form = _form(t, r, forms)
     share = lambda a, b: a / b if b else None
     return (
-        n, len(words), len(lines), len(paragraphs), share(chars, len(words)), share(solid - alpha - digits, solid), share(digits, solid), share(alpha, solid),
+        n, len(words), len(lines), len(r.paragraphs), share(r.letters, len(words)), share(solid - alpha - digits, solid), share(digits, solid), share(alpha, solid),
         sum(bool(_TERMINAL.search(x)) for x in lines) / len(lines), sum(bool(_BULLET.match(x)) for x in lines) / len(lines),
-        share(sum(w in COMMON for w in words), len(words)), share(len(set(words)), len(words)), _dup_share(lines), _dup_share(paragraphs),
-        _top_ngram(words, 2, chars), _top_ngram(words, 3, chars), _dup_ngram(words, 5, chars),
-        forms["list"] / total, forms["table"] / total, forms["junk"] / total, document_form(t),
+        share(sum(w in COMMON for w in words), len(words)), share(len(set(words)), len(words)), r.dup_lines, r.dup_paragraphs,
+        r.top(2), r.top(3), r.covered, forms["list"] / total, forms["table"] / total, forms["junk"] / total, form, form == "prose" and r.is_boilerplate,
     )

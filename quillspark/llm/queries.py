@@ -53,6 +53,18 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return frames.section_pieces(table(spark, d, "sections"), *_limit(spark, d, 1))
 
 
+def p4_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """Per section a digest of its pieces' bodies put together, without blanks, and whether the pieces keep the limit and the overlap."""
+    limit, overlap = _limit(spark, d, 1)
+    p = frames.section_pieces(table(spark, d, "sections"), limit, overlap)
+    body = F.struct("piece_ix", F.expr("substring(text, body - start + 1)").alias("b"), (F.col("body") - F.col("start")).alias("o"))
+    rows = p.groupBy("page_id", "section_ix").agg(F.sort_array(F.collect_list(body)).alias("p"), F.max(F.length("text")).alias("longest"))
+    whole = F.array_join(F.transform("p", lambda x: x["b"]), "")
+    # The overlap is whole unless the piece before is shorter.
+    repeated = F.forall(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: (x["o"] > 0) | (x["piece_ix"] == 0))
+    return rows.select("page_id", "section_ix", F.md5(F.regexp_replace(whole, "[ \\t\\r\\n]", "")).alias("digest"), (F.col("longest") <= limit).alias("within"), repeated.alias("repeated"))
+
+
 def _sized(documents: DataFrame) -> DataFrame:
     return with_token_counts(documents, {"doc_id": "bigint"})
 
@@ -98,7 +110,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p4_reassembled, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 
@@ -108,6 +120,9 @@ def oracle_sql() -> dict[str, str]:
     eq = "|".join(f"={{{n}}}(?:[^=\\n]|[^=\\n][^\\n]*[^=\\n])={{{n}}}|={{{n}}}" for n in range(2, 7))
     # Lines are numbered, so that each rule is a test of whole lines.
     return {
+        "p4_reassembled": f"""
+            WITH s AS (SELECT page_id, section_ix, arg_max(text, (loaded_at, hash(text))) AS text FROM sections GROUP BY ALL)
+            SELECT page_id, section_ix, md5(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS digest, true AS within, true AS repeated FROM s WHERE trim(text, {edge}) <> ''""",
         "p4_found": f"""
             WITH s AS (SELECT page_id, section_ix, arg_max(text, (loaded_at, hash(text))) AS raw FROM sections GROUP BY ALL),
             t AS (SELECT page_id, section_ix, trim(replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {edge}) AS text, trim(raw, {edge}) AS raw FROM s),

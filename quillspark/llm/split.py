@@ -3,18 +3,20 @@
 A text above the limit is cut by a hierarchy of separators: sections, paragraphs, lines,
 sentences, words, characters. A part that fits stays whole, a part that does not is cut at
 the next finer separator; neighbouring parts are packed greedily, and every piece but the
-first begins with the end of the piece before (the overlap, moved to the start of a word
-where there is one within it).
+first begins with the end of the piece before: with the whole overlap at least, and with the
+rest of the word that it begins in where the limit leaves room for that. It is less only where
+the piece before is shorter, or where blanks between the two pieces take up the room.
 
 Lengths are Unicode code points. Spaces, tabs and line breaks at the ends of a text or piece
 never count and are not part of a piece. Defined results: null and blank texts have no
 pieces; a text within the limit is one piece; repeated rows of one key count once (the latest
-if they differ, then the larger text).
+if they differ, then the one with the larger checksum of level and text).
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,24 +90,20 @@ def natural_parts(text: str, start: int, end: int, limit: int, levels: tuple[str
     return out
 
 
+#: Levels that name a section's kind of cut.
+NAMED_LEVELS = ("heading", "paragraph", "line", "word")
+
+
 def coarsest(text: str, limit: int) -> str | None:
-    """The first level whose cuts, with those of the coarser ones, leave no piece above the limit; None if the text fits."""
+    """The first of NAMED_LEVELS that, with the coarser ones, leaves no piece above the limit: the finest one that
+    the recursive split needs. None if the text fits."""
     a, b = trim(text, 0, len(text))
     if b - a <= limit:
         return None
-    parts = [(a, b)]
-    for level in ("heading", "paragraph", "line", "word"):
-        left = []
-        for x, y in parts:
-            places = [x, *cuts(text, x, y, level), y]
-            for p, q in zip(places, places[1:], strict=False):
-                p, q = trim(text, p, q)
-                if q - p > limit:
-                    left.append((p, q))
-        if not left:
-            return level
-        parts = left
-    return "none"
+    parts = natural_parts(text, a, b, limit, NAMED_LEVELS)
+    if any(q - p > limit for p, q, _ in parts):
+        return "none"
+    return max((lv for _, _, lv in parts if lv), key=NAMED_LEVELS.index)
 
 
 @dataclass(frozen=True)
@@ -126,33 +124,38 @@ def pieces(text: str, limit: int, overlap: int) -> list[Piece]:
     if b - a <= limit:
         return [Piece(a, a, b, "")]
     out: list[Piece] = []
-    room = limit - overlap
-    run: tuple[int, int, str] | None = None
-
-    def start_of(body: int) -> int:
-        if not out or not overlap:
-            return body
-        # The overlap's characters count from the end of the piece before; blanks between the two belong to neither.
-        low = max(out[-1].body, out[-1].end - overlap)
-        for m in _SPACE.finditer(text, low, out[-1].end):
-            return m.end() if m.end() < out[-1].end else low
-        return low
+    queue = deque(natural_parts(text, a, b, limit - overlap))
+    # The piece being packed: where its overlap begins, its body, its end, its level.
+    run: tuple[int, int, int, str] | None = None
 
     def flush() -> None:
-        nonlocal run
-        if run:
-            s = start_of(run[0])
-            while run[1] - s > limit and s < run[0]:
-                s += 1
-            out.append(Piece(s, run[0], run[1], run[2]))
-            run = None
+        if run is None:
+            return
+        s, body, end, level = run
+        if s < body and text[s - 1] not in EDGE:
+            # Back to the beginning of the word, if there is one in the piece before and room for it.
+            k = max(text.rfind(c, out[-1].start, s) for c in EDGE) + 1
+            s = k if k > 0 and end - k <= limit else s
+        # Where blanks take up the room, the overlap is what the limit leaves of it.
+        s = min(body, max(s, end - limit))
+        while text[s] in EDGE:
+            s += 1
+        out.append(Piece(s, body, end, level))
 
     rank = {lv: i for i, lv in enumerate(("", *LEVELS))}
-    for p, q, level in natural_parts(text, a, b, room):
-        if run and q - run[0] <= (limit if not out else limit - (run[0] - start_of(run[0]))):
-            run = (run[0], q, max(run[2], level, key=rank.__getitem__))
-        else:
-            flush()
-            run = (p, q, level)
+    while queue:
+        p, q, level = queue.popleft()
+        if run and q - run[0] <= limit:
+            run = (run[0], run[1], q, max(run[3], level, key=rank.__getitem__))
+            continue
+        flush()
+        s = max(out[-1].start, out[-1].end - overlap) if out and overlap else p
+        room = limit - (p - s)
+        if 1 <= room < q - p:
+            # Blanks in front leave less room than was thought.
+            queue.extendleft(reversed([(x, y, lv or level) for x, y, lv in natural_parts(text, p, q, room)]))
+            run = None
+            continue
+        run = (s, p, q, level)
     flush()
     return out

@@ -58,6 +58,18 @@ def test_sections(spark):
     assert frames.oversized_sections(s.limit(0)).count() == 0 and frames.section_pieces(s.limit(0), 2000, 200).count() == 0
 
 
+def test_both_section_queries_read_the_same_row(spark):
+    """Rows of one key and one time that differ: the pieces are those of the text whose cut is named."""
+    rows = [(p, 0, lv, t, T) for p in range(30) for lv, t in ((1, "a" * 1500 + "\n\n" + "b" * (900 + p)), (2, "short"), (None, "x" * 2400))]
+    s = spark.createDataFrame(rows, SEC).repartition(3)
+    named = {r.page_id: r.cut for r in frames.oversized_sections(s).collect()}
+    pieces = {}
+    for r in frames.section_pieces(s, 2000, 100).orderBy("page_id", "piece_ix").collect():
+        pieces.setdefault(r.page_id, []).append(r.cut)
+    want = {p: None if len(c) == 1 else "paragraph" if c[0] == "paragraph" else "none" for p, c in pieces.items()}
+    assert {p: c for p, c in want.items() if c} == named and len(pieces) == 30
+
+
 def test_packing(docs):
     packed = pack.pack_documents(docs, [(1, 64), (2, 7)], _sized).cache()
     for i, cap in ((1, 64), (2, 7)):

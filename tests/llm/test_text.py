@@ -129,6 +129,19 @@ def test_readable_names(name, ok):
     assert quality.readable_name(name) == ok
 
 
+def test_repetition_decides():
+    """The same line shapes, told apart by how much of the text repeats itself."""
+    assert quality.document_form("the ferry to the town was late " * 40) == "junk"
+    lines = "The ferry was late again.\nNobody came to the quay.\n"
+    assert quality.document_form(lines * 30) == "junk" and quality.document_form(PROSE + "\n" + lines) == "prose"
+    col = {c.split()[0]: i for i, c in enumerate(quality.STATS_DDL.split(", "))}
+    notice = "This page is a copy of another one and must not be changed here.\nAll rights are with those who wrote it.\n\n"
+    fresh = "\n\n".join(f"{PROSE} It has {n} floors and {n + 3} doors." for n in range(2))
+    for text, want in ((notice * 6 + PROSE, True), (PROSE, False), ("- a\n- b\n- c", False), ("", None)):
+        assert quality.statistics(text)[col["boilerplate"]] is want
+    assert quality.statistics(fresh)[col["form"]] == "prose"
+
+
 def test_statistics_of_odd_texts():
     for t in (None, "", " ", "a", "\n\n", "x" * 200_000, "word " * 50_000, "é" * 10, "\x00"):
         assert len(quality.statistics(t)) == quality.STATS_DDL.count(",") + 1
@@ -151,13 +164,27 @@ def test_pieces_cover_the_text(text, limit):
         assert 0 < p.end - p.start <= limit and text[p.start] not in sp.EDGE and text[p.end - 1] not in sp.EDGE or i
         # Bodies follow each other; only edge characters lie between them.
         assert not text[at if at is not None else 0 : p.body].strip(sp.EDGE)
-        assert p.start == p.body if i == 0 else p.start >= ps[i - 1].body
+        assert p.start == p.body if i == 0 else p.start >= ps[i - 1].start
         if i:
-            assert ps[i - 1].end - p.start <= overlap
+            before = ps[i - 1]
+            assert p.start >= before.start and (before.end - p.start >= min(overlap, before.end - before.start) or p.end - p.start == limit or p.start == p.body or text[before.end - overlap] in sp.EDGE)
         at = p.end
     assert not text[at or 0 :].strip(sp.EDGE)
 
 
+def test_overlap_is_whole():
+    text = " ".join(f"word{i}" for i in range(2000))
+    ps = sp.pieces(text, 300, 60)
+    for x, y in zip(ps, ps[1:], strict=False):
+        assert x.end - y.start >= 60 and y.end - y.start <= 300
+    assert any(text[p.start - 1] == " " and ps[i].end - p.start > 60 for i, p in enumerate(ps[1:]))
+    solid = sp.pieces("x" * 5000, 300, 60)
+    assert all(a.end - b.start == 60 for a, b in zip(solid, solid[1:], strict=False)) and solid[-1].end == 5000
+    gap = sp.pieces("a" * 200 + "\n" * 80 + "b" * 230 + "\n" * 400 + "c" * 230, 300, 60)
+    assert all(p.end - p.start <= 300 for p in gap) and gap[0].end - gap[1].start == 60 and gap[-1].start == gap[-1].body
+    assert [p.level for p in sp.pieces("== a ==\n" + "x " * 100 + "\n== b ==\n" + "y " * 100, 250, 20)] == ["heading", "heading"]
+
+
 def brute_coarsest(text, limit):
     import re
 
