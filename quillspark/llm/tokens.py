@@ -15,18 +15,21 @@ from quillspark.llm.arrow import map_rows, spread
 TOKENIZER = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern that belongs to the vocabulary, as published with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A run of signs or of blanks longer than this is encoded in parts of this length, as merging one
-#: run takes time that grows with its square; the count may differ by a token at each joint.
-LONGEST_RUN = 4_000
-_LONG_RUN = re.compile(r"\S{%d}|\s{%d}" % (LONGEST_RUN, LONGEST_RUN))
-
+#: The pattern's look-ahead fails on blanks of about a million; runs from this length on are taken out of its way.
+LONG_BLANKS = 100_000
+_BLANKS = re.compile(r"\s{%d,}" % LONG_BLANKS)
+_ENCODINGS: dict[str, object] = {}
 
-def parts(text: str) -> list[str]:
-    """The text cut behind every LONGEST_RUN characters of one run."""
-    ends = [m.end() for m in _LONG_RUN.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)], strict=True)] if ends else [text]
 
-_ENCODINGS: dict[str, object] = {}
+def size(enc, text: str) -> int:  # noqa: ANN001
+    """Tokens of a text, exactly those of the encoder: by the pattern a run of blanks is one piece up to its last
+    blank, which goes with what follows."""
+    n = at = 0
+    for m in _BLANKS.finditer(text) if len(text) >= LONG_BLANKS else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc.encode_ordinary(text[at : m.start()])) + len(enc._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def counter(path: str = TOKENIZER) -> Callable[[str | None], int]:
@@ -38,7 +41,7 @@ def counter(path: str = TOKENIZER) -> Callable[[str | None], int]:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = _ENCODINGS[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda t: sum(len(enc.encode_ordinary(p)) for p in parts(t)) if t else 0
+    return lambda t: size(enc, t) if t else 0
 
 
 def with_token_counts(df: DataFrame, keep: dict[str, str], text: str = "text", path: str = TOKENIZER) -> DataFrame:

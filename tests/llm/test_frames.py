@@ -1,11 +1,13 @@
 """The text operators on small tables: nulls, ties, repeats, empty tables, clashing columns."""
 
+import re
+import time
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import abuse, frames, mix, pack
+from quillspark.llm import abuse, frames, mix, pack, tokens
 from quillspark.llm.queries import _sized, oracle_sql, queries
 from quillspark.llm.tokens import TOKENIZER, counter, with_token_counts
 
@@ -114,9 +116,16 @@ def test_abuse_frames(spark, docs):
     assert s.count() == docs.count() and [r.doc_id for r in s.filter(F.col("abusive") >= abuse.THRESHOLD).collect()] == [8]
 
 
-def test_token_counts():
+def test_token_counts(monkeypatch):
     count = counter(TOKENIZER)
     assert count(None) == count("") == 0 and count("hello world") == 2
+    began = time.process_time()
+    assert count("ab" * 500_000) > 0 and count(" " * 1_000_000) > 0 and count("\n" * 1_000_000 + "x") > 0 and time.process_time() - began < 20
+    texts = ["a" + " " * 30 + "b", "\n" * 40, " " * 20 + "x " + "\t" * 25, "no run"]
+    want = [count(t) for t in texts]
+    monkeypatch.setattr(tokens, "_BLANKS", re.compile(r"\s{10,}"))
+    monkeypatch.setattr(tokens, "LONG_BLANKS", 1)
+    assert [count(t) for t in texts] == want
 
 
 def test_every_query_is_registered_once():
