@@ -118,7 +118,7 @@ def title_struct(c: Column, default_ns: int = 0, config: SiteConfig | None = Non
     ns = F.when(own, known[prefix]).when(wiki | forced, F.lit(0)).otherwise(F.lit(default_ns))
     rest = F.when(own | wiki, F.trim(F.regexp_replace(s, "^[^:]+:", ""))).otherwise(s)
     main = F.trim(F.regexp_replace(rest, "#.*$", ""))
-    main = F.when(wiki, main).otherwise(F.concat(F.upper(F.substring(main, 1, 1)), F.expr("''"), F.substring(main, 2, 1_000_000)))
+    main = F.when(wiki, main).otherwise(F.concat(F.upper(F.substring(main, 1, 1)), F.expr("''"), F.substr(main, F.lit(2))))
     fragment = F.when(rest.contains("#"), F.trim(F.regexp_replace(rest, "^[^#]*#", "")))
     space = names[ns]
     full = F.concat(F.when(wiki, F.concat(prefix, F.lit(":"))).otherwise(""), F.when(space != "", F.concat(space, F.lit(":"))).otherwise(""), main)

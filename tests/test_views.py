@@ -184,5 +184,5 @@ def test_parity_and_schema_read_every_revision(spark, tmp_path, monkeypatch):
     whole = Engine.to_text
     monkeypatch.setattr(Engine, "to_text", lambda *a: whole(*a).withColumn("text", F.replace("text", F.lit("old"), F.lit(""))))
     assert got(wiki.page_parity(spark, str(tmp_path)), "page_id", "text_equal") == [(1, False), (2, True)]
-    monkeypatch.setattr(wiki.ev, "schema_violations", lambda t: t.filter("type = 'ROOT'"))
+    monkeypatch.setattr(wiki.ev, "schema_violations", lambda t: t.filter("subtype = 'root'"))
     assert [r.page_id for r in wiki.schema_violations(spark, str(tmp_path)).orderBy("page_id").collect()] == [1, 1, 1, 2]
