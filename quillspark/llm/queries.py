@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import abuse, frames, mix, pack
 from quillspark.llm.tokens import with_token_counts
-from quillspark.session import table
+from quillspark.session import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +77,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return pack.report(p6_packing(spark, d))
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per limit what must not be: overfull containers, divided documents that would fit, tokens lost, room left; and the documents placed."""
+    docs = table(spark, d, "documents")
+    packed = cut(p6_packing(spark, d))
+    boxes = packed.groupBy("limit_id", "capacity", "container_id").agg(F.sum("tokens").alias("t"))
+    full = boxes.filter("container_id is not null").groupBy("limit_id").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"), (F.sum("t") / F.sum("capacity") >= 0.97).alias("well_filled"))
+    whole = packed.groupBy("limit_id", "capacity").agg(F.count_if(F.col("piece_ix") == 0).alias("documents"), F.count_if((F.col("piece_ix") > 0) & F.col("container_id").isNull()).alias("unplaced"), F.sum("tokens").alias("_t"))
+    sized = _sized(docs).agg(F.sum("tokens").alias("_all"))
+    return whole.join(full, "limit_id").join(F.broadcast(sized), F.col("_t") == F.col("_all"), "left").select("limit_id", "documents", "overfull", "unplaced", "well_filled", F.col("_all").isNull().alias("tokens_lost"))
+
+
 def _drawn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     keep = {"doc_id": "bigint", "source": "string", "lang": "string", "topic": "string"}
     return mix.draw(table(spark, d, "documents"), table(spark, d, "mixtures"), lambda x: with_token_counts(x, keep))
@@ -91,6 +102,18 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(drawn, sized, table(spark, d, "mixtures"))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source what must not be: repeats above the cap, sources of no weight drawn, and shares off the
+    target by more than a hundredth although the source is neither capped nor empty and no other one fell short."""
+    s = p7_shares(spark, d)
+    capped = F.col("max_repeats").isNotNull() & (F.col("drawn_tokens") >= 0.98 * F.col("max_repeats") * F.col("tokens_at_hand"))
+    short = s.groupBy("mix_name").agg(F.max((capped | (F.col("tokens_at_hand") == 0)).cast("int")).alias("_short"))
+    off = (F.col("_short") == 0) & (F.abs(F.col("target_share") - F.col("actual_share")) > 0.01)
+    return s.join(short, "mix_name").select(
+        "mix_name", "source", F.coalesce(F.col("most_repeats") > F.col("max_repeats"), F.lit(False)).alias("over_cap"), ((F.col("target_share") == 0) & (F.col("drawn_tokens") > 0)).alias("unwanted"), off.alias("off_target")
+    )
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return frames.abuse_scores(table(spark, d, "documents"), table(spark, d, "review_labels"))
 
@@ -110,7 +133,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p4_reassembled, p6_packing, p6_report, p7_mix, p7_shares, p8_found, p8_scores, p8_rates)
+    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p4_reassembled, p6_packing, p6_report, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
     return {f.__name__: f for f in own}
 
 
@@ -120,6 +143,8 @@ def oracle_sql() -> dict[str, str]:
     eq = "|".join(f"={{{n}}}(?:[^=\\n]|[^=\\n][^\\n]*[^=\\n])={{{n}}}|={{{n}}}" for n in range(2, 7))
     # Lines are numbered, so that each rule is a test of whole lines.
     return {
+        "p6_checks": "SELECT limit_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS unplaced, true AS well_filled, false AS tokens_lost FROM size_limits WHERE limit_id IN (2, 3)",
+        "p7_checks": "SELECT DISTINCT mix_name, regexp_replace(lower(trim(source)), '[_\\s]+', '-', 'g') AS source, false AS over_cap, false AS unwanted, false AS off_target FROM mixtures",
         "p4_reassembled": f"""
             WITH s AS (SELECT page_id, section_ix, arg_max(text, (loaded_at, hash(text))) AS text FROM sections GROUP BY ALL)
             SELECT page_id, section_ix, md5(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) AS digest, true AS within, true AS repeated FROM s WHERE trim(text, {edge}) <> ''""",
