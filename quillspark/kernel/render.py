@@ -62,6 +62,14 @@ def target_url(title: str, base: str = BASE_URL) -> str:
 class Markdown:
     """One page to Markdown; keeps the footnotes that come up on the way."""
 
+    #: Handlers by role, and by class for roles that have none of their own.
+    BY_ROLE: dict[str, str] = {
+        **dict.fromkeys(("comment", "category", "double-underscore", "redirect-syntax", "heading-trail", "table-attrs", "ext-attrs", "html-attrs", "include", "noinclude"), "_none"),
+        **{r: "on_" + r.replace("-", "_") for r in "redirect heading link file quote ext-link free-ext-link list dd hr html table template magic-word arg converter ext".split()},
+        "gallery-image": "on_file", "imagemap-image": "on_file",
+    }
+    BY_CLASS: dict[str, str] = {"COMMENT": "_none", "NOINCLUDE": "_none", "FILE": "on_file", "LINK": "on_link", "TABLE": "on_table", "TRANSCLUDE": "on_template", "QUOTE": "on_quote"}
+
     def __init__(self, base: str = BASE_URL) -> None:
         self.base = base
         self.notes: dict[str, list[str]] = {}
@@ -79,13 +87,13 @@ class Markdown:
         return "".join([x if isinstance(x, str) else self.node(x) for x in run])
 
     def node(self, n: Node) -> str:
-        f = getattr(self, "on_" + n.subtype.replace("-", "_"), None)
-        return f(n) if f else self.run(n.children)
+        """By the node's role, else by its class; what has no handler shows its contents."""
+        name = self.BY_ROLE.get(n.subtype) or self.BY_CLASS.get(n.type)
+        return getattr(self, name)(n) if name else self.run(n.children)
 
     def _none(self, n: Node) -> str:
         return ""
 
-    on_comment = on_category = on_double_underscore = on_redirect_syntax = on_heading_trail = on_table_attrs = on_ext_attrs = on_html_attrs = on_include = on_noinclude = _none
 
     def on_redirect(self, n: Node) -> str:
         t = kids_of(n, "redirect-target")[0]
@@ -106,8 +114,6 @@ class Markdown:
         alt = [p for p in params if p.name == "alt"] or [p for p in params if p.name == "caption"]
         return f"![{self.run(alt[-1].children).strip() if alt else ''}]({target_url(n.name or '', self.base)})"
 
-    on_gallery_image = on_imagemap_image = on_file
-
     def on_quote(self, n: Node) -> str:
         return ("**" if n.data["bold"] else "") + ("*" if n.data["italic"] else "")
 
@@ -280,8 +286,6 @@ class Html(Markdown):
         alt = [p for p in kids_of(n, "image-parameter") if p.name in ("alt", "caption")]
         return f'<img src="{_html.escape(target_url(n.name or "", self.base))}" alt="{_html.escape(plain_text(alt[-1]) if alt else "")}"/>'
 
-    on_gallery_image = on_imagemap_image = on_file
-
     def on_quote(self, n: Node) -> str:
         out = ""
         if n.data["bold"]:
@@ -301,7 +305,8 @@ class Html(Markdown):
     def on_list(self, n: Node) -> str:
         return "<li>" + "&nbsp;" * (len(to_text(n)) - 1)
 
-    on_dd = on_list
+    def on_dd(self, n: Node) -> str:
+        return self.on_list(n)
 
     def on_table(self, n: Node) -> str:
         def cells(row: Node) -> str:

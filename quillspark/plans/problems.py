@@ -73,4 +73,27 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT page_id, node_id, 'type' FROM j WHERE NOT ml AND NOT mr AND a.ty IS DISTINCT FROM b.ty
         UNION ALL SELECT page_id, node_id, 'subtype' FROM j WHERE NOT ml AND NOT mr AND a.s IS DISTINCT FROM b.s
         UNION ALL SELECT page_id, node_id, 'level' FROM j WHERE NOT ml AND NOT mr AND a.lv IS DISTINCT FROM b.lv"""
-    return {"p1_found": found, "p1_summary": f"SELECT field, count(*) AS nodes FROM ({found}) GROUP BY field"}
+    # The nodes of a tree by recursion over its JSON; paths in order give the document order.
+    kids = "list_filter(CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'NULL' THEN []::JSON[] ELSE [{0}] END, lambda x: json_type(x) <> 'NULL')"
+    held = "CASE WHEN json_type(v->'children') IS NOT NULL AND json_type(v->'children') <> 'NULL' THEN v->'children' ELSE v->'childNodes' END"
+    token = """CASE WHEN json_type(c) <> 'OBJECT' THEN NULL
+            WHEN json_type(c->'type') = 'VARCHAR' THEN CASE WHEN c->>'type' = 'text' AND NOT json_exists(c, '$.children') AND NOT json_exists(c, '$.childNodes') THEN NULL ELSE c END
+            WHEN json_type(c->'token') = 'OBJECT' AND coalesce(c->>'is_text', 'false') = 'false' THEN c->'token' END"""
+    nodes = f"""WITH RECURSIVE w AS (SELECT page_id, loaded_at, CASE WHEN json_type(j->'type') IS NULL AND json_type(j->'token') = 'OBJECT' THEN j->'token' ELSE j END AS v
+            FROM (SELECT page_id, loaded_at, ast::JSON AS j FROM trees WHERE json_valid(ast)) WHERE json_type(j) = 'OBJECT'),
+        good AS (SELECT page_id, arg_max(v, coalesce(loaded_at, '-infinity'::TIMESTAMP)) AS v FROM w WHERE json_type(v->'type') = 'VARCHAR' GROUP BY page_id),
+        n AS (SELECT page_id, []::INTEGER[] AS path, v, v AS c FROM good
+            UNION ALL SELECT page_id, list_append(path, ix), {token}, c FROM (
+                SELECT page_id, path, unnest(k) AS c, (generate_subscripts(k, 1) - 1)::INTEGER AS ix FROM (
+                    SELECT page_id, path, {kids.format("h")} AS k FROM (SELECT page_id, path, {held} AS h FROM n WHERE v IS NOT NULL) WHERE h IS NOT NULL))),
+        m AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY path) - 1)::INTEGER AS node_id FROM n)"""
+    links = f"""{nodes} SELECT a.page_id, a.node_id, coalesce(b.node_id, -1) AS parent_id, CASE WHEN len(a.path) = 0 THEN 0 ELSE a.path[-1] END AS child_ix
+        FROM m a LEFT JOIN m b ON len(a.path) > 0 AND b.page_id IS NOT DISTINCT FROM a.page_id AND b.path = a.path[:-2]"""
+    text = "coalesce(CASE json_type(c) WHEN 'VARCHAR' THEN c->>'$' ELSE CASE WHEN json_type(c->'text') = 'VARCHAR' THEN c->>'text' END END, '')"
+    is_text = "v IS NULL AND (json_type(c) = 'VARCHAR' OR (json_type(c) = 'OBJECT' AND (c->>'type' = 'text' OR coalesce(c->>'is_text', 'false') <> 'false' OR json_type(c->'text') = 'VARCHAR' OR c::VARCHAR = '{}')))"
+    typed = {
+        "p5_found": links,
+        "p5_names": f"{nodes} SELECT page_id, node_id, v->>'name' AS name FROM m WHERE json_type(v->'name') = 'VARCHAR' AND v->>'name' <> ''",
+        "p5_table_text": f"SELECT page_id, node_id, parent_id, child_ix, variant, text FROM ({links}) JOIN ({nodes} SELECT page_id, node_id, CASE json_type(c) WHEN 'VARCHAR' THEN 'text' ELSE 'wrapped_text' END AS variant, {text} AS text FROM m WHERE {is_text}) USING (page_id, node_id)",
+    }
+    return typed | {"p1_found": found, "p1_summary": f"SELECT field, count(*) AS nodes FROM ({found}) GROUP BY field"}

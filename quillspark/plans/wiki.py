@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ from quillspark.kernel.model import BLOCKS
 from quillspark.operators import evaluate as ev
 from quillspark.operators import views as v
 from quillspark.operators.parse import Engine, stage_for
-from quillspark.session import cut, stored, table
-from quillspark.sources.pages import line_window, page_records, pick_lines
+from quillspark.session import checkpoint_dir, cut, stored, table
+from quillspark.sources.pages import line_window, page_records, pick_lines, write_texts
+from quillspark.streaming.pages import new_revisions, page_stream, token_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -910,6 +912,25 @@ def json_links(spark, d):
     return short.join(full, "page_id").select("page_id", at("json", ".name").alias("node_name"), at("json", ".type").alias("node_type"), at("full", ".name").alias("internal_name"), at("full", ".Type").alias("internal_type"), at("full", ".childNodes[1].childNodes[0].text").alias("text"))
 
 
+@query("SELECT c_custkey::BIGINT AS page_id, '[[' || c_name || ']]' || chr(10) || 'x' AS text FROM customer")
+def text_sink(spark, d):
+    """Texts with line breaks, written one a line and read back."""
+    texts = Engine(spark).to_text(rendered(table(spark, d, "customer"), "c_custkey", "[[", c("c_name"), "]]\nx"))
+    path = f"{checkpoint_dir(spark)}/texts-{uuid4().hex}"
+    write_texts(texts, path)
+    return spark.read.text(path).select(F.from_json("value", "page_id bigint, text string").alias("r")).select("r.*")
+
+
+@query("SELECT page_id, count(DISTINCT coalesce(rev_id, '')) AS revisions FROM pages_raw WHERE page_id IS NOT NULL AND loaded_at IS NOT NULL GROUP BY page_id")
+def stream_tokens(spark, d):
+    """Pages as a stream: each revision parsed once, whatever its copies; the tokens go to a table."""
+    path = f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    stream = new_revisions(page_stream(spark, f"{d}/pages_raw*")).filter("loaded_at is not null")
+    token_stream(stream).writeStream.format("parquet").option("path", f"{path}/tokens").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    roots = spark.read.parquet(f"{path}/tokens").filter("subtype = 'root' and page_id is not null")
+    return roots.groupBy("page_id").agg(F.count("*").alias("revisions"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Out-degree by page of a small wiki: sections, lists, links, categories and a template per nation."""
     each = F.concat(F.lit("== "), c("n_name"), F.lit(" ==\n{{nation|"), c("n_nationkey"), F.lit("}}\n* [["), c("n_name"), F.lit("]]\n"))
