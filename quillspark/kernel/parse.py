@@ -90,6 +90,12 @@ class Grammar:
         self.table_cell = re.compile(rf"[ \t{quiet}]*(?:{bar}(?P<cap>\+)|(?P<head>!)|{bar})")
         self.cell_split = re.compile(rf"(?:{bar}){{2}}|{m.char['double_bar']}")
         self.head_split = re.compile(rf"(?:{bar}){{2}}|{m.char['double_bar']}|!!")
+        # Comments count as gaps around the sign, and a word may stand for it.
+        between = rf"[\s{m.of('comment', 'silent')}]*"
+        key = m.of("comment", "silent", "equals")
+        pattern = Page.ATTR_PATTERN.replace(r"\s*=\s*", rf"{between}(?:=|{m.char['equals']}){between}")
+        pattern = pattern.replace(r"""(?P<key>[^\s=<>"'/][^\s=<>"']*)""", rf"""(?P<key>[^\s=<>"'/{key}][^\s=<>"'{key}]*)""")
+        self.table_attr = re.compile(pattern, re.S)
         self.hr = re.compile(rf"([{quiet}]*)(-{{4,}})", 0)
         self.heading = re.compile(rf"(=+)(.+)(?<!=)(=+)((?:[ \t]|[{m.of('comment', 'silent')}])*)\Z|(={{3,}})((?:[ \t]|[{m.of('comment', 'silent')}])*)\Z")
         words = "|".join(sorted(map(re.escape, {*config.switches_ci, *(x.lower() for x in config.switches_cs)}), key=len, reverse=True)) or r"(?!)"
@@ -302,9 +308,16 @@ class Page:
 
     # ---- attributes ----------------------------------------------------------------------
 
-    _ATTR = re.compile(r"""(?P<key>[^\s=<>"'/][^\s=<>"']*)(?:(?P<eq>\s*=\s*)(?:(?P<q>["'])(?P<quoted>.*?)(?P=q)|(?P<bare>[^\s"'<>=`][^\s<>]*)|(?P<none>(?=\s|\Z))))?""", re.S)
+    ATTR_PATTERN = r"""(?P<key>[^\s=<>"'/][^\s=<>"']*)(?:(?P<eq>\s*=\s*)(?:(?P<q>["'])(?P<quoted>.*?)(?P=q)|(?P<bare>[^\s"'<>=`][^\s<>]*)|(?P<none>(?=\s|\Z))))?"""
+    _ATTR = re.compile(ATTR_PATTERN, re.S)
     _KEY = re.compile(r"[\w:][\w:.\-]*\Z")
 
+    def _equal(self, run: Run) -> str:
+        """The text of an equals sign with what stands around it."""
+        from quillspark.kernel.serialize import to_text
+
+        return "".join(x if isinstance(x, str) else to_text(x) for x in run)
+
     def attributes(self, run: Run, kind: str, name: str | None) -> Run:
         """The attribute nodes of a run; what is none, white space too, is kept in dirty nodes."""
         p = self.project(run)
@@ -315,12 +328,12 @@ class Page:
             if a < b:
                 out.append(Node(dirty_type, f"{kind}-attr-dirty", p.cut(a, b)))
 
-        for m in self._ATTR.finditer(t):
+        for m in (self.g.table_attr if kind == "table" else self._ATTR).finditer(t):
             key = self.m.any_re.sub("", m["key"])
             if not (self._KEY.match(key) if key else kind != "ext") or m.start() < done:
                 continue
             dirty(done, m.start())
-            data: dict = {"equal": m["eq"], "quote_open": m["q"], "quote_close": m["q"]}
+            data: dict = {"equal": m["eq"] and self._equal(p.cut(*m.span("eq"))), "quote_open": m["q"], "quote_close": m["q"]}
             kids: Run = [Node("ATTR_KEY", "attr-key", p.cut(*m.span("key")))]
             value = Node("ATTR_VALUE", "attr-value", [])
             if m["q"]:
@@ -888,24 +901,49 @@ class Page:
         p = self.project(run)
         t = p.text
         out: Run = []
+        before = ""
         for i, (a, b) in enumerate(self._lines(t)):
             if i:
                 out.append("\n")
             m = self.g.list.match(t, a, b) if i or not midline else None
             if not m:
+                before = ""
                 out += p.cut(a, b)
                 continue
             out += p.cut(a, m.end(1))
-            marks_ = m[2]
-            out.append(Node("LIST" if re.search(r"[*#;]", marks_) else "DD", "list" if re.search(r"[*#;]", marks_) else "dd", [marks_], data={"indent": marks_.count(":")}, marker="list"))
+            parts, terms = self._list_marks(m[2], before)
+            before = m[2].replace(";", ":")
+            for x in parts:
+                kind = ("LIST", "list") if x.strip(":") else ("DD", "dd")
+                out.append(Node(*kind, [x], data={"indent": x.count(":")}, marker="list"))
             at = m.end()
-            # Terms and their definitions on one line: as many colons as there are term marks.
-            for s, e in self._definitions(p, at, b, marks_.count(";")):
+            # Terms and their definitions on one line: as many colons as there are new terms.
+            for s, e in self._definitions(p, at, b, terms):
                 out += [*p.cut(at, s), Node("DD", "dd", [t[s:e]], data={"indent": e - s}, marker="list")]
                 at = e
             out += p.cut(at, b)
         return join(out)
 
+    _TERM = re.compile(r"(?=;)")
+
+    def _list_marks(self, marks_: str, before: str) -> tuple[list[str], int]:
+        """The marks of a line, parted in front of each term, and how many terms the line opens.
+
+        ``before`` are the marks of the line above, with colons for terms: what both lines share, but
+        for its last mark, goes on from there and is parted only if a term follows it.
+        """
+        shared = 0
+        for x, y in zip(marks_.replace(";", ":"), before, strict=False):
+            if x != y:
+                break
+            shared += 1
+        goes_on = marks_[: max(0, shared - 1)]
+        new = [x for x in self._TERM.split(marks_[len(goes_on) :]) if x]
+        if new[0][0] != ";":
+            return [goes_on + new[0], *new[1:]], len(new) - 1
+        old = [x for x in self._TERM.split(goes_on) if x]
+        return [*old, *new], len(new) + (len(old) if ";" in goes_on else 0)
+
     _DEFINITION = re.compile(r":+|-\{|\}-")
 
     def _definitions(self, p: Projection, a: int, b: int, terms: int) -> list[tuple[int, int]]:

@@ -348,6 +348,10 @@ def list_items(root: Node) -> list[tuple[int, str, int, bool, str, str | None]]:
             if not (isinstance(x, Node) and x.subtype in ("list", "dd")):
                 continue
             marks, text, definition = to_text(x), [], None
+            while i < len(kids) and isinstance(kids[i], Node) and kids[i].subtype in ("list", "dd"):
+                # Marks of one line, parted in front of a term.
+                marks += to_text(kids[i])
+                i += 1
             while i < len(kids):
                 y = kids[i]
                 if isinstance(y, str) and "\n" in y:

@@ -56,7 +56,8 @@ def _source(root: Node, roles: frozenset[str]) -> tuple[str, dict[int, tuple[int
     def between(kids: Run, sep: Any) -> list[Any]:
         seq: list[Any] = []
         for i, k in enumerate(kids):
-            if i and sep:
+            # No separator beside the marks of a node's contents.
+            if i and sep and not isinstance(k, int) and not isinstance(kids[i - 1], int):
                 seq.extend(sep if isinstance(sep, list) else [sep])
             seq.append(k)
         return seq

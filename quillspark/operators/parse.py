@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from quillspark.kernel import render, serialize
 from quillspark.kernel.config import SiteConfig
 from quillspark.kernel.parse import MAX_STAGE, parse
-from quillspark.kernel.scan import RULES, scan
+from quillspark.kernel.scan import RULES, fixpoint, scan
 
 #: Rows of one Arrow batch out; bounds memory for a page with very many nodes.
 BATCH_ROWS = 20_000
@@ -176,6 +176,12 @@ class Engine:
 
         return map_pages(_pages(df, text_col, id_col, None), "ordinal int, start int, end int, inner string", one, df.select(id_col).dtypes[0][1])
 
+    def rewrite(self, df: DataFrame, rule: str, before: str, behind: str, text_col: str = "wikitext", id_col: str = "page_id") -> DataFrame:
+        """(page_id, text): each match of a delimiter rule replaced by its inner text between two texts, until none is left."""
+        r = RULES[rule]
+        one = lambda page, title, text: [(fixpoint(text or "", r, lambda x: f"{before}{x}{behind}"),)]
+        return map_pages(_pages(df, text_col, id_col, None), "text string", one, df.select(id_col).dtypes[0][1])
+
     def register_sql(self) -> None:
         """``wikitext_tokens(text)``, a table function for SQL: FROM pages, LATERAL wikitext_tokens(wikitext) t."""
         from pyspark.sql.functions import udtf

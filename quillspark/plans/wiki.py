@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -835,6 +836,62 @@ def sql_table_function(spark, d):
     return spark.sql("SELECT p.page_id, t.value AS target FROM quillspark_pages p, LATERAL wikitext_tokens(p.wikitext) t WHERE t.subtype = 'link-target'")
 
 
+# ---- functions and scan rules, case by case --------------------------------------------------
+
+
+@query(
+    f"""SELECT c_custkey, lower(c_mktsegment) AS lowered, n_name AS trimmed, CASE n_regionkey WHEN 0 THEN 'https://' WHEN 1 THEN '//' WHEN 2 THEN 'mailto:' END AS protocol,
+    'jpg' AS extension, n_regionkey <> 3 AS is_width FROM {CUSTOMERS}"""
+)
+def text_functions(spark, d):
+    rows = customers(spark, d)
+    url = F.when(c("n_regionkey") == 0, F.lit("HTTPS://a.b")).when(c("n_regionkey") == 1, F.lit("//a.b")).when(c("n_regionkey") == 2, F.lit("mailto:a")).otherwise(F.lit("a.b//c"))
+    width = F.when(c("n_regionkey") == 0, F.lit("20px")).when(c("n_regionkey") == 1, F.lit(" x30 px ")).when(c("n_regionkey") == 3, F.lit("20%")).otherwise(F.lit("40x"))
+    return rows.select(
+        "c_custkey", L1.trim_lower(F.concat(F.lit("  "), c("c_mktsegment"), F.lit(" "))).alias("lowered"), L1.wide_trim(F.concat(F.lit("\u3000\u00a0 "), c("n_name"), F.lit("\u2003\n"))).alias("trimmed"),
+        L1.url_protocol(url).alias("protocol"), L1.image_extension(F.concat(c("n_name"), F.lit(".svg.JPG"))).alias("extension"), L1.is_image_width(width).alias("is_width"),
+    )
+
+
+TITLE_CASES = (
+    ("{0}", "{0}", 0, True), ("a<{0}", None, 0, False), ("{0}|x", None, 0, False), ("%5B{0}", None, 0, False), ("", "", 0, False), ("#{0}", "", 0, True), ("Category : {0}", "Category:{0}", 14, True),
+    ("../{0}", "Top/{0}", 0, True), ("/{0}", "Top/Page/{0}", 0, True), ("w:{0}", "w:{0}", 0, True),
+)
+
+
+@query(
+    "SELECT n_nationkey, i AS title_case, CASE WHEN valid THEN replace(t, '{0}', n_name) END AS title, ns, valid FROM nation, (VALUES "
+    + ", ".join(f"({i}, {chr(39) + t + chr(39) if t is not None else 'NULL'}, {ns}, {str(ok).lower()})" for i, (_, t, ns, ok) in enumerate(TITLE_CASES)) + ") x(i, t, ns, valid)"
+)
+def title_validity(spark, d):
+    """Valid and invalid titles, among them relative ones on the page Top/Page; an invalid one has no title."""
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(raw).alias("r")) for i, (raw, *_) in enumerate(TITLE_CASES)])).alias("x"))
+    t = titles.parse_title(F.replace("x.r", F.lit("{0}"), c("n_name")), 0, F.lit("Top/Page"))
+    rows = rows.select("n_nationkey", c("x.i").alias("title_case"), t.alias("t"))
+    return rows.select("n_nationkey", "title_case", F.when(c("t.valid"), c("t.title")).alias("title"), F.when(c("t.valid"), c("t.ns")).otherwise(0).alias("ns"), "t.valid")
+
+
+@query("SELECT o_orderkey::BIGINT AS page_id, repeat('<', (o_custkey % 9 + 1)::INTEGER) || 'x' || repeat('>', (o_custkey % 9 + 1)::INTEGER) || ' {{{open' AS text FROM orders")
+def scan_fixpoint(spark, d):
+    """Arguments within arguments, replaced from the inside out."""
+    n = (c("o_custkey") % 9 + 1).cast("int")
+    p = rendered(table(spark, d, "orders"), "o_orderkey", F.repeat(F.lit("{{{ "), n), "x", F.repeat(F.lit(" }}}"), n), " {{{open")
+    return Engine(spark).rewrite(p, "argument", "<", ">").select("page_id", F.replace("text", F.lit(" "), F.lit("")).alias("t")).select("page_id", F.replace("t", F.lit("{{{open"), F.lit(" {{{open")).alias("text"))
+
+
+SCAN_CASES = (
+    ("nowiki", "a<nowiki>@</NOWIKI>b<nowiki/>", ("@", None)), ("translate", "<translate x=y>@</translate><translate>", ("@",)), ("argument", "{{{a| {{{@}}} }}} {{{{b}}}}", ("@",)), ("template", "{{a| {{@}} }} {{{b}}}", ("@",)),
+    ("wikilink", "[[a|[[@]]]] [[b\n]]", ("@",)), ("converter", "-{a|-{@}-}- -{{b}}-", ("@",)), ("switch", "__TOC__ __a b__", ("TOC",)), ("external_link", "[https://a.b @] [c] [//d]", ("https://a.b @", "//d")), ("comment", "<!--@-->b<!--c", ("@",)),
+)
+
+
+@query("SELECT n_nationkey::BIGINT AS page_id, r AS rule, i AS ordinal, replace(x, '@', n_name) AS inner FROM nation, (VALUES " + ", ".join(f"('{r}', {i}, {chr(39) + x + chr(39) if x is not None else 'NULL'})" for r, _, want in SCAN_CASES for i, x in enumerate(want)) + ") t(r, i, x)")
+def scan_rules(spark, d):
+    """Every delimiter rule on a text of its own."""
+    parts = [Engine(spark).scan(table(spark, d, "nation").select(c("n_nationkey").cast("bigint").alias("page_id"), F.replace(F.lit(text), F.lit("@"), c("n_name")).alias("wikitext")), rule).select("page_id", F.lit(rule).alias("rule"), "ordinal", "inner") for rule, text, _ in SCAN_CASES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---- grammar, case by case ---------------------------------------------------------------
 
 # Number, text with @ for a name, and the roles with their values, written by hand from the rules.
@@ -868,23 +925,38 @@ CASES: tuple[tuple[int, str, tuple[tuple[str, str], ...]], ...] = (
     (27, "-{zh-hans:@;a=>zh-hant:b}-", (("converter-rule-to", "@"), ("converter-rule-from", "a"), ("converter-rule-to", "b"))),
     (28, "{{{a|@|x}}} {{{{{b}}}}}", (("arg-name", "a"), ("arg-default", "@"), ("hidden", "x"), ("arg-name", "b"), ("template-name", "{{{b}}}"))),
     (29, "<inputbox>\na=@\n\nb</inputbox>", (("param-line", "a=@"), ("param-line", "b"))),
+    (31, "*;#a:@:c\n*;#d:e\n*;f:g\n:;h:i", (("list", "*"), ("list", ";#"), ("dd", ":"), ("list", "*;#"), ("list", "*"), ("list", ";"), ("dd", ":"), ("dd", ":"), ("list", ";"), ("dd", ":"))),
+    (32, "{|\n|- class<!-- c -->=<!-- d --> '@'\n|a\n|}", (("attr-key", "class"), ("attr-value", "@"), ("td-inner", "a"))),
+    (33, "{{ }} {{a<b}} {{#nope:x}} {{@#x}} {{subst:a}} {{[[b]]}}", (("template-name", "@#x"), ("template-name", "a"))),
+    (34, "[[ :Category:@| x ]] [[:File:@.png]] [[http://a]] [[a\n]] [[<b>]]", (("link-target", " :Category:@"), ("link-target", ":File:@.png"), ("link-text", " x "))),
+    (35, "<poem>\n* @\n</poem><math>[[x]]</math>", (("ext-inner", "\n* @\n"), ("ext-inner", "[[x]]"), ("list", "*"))),
+    (36, "[[L @]] [[Category:C|k]] [[File:F.png|x]]", (("link", "L_@"), ("category", "Category:C"), ("file", "File:F.png"), ("link-text", "k"), ("root", None))),
+    (37, "{{t|@|a=b}} {{PAGENAME}} {{#invoke:M|f|@}} {{{p|@}}}", (("template", "Template:T"), ("parameter", "1"), ("parameter", "a"), ("parameter", "1"), ("magic-word", "pagename"), ("magic-word", "#invoke"), ("magic-word-name", "PAGENAME"), ("magic-word-name", "#invoke"), ("invoke-module", "M"), ("invoke-function", "f"), ("arg", "p"))),
+    (38, '<ref name="@" group=g>x</ref><span id="@" ??>y</span>', (("ext", "ref"), ("ext-attrs", "ref"), ("ext-attr", "name"), ("ext-attr", "group"), ("ext-attr-dirty", " "), ("ext-attr-dirty", " "), ("html", "span"), ("html", "span"), ("html-attrs", "span"), ("html-attrs", "span"), ("html-attr", "id"), ("html-attr-dirty", " "), ("html-attr-dirty", " ??"))),
+    (39, "{| class=x\n|+ @\n|-\n! h\n| d\n|}", (("table", "table"), *[("table-attrs", x) for x in ("table", "caption", "tr", "th", "td")], ("table-attr", "class"), ("table-attr-dirty", " "), ("tr", "tr"), ("td", "caption"), ("td", "th"), ("td", "td"), *[("table-syntax", None)] * 6, ("td-inner", " @"), ("td-inner", " h"), ("td-inner", " d"))),
+    (40, "#REDIRECT [[@|d]] [[x]]", (("redirect", "@"), ("redirect-syntax", None), ("redirect-target", "@|d"), ("link-target", "@"), ("link-text", "d"), ("link-target", "x"))),
+    (41, "== @ == <!-- c -->\n----\n__TOC__", (("heading", "2"), ("heading-title", " @ "), ("heading-trail", " <!-- c -->"), ("comment", " c "), ("hr", "----"), ("double-underscore", "TOC"))),
+    (42, "-{A;T|zh-hans:@}-", (("converter", None), ("converter-flags", None), ("converter-flag", "A"), ("converter-flag", "T"), ("converter-rule", "zh-hans"), ("converter-rule-variant", "zh-hans"), ("converter-rule-to", "@"))),
+    (43, "[http://a.b @]", (("ext-link", None), ("ext-link-url", "http://a.b"), ("ext-link-text", "@"))),
+    (44, "<gallery>\nFile:@.png\n</gallery><imagemap>\nFile:@.png\n</imagemap>", (("gallery-image", "File:@.png"), ("imagemap-image", "File:@.png"))),
+    (45, "{|\n| a\n|-\nx @\n| b\n|}", (("table-inter", "\nx @"),)),
     (30, "a<includeonly>@</includeonly><noinclude>c</noinclude>", (("include", "@"), ("noinclude", "<noinclude>"), ("noinclude", "</noinclude>"))),
 )
 
 
-def _literal(x: str) -> str:
-    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 @query(f"SELECT n_nationkey::BIGINT AS page_id, k AS grammar_case, r AS role, replace(t, '@', n_name) AS text FROM nation, (VALUES {', '.join(f'({k}, {_literal(r)}, {_literal(t)})' for k, _, want in CASES for r, t in want)}) x(k, r, t)")
 def grammar_cases(spark, d):
-    """Each case with each nation's name; of each case the roles it is about."""
+    """Each case with each nation's name; of each case the roles it is about, by their text or else their name."""
     about = F.create_map(*[x for k, _, want in CASES for x in (F.lit(k), F.array(*map(F.lit, sorted({r for r, _ in want}))))])
     each = table(spark, d, "nation").select("n_nationkey", "n_name", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t, _ in CASES])).alias("x"))
     p = each.select((c("n_nationkey") * 1000 + c("x.k")).cast("bigint").alias("page_id"), F.replace("x.t", F.lit("@"), c("n_name")).alias("wikitext"))
-    t = Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p, columns=("subtype", "value"))
+    t = Engine(spark, with_variants("zh-hans", "zh-hant")).tokens(p, columns=("subtype", "name", "value"))
     k = (c("page_id") % 1000).cast("int")
-    return t.filter(F.array_contains(about[k], c("subtype"))).select(F.expr("page_id div 1000").alias("page_id"), k.alias("grammar_case"), c("subtype").alias("role"), c("value").alias("text"))
+    return t.filter(F.array_contains(about[k], c("subtype"))).select(F.expr("page_id div 1000").alias("page_id"), k.alias("grammar_case"), c("subtype").alias("role"), F.coalesce("value", "name").alias("text"))
 
 
 @query("SELECT s_suppkey::BIGINT AS page_id, 'L' || s_nationkey AS title, 2::BIGINT AS links FROM supplier")

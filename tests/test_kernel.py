@@ -205,12 +205,36 @@ def test_definitions():
     assert texts(parse(";;a:b:c:d", CFG), "dd") == [":", ":"] and texts(parse("; ''a:b'':c", CFG), "dd") == [":"] and texts(parse("; <b>a:b</b>", CFG), "dd") == []
 
 
+def test_list_marks_part_in_front_of_terms():
+    marks = lambda s: [texts(parse(line, CFG), "list") for line in [s]][0]
+    assert marks(";;a") == [";", ";"] and marks("*;#a") == ["*", ";#"] and marks("*;#a\n*;#b") == ["*", ";#", "*;#"]
+    assert [x[1] for x in render.list_items(parse("*;#a\n*;b : c", CFG))] == ["*;#", "*;"] and render.list_items(parse(";a : b", CFG))[0][4:] == ("a", "b")
+
+
+def test_comments_around_the_sign_of_a_table_attribute():
+    root = parse("{| class <!-- c --> = 'x' id{{=}}y\n|}", CFG)
+    assert texts(root, "attr-key") == ["class", "id"] and texts(root, "attr-value") == ["x", "y"] and to_text(root) == "{| class <!-- c --> = 'x' id{{=}}y\n|}"
+
+
 def test_translate_beside_nowiki():
     c = config.from_dict(config._DEFAULT | {"ext": [*config._DEFAULT["ext"], "translate"]})
     assert texts(parse("<translate>a<nowiki></translate></nowiki>b</translate>c", c), "translate") == ["a<nowiki></translate></nowiki>b"]
     assert not find(parse("<translate>a", c), "translate")
 
 
+def test_values_are_the_texts_of_the_contents():
+    for text in (*SAMPLES, "#REDIRECT [[A|b]] [[C|d]] {{e|f=g}}"):
+        root = parse(text, ZH)
+        nodes, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            nodes.append(x)
+            todo.extend(reversed(x.children) if isinstance(x, Node) else ())
+        for x, r in zip(nodes, rows(root), strict=True):
+            if r[11] is not None and not x.sep:
+                assert r[11] == "".join(c if isinstance(c, str) else to_text(c) for c in x.children), text
+
+
 def test_rows_of_some_columns():
     root = parse("== a ==\n[[b]]<ref name=x>y</ref><ref name=x />", CFG)
     assert rows(root, ("subtype", "value")) == [(r[7], r[11]) for r in rows(root)]
