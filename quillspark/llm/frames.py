@@ -133,15 +133,20 @@ def section_pieces(sections: DataFrame, limit: int, overlap: int) -> DataFrame:
 _MODELS: dict[int, abuse.Model] = {}
 
 
-def train_abuse(documents: DataFrame, labels: DataFrame) -> abuse.Model:
-    """The model, trained on at most MAX_LABELLED labelled documents, chosen by hash of the id."""
+def labelled_documents(documents: DataFrame, labels: DataFrame) -> list[tuple[str, str]]:
+    """(text, label) of at most MAX_LABELLED documents, chosen by hash of the id, whose reviewers mostly agree."""
     votes = labels.select("doc_id", F.lower(F.trim("label")).alias("label")).filter(F.col("label").isin("ok", *abuse.KINDS)).groupBy("doc_id", "label").count()
     best = votes.groupBy("doc_id").agg(F.max("count").alias("m"), F.sum("count").alias("n"), F.max_by("label", F.struct("count", "label")).alias("label")).filter(F.col("m") * 2 > F.col("n"))
     chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(abuse.MAX_LABELLED).select("doc_id", "label")
     # Bounded by the parameter above; repeated rows of a document count once.
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.col("text").isNotNull()).distinct().collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    labelled = [(r["text"], r["label"]) for r in rows]
+    return [(r["text"], r["label"]) for r in rows]
+
+
+def train_abuse(documents: DataFrame, labels: DataFrame) -> abuse.Model:
+    """The model, trained on ``labelled_documents``."""
+    labelled = labelled_documents(documents, labels)
     key = hash(tuple(labelled))
     if key not in _MODELS:
         _MODELS.clear()

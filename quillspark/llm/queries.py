@@ -132,8 +132,14 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count("*").alias("documents"), *[F.round(F.avg((F.col(k) >= abuse.THRESHOLD).cast("int")), 6).alias(f"{k}_rate") for k in abuse.KINDS])
 
 
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """(label, documents, found): labelled documents scored by models that have not seen them."""
+    rows = abuse.held_out(frames.labelled_documents(table(spark, d, "documents"), table(spark, d, "review_labels")))
+    return spark.createDataFrame(rows, "label string, documents bigint, found bigint")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p4_reassembled, p6_packing, p6_report, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates)
+    own = (p2_found, p2_segments, p2_clean, p2_clean_names, p3_found, p3_statistics, p3_names, p4_found, p4_pieces, p4_reassembled, p6_packing, p6_report, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_scores, p8_rates, p8_held_out)
     return {f.__name__: f for f in own}
 
 

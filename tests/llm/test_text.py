@@ -297,6 +297,11 @@ def test_phrases_are_learned_from_labels(model):
     assert unlearned.document_scores(["Those vexling folk ought to be driven off."])[0, 1] < s[1, 1]
 
 
+def test_held_out_documents():
+    got = {k: (n, found) for k, n, found in abuse.held_out(labelled(400))}
+    assert got["ok"][1] <= 0.05 * got["ok"][0] and all(got[k][1] >= 0.8 * got[k][0] for k in abuse.KINDS) and abuse.held_out([]) == [(k, 0, 0) for k in ("ok", *abuse.KINDS)]
+
+
 def test_features_by_brute_force():
     """Batched encoding against one sentence at a time: windows, repeats and numbers."""
     rnd = random.Random(4)
