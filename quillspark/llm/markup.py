@@ -71,13 +71,15 @@ _RULES: tuple[tuple[str, str, str], ...] = (
 )
 _KIND = {name: kind for name, kind, _ in _RULES}
 _LEX = re.compile("|".join(f"(?P<{n}>{p})" for n, _, p in _RULES), re.M | re.S)
-_ODD = re.compile(r"[<&`~$\\!\[{*'=_|#-]")
+#: Every tag holds one of these; a text without any is words only.
+_SIGN = re.compile(r"[<&`$\\\[{*|]|''|~~~|__|^ {0,3}#|^=", re.M)
 #: Where a strong run closes, or its line ends without.
 _STRONG_END = re.compile(r"\n|(?<=[^\s*\\])\*{2,3}(?![*\w])")
 #: Length of the opening sign of what holds other text; the lexer goes on behind it.
 _OPEN = {"comment": 4, "image": 2, "template": 2, "argument": 3, "bracket_link": 2, "emphasis": 1, "labelled_link": 1, "link": 1}
 #: Of these only the tags inside are read: their words are no content.
 _NO_CONTENT = ("comment", "tag", "display", "dollars", "code", "image", "template", "argument", "bracket_link")
+_WORD = re.compile(next(p for n, _, p in _RULES if n == "word"))
 _LETTER = re.compile(r"[^\W_]")
 _ARITH = re.compile(r"[\s\d.,]*")
 
@@ -288,6 +290,10 @@ def analyse(text: str | None, pages: tuple[str, ...] = LABELLED_PAGES) -> Analys
         return _NOTHING
     w = weights(pages)
     tags, scored, words = [], [], 0
+    if not _SIGN.search(text):
+        # The region goes from the first word to the last.
+        spans = [m.span() for m in _WORD.finditer(text)]
+        return Analysis({}, (spans[0][0], spans[-1][1], w["word"] * len(spans)) if spans else None, 0, 0)
     for name, start, end in lex(text):
         kind = _KIND[name]
         if kind:
