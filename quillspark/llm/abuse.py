@@ -39,8 +39,8 @@ EPOCHS, HALF_EPOCHS = 5, 3
 STEP_ROWS = 256
 #: Sentences scored in one step.
 SENTENCES_AT_ONCE = 4096
-#: Taken off the bias of a model of the seed alone.
-SEED_PRIOR = 0.4
+#: Taken off the bias of a model of the seed alone, and in part of a model that read other sentences too.
+SEED_PRIOR = 0.6
 #: A label counts for a document's most suspect sentence from this score on.
 SUSPECTED = 0.2
 #: Weight of a seed sentence beside a sentence of a labelled document.
@@ -50,7 +50,7 @@ REST_WEIGHT = 0.3
 #: A document labelled ok may still hold a sentence that scores so much: that one is left out.
 SURE = 0.6
 #: A document holds a kind from this score on.
-THRESHOLD = 0.2
+THRESHOLD = 0.1
 
 # Look-alike letters and signs used for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝмтвкнгАЕОРСУХІЈЅМТВКНαοερνικτηυΑΕΟΡΤΗΚΜΝΒΙΖ", "aeopcyxijsdhlqwmtbkhrAEOPCYXIJSMTBKHaoepvikthuAEOPTHKMNBIZ")
@@ -358,7 +358,6 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     bags = [[codes(s, lex) for s in sentences(t)] for t, _ in labelled]
     rows = encode([c for b in bags for c in b])
     if not len(rows):
-        # The seed holds far more of such language than texts do.
         start.bias -= SEED_PRIOR
         return Model(start, lex)
     sentence_bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
@@ -388,8 +387,11 @@ def train(labelled: list[tuple[str, str]]) -> Model:
         top = np.zeros(len(bags), np.float32)
         np.maximum.at(top, bag, best)
         suspect = (label >= 0) & (best >= top[bag]) & (best >= SUSPECTED)
-        # What else a labelled document holds is innocent where nothing speaks against it.
-        rest = (label >= 0) & ~suspect & (scores.max(1) < SUSPECTED)
+        # What else such a document holds is innocent where nothing speaks against it; of a document without a suspect
+        # nothing is known.
+        found = np.zeros(len(bags), bool)
+        found[bag[suspect]] = True
+        rest = (label >= 0) & ~suspect & found[bag] & (scores.max(1) < SUSPECTED)
         innocent = (label < 0) & (scores.max(1) < SURE)
         return np.where(suspect[:, None], y_label, 0), np.where(suspect | innocent, 1, np.where(rest, REST_WEIGHT, 0))
 
@@ -399,7 +401,11 @@ def train(labelled: list[tuple[str, str]]) -> Model:
     innocent = (label < 0) & (first.max(1) < SURE)
     seen = judged(y_label, np.where(label >= 0, np.minimum(1, 3 * share), innocent))
     scores = judged(*blamed((np.sqrt(seen * first) + seen) / 2))
-    return Model(fitted(*blamed(scores), EPOCHS), lex)
+    y, weight = blamed(scores)
+    machine = fitted(y, weight, EPOCHS)
+    # The seed holds far more of such language than texts do, which tells where it is most of what was read.
+    machine.bias -= SEED_PRIOR * len(from_seed) / (len(from_seed) + int((weight > 0).sum()))
+    return Model(machine, lex)
 
 
 def held_out(labelled: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
