@@ -39,6 +39,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TERMINAL = re.compile(r"""[.!?…。！？:]["'”’»)\]]*\s*$""")
 _SENTENCE = re.compile(r"""[.!?…]["'”’»)\]]*(?:\s|$)""")
 _BULLET = re.compile(r"^\s*(?:[-+•–—·‣◦∙▪*]{1,4}|[#:;*]{1,5}|\(?(?:\d{1,4}|[A-Za-z]|[ivxlc]{1,6})[.)])\s+\S|^\s*[*#]{1,5}\S|^\s*\\item\b|^\s*<(?:li|ul|ol|/ul|/ol|dd|dt)\b", re.I)
+#: Signs that emphasise the first words of a line are no bullets.
+_EMPHASIS = re.compile(r"\s*(\*{1,3})(?=[^\s*])[^*\n]*(?<=[^\s*])\1(?!\*)")
 _MOJI = re.compile(r"[\u00c2-\u00f4\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013\u2014\u2018-\u201e\u2020-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]")
 _NUMERIC = re.compile(r"^[-+(]?\d[\d.,]*[%/:;?!,.)]*$")
 _LONG = re.compile(r"[A-Za-z0-9+/=]{24,}")
@@ -47,7 +49,7 @@ _INLINE = re.compile(r"\{\{\{?[^{}]*\}?\}\}|\[\[[^\[\]]*\]\]")
 _NOT_ALNUM = re.compile(r"[^\w\s]|_")
 _LETTER = re.compile(r"[^\W\d_]")
 _HEX = re.compile(r"[0-9a-fA-F]{2,8}:?")
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -222,7 +224,7 @@ def line_forms(text: str) -> list[tuple[str, str]]:
             forms[i] = "other"
         elif re.match(r"\\(?:begin|end)\{(?:itemize|enumerate|description)", s):
             forms[i] = "list"
-        elif _BULLET.match(line):
+        elif _BULLET.match(line) and not _EMPHASIS.match(line):
             # A mark that opens emphasis or stands among unreadable signs is no bullet.
             forms[i] = "prose" if s[0] == "*" and s[1:2].isalnum() and _plain_prose(line) else "junk" if _junk_line(line) else "list"
         elif _plain_prose(line):
@@ -282,7 +284,8 @@ class Repetition:
 
     @cached_property
     def words(self) -> list[str]:
-        return [w.lower() for w in _WORD.findall(self.text)]
+        # Names of tags are no words of the text.
+        return [w.lower() for w in _WORD.findall(_TAG.sub(" ", self.text) if "<" in self.text else self.text)]
 
     @cached_property
     def letters(self) -> int:
@@ -339,9 +342,10 @@ def document_form(text: str | None) -> str | None:
 
 def _form(text: str, repeats: Repetition, counts: dict[str, int] | None) -> str:
     """The form by the characters of each form, and by the repetition."""
-    if repeats.is_junk:
-        return "junk"
     c = dict(counts if counts is not None else forms_of(text))
+    # A column may say the same in every row.
+    if repeats.is_junk and 2 * c["table"] < sum(c.values()):
+        return "junk"
     if c["junk"] == 0 and not repeats.words and not re.search(r"\d", text) and len(text.strip()) >= 4:
         return "junk"
     c["prose"] += c.pop("other")

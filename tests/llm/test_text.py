@@ -129,6 +129,12 @@ def test_readable_names(name, ok):
     assert quality.readable_name(name) == ok
 
 
+def test_tags_are_no_words():
+    rows = "".join(f"<tr><td>Place{n}</td><td>{1800 + n}</td><td>{n * 37}</td><td>{n}.5%</td></tr>\n" for n in range(40))
+    assert quality.document_form(f"<table>\n<tr><td>place</td><td>year</td><td>count</td><td>share</td></tr>\n{rows}</table>") == "table"
+    assert quality.document_form("**When** the tower burned in the spring, the stores of the town were lost with it.") == "prose"
+
+
 def test_repetition_decides():
     """The same line shapes, told apart by how much of the text repeats itself."""
     assert quality.document_form("the ferry to the town was late " * 40) == "junk"
