@@ -91,7 +91,15 @@ def oracle_sql() -> dict[str, str]:
         FROM m a LEFT JOIN m b ON len(a.path) > 0 AND b.page_id IS NOT DISTINCT FROM a.page_id AND b.path = a.path[:-2]"""
     text = "coalesce(CASE json_type(c) WHEN 'VARCHAR' THEN c->>'$' ELSE CASE WHEN json_type(c->'text') = 'VARCHAR' THEN c->>'text' END END, '')"
     is_text = "v IS NULL AND (json_type(c) = 'VARCHAR' OR (json_type(c) = 'OBJECT' AND (c->>'type' = 'text' OR coalesce(c->>'is_text', 'false') <> 'false' OR json_type(c->'text') = 'VARCHAR' OR c::VARCHAR = '{}')))"
+    given = lambda *keys: " OR ".join(f"coalesce(json_type(v->'{k}'), 'NULL') <> 'NULL'" for k in keys)
+    of_class = f"""CASE WHEN {is_text} THEN 'text' WHEN v IS NULL THEN 'opaque' WHEN {given('orig_tag')} THEN 'markup_tag' WHEN {given('bold', 'italic')} THEN 'style' WHEN {given('level')} THEN 'heading'
+        WHEN {given('closed', 'closing', 'self_closing')} THEN 'closable' WHEN coalesce(v->>'name', '') <> '' THEN 'named' ELSE 'plain' END"""
+    # A node's table depends on what its children are.
+    tables = f"""{nodes}, k AS (SELECT page_id, path, node_id, {of_class} AS cls FROM m), h AS (SELECT page_id, path[:-2] AS up, max(CASE WHEN cls <> 'text' THEN 1 ELSE 0 END) AS holds FROM k WHERE len(path) > 0 GROUP BY ALL),
+        t AS (SELECT k.page_id, k.path, CASE cls WHEN 'named' THEN CASE WHEN holds = 1 THEN 'container' ELSE 'labelled' END WHEN 'plain' THEN CASE WHEN holds = 1 THEN 'group' ELSE 'leaf' END ELSE cls END AS typed
+            FROM k LEFT JOIN h ON k.page_id IS NOT DISTINCT FROM h.page_id AND k.path = h.up)"""
     typed = {
+        "p5_links": f"{tables} SELECT b.typed AS parent_table, a.typed AS typed_table, count(*) AS nodes FROM t a LEFT JOIN t b ON b.page_id IS NOT DISTINCT FROM a.page_id AND b.path = a.path[:-2] WHERE len(a.path) > 0 GROUP BY ALL",
         "p5_found": links,
         "p5_names": f"{nodes} SELECT page_id, node_id, v->>'name' AS name FROM m WHERE json_type(v->'name') = 'VARCHAR' AND v->>'name' <> ''",
         "p5_table_text": f"SELECT page_id, node_id, parent_id, child_ix, variant, text FROM ({links}) JOIN ({nodes} SELECT page_id, node_id, CASE json_type(c) WHEN 'VARCHAR' THEN 'text' ELSE 'wrapped_text' END AS variant, {text} AS text FROM m WHERE {is_text}) USING (page_id, node_id)",
