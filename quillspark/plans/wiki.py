@@ -92,7 +92,14 @@ def page_categories(spark, d):
     return v.categories(tokens(spark, numbered_pages(spark, d), "categories")).select(F.split_part("page_id", F.lit(":"), F.lit(1)).cast("bigint").alias("page_id"), "title")
 
 
-@query()
+NO_COMMENTS = "regexp_replace(wikitext, '(?s)<!--.*?(-->|\\z)', '', 'g')"
+RAW_TAGS = "nowiki|pre|syntaxhighlight|source|math|chem|templatedata|score|timeline"
+# Names of a module and its function are no markup.
+_PART = "(?:[^|{}\\[\\]]|\\[\\[[^\\[\\]]*\\]\\])*"
+PARSED = f"regexp_replace(regexp_replace({NO_COMMENTS}, '(?is)<({RAW_TAGS})(\\s[^<>]*)?>.*?</({RAW_TAGS})\\s*>', '', 'g'), '\\{{\\{{#invoke:{_PART}(?:\\|{_PART})?', '', 'g')"
+
+
+@query(f"SELECT page_id, refs FROM (SELECT page_id, len(regexp_extract_all({NO_COMMENTS}, '(?is)<ref(?:\\s[^<>]*)?/>|<ref(?:\\s[^<>]*)?>.*?</ref\\s*>'))::BIGINT AS refs FROM pages_raw) WHERE refs > 0")
 def page_refs(spark, d):
     return _per_row(spark, d, "type = 'EXT' and name = 'ref'", "refs", 0)
 
@@ -127,8 +134,12 @@ def page_headings(spark, d):
     return _per_row(spark, d, "subtype = 'heading'", "headings", 4)
 
 
-@query()
+@query(
+    f"""SELECT page_id, links FROM (SELECT page_id, len(list_filter(regexp_extract_all({PARSED}, '\\[\\[([^\\[\\]{{}}|\\n]+)(\\|[^\\[\\]]*)?\\]\\]', 1), lambda x: NOT regexp_matches(x, '(?i)^\\s*(category|file|image)\\s*:')))::BIGINT AS links
+    FROM pages_raw) WHERE links > 0"""
+)
 def page_links(spark, d):
+    """The SQL does not see where a damaged call of a module ends: of 2,243 rows of sf0.1 one differs by this."""
     return _per_row(spark, d, "subtype = 'link'", "links", 5)
 
 
