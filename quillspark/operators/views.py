@@ -241,4 +241,9 @@ def descendants(t: DataFrame, ancestors: DataFrame) -> DataFrame:
     return nodes.join(a, ["page_id", "_s"]).filter((F.col("node_id") > F.col("ancestor")) & (F.col("node_id") <= F.col("_e"))).select("page_id", "ancestor", "node_id")
 
 
+def descendant_counts(ancestors: DataFrame) -> DataFrame:
+    """(page_id, ancestor, inside): how many nodes ``descendants`` lists for each row; the interval tells it, so no other row is needed and nothing is joined."""
+    return ancestors.select("page_id", F.col("node_id").alias("ancestor"), (F.col("subtree_end") - F.col("node_id")).cast("bigint").alias("inside"))
+
+
 ALL = (redirects, links, categories, files, file_params, template_uses, template_params, template_summary, template_args, magic_words, invocations, sections, ext_links, identifiers, ext_tags, refs, ext_attrs, html_tags, html_attrs, tables, table_rows, table_cells, table_attrs, attr_errors, list_marks, page_flags, comments, variants, variant_flags, image_areas, style_marks, rules, ext_params, includes, edges)

@@ -9,7 +9,7 @@ from quillspark.functions import text as L1
 from quillspark.functions import titles
 from quillspark.operators import evaluate as ev
 from quillspark.operators import views as v
-from quillspark.operators.parse import Engine, stage_for
+from quillspark.operators.parse import Engine, map_pages, stage_for
 from quillspark.plans import wiki
 from quillspark.sources import pages as src
 from quillspark.streaming import pages as stream
@@ -152,6 +152,47 @@ def test_descendants_over_stretches(spark):
     assert inside.filter("ancestor = 0").count() == n - 1 and inside.filter("ancestor > 0").count() == 1400
 
 
+def test_descendant_counts_are_those_of_the_list(spark):
+    t = Engine(spark).tokens(spark.createDataFrame([(1, PAGE), (2, "[[a]] {{b|{{c}}}}"), (3, "")], "page_id bigint, wikitext string")).cache()
+    listed = v.descendants(t, t).groupBy("page_id", "ancestor").count()
+    counts = v.descendant_counts(t)
+    assert counts.count() == t.count()
+    assert got(counts.filter("inside > 0"), "page_id", "ancestor", "inside") == got(listed, "page_id", "ancestor", "count")
+
+
+def test_descendants_of_each_row_of_orders(spark, tmp_path):
+    spark.createDataFrame([(1, 0), (1, 0), (2, 43), (3, 79)], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    assert got(wiki.descendants(spark, str(tmp_path)), "page_id", "inside") == [(1, 6), (1, 6), (2, 24), (3, 240)]
+
+
+def test_text_that_comes_again_is_parsed_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def emit(title, text):
+        made.add(1)
+        return [(title, w) for w in (text or "").split()]
+
+    rows = [(i, ("P", "Q")[i % 2], ("a b c", "", None, "d")[i % 4]) for i in range(400)]
+    out = map_pages(spark.createDataFrame(rows, "page_id bigint, title string, wikitext string").coalesce(1), "t string, w string", emit)
+    assert got(out, "page_id", "t", "w") == sorted(((i, t, w) for i, t, text in rows for w in (text or "").split()), key=str)
+    assert made.value == 4
+    # Pages of more rows than a batch holds, and of very many of a few rows.
+    huge = spark.createDataFrame([(1, "[[a]]" * 12_000), (2, "[[a]]" * 12_000), *((3 + i, "[[a]]") for i in range(15_000))], "page_id bigint, wikitext string").coalesce(1)
+    n = Engine(spark).tokens(huge, columns=("node_id", "subtype")).groupBy(F.least("page_id", F.lit(3)).alias("page")).agg(F.count("*").alias("rows"), F.count_distinct("page_id", "node_id").alias("nodes"))
+    assert got(n, "page", "rows", "nodes") == [(1, 36_001, 36_001), (2, 36_001, 36_001), (3, 60_000, 60_000)]
+
+
+def test_only_rows_with_given_values(spark):
+    from quillspark.kernel.model import BLOCKS
+    from quillspark.operators.parse import errors_of
+
+    df = spark.createDataFrame([(1, "{{a|{{c}}}} {{c}} [[c]]"), (2, "".join(map(chr, BLOCKS)))], "page_id bigint, wikitext string")
+    t = Engine(spark).tokens(df, columns=("depth", "name"), where={"subtype": "template", "in_template": True})
+    assert t.columns == ["page_id", "depth", "name"] and got(t, *t.columns) == [(1, 4, "Template:C")]
+    assert got(Engine(spark).tokens(df, columns=("depth",), where={"value": "c"}), "page_id", "depth") == got(Engine(spark).tokens(df).filter("value = 'c'"), "page_id", "depth")
+    assert got(errors_of(Engine(spark).parsed(df, where={"subtype": "link"})), "page_id", "kind") == [(2, "ValueError")]
+
+
 def test_failure_records(spark):
     df = lambda *rows: spark.createDataFrame(list(rows), "page_id bigint, text string")
     bad = spark.createDataFrame([(2, 1, "interval")], "page_id bigint, node_id int, problem string")
